@@ -1,0 +1,5 @@
+"""The workload is batch only, so there is no streaming operator to offer here.
+
+Row-count windows have no event-time counterpart in Structured Streaming. A
+continuous feed would land bars in Parquet and rerun the batch panel.
+"""
