@@ -56,14 +56,20 @@ def autocorrelation(panel: DataFrame, column: str = "ret_1d", lags: int = 5) ->
 
 
 def correlation_matrix(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Pairwise feature correlations in one aggregation, returned in long form."""
+    """Pairwise feature correlations in long form.
+
+    Each row is opened into its feature pairs and folded straight back into one running
+    correlation per pair before anything is shuffled, so the shuffle carries one small
+    record per pair and task.
+    """
     names = names or feature_columns(panel)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    wide = panel.agg(*(F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(
-                F.lit(x).alias("feature"), F.lit(y).alias("other"), F.col(f"_{i}").alias("corr")
-            ))
-    return wide.select(F.inline(F.array(*cells)))
+    label = lambda c: F.element_at(F.array(*(F.lit(n) for n in names)), F.col(c) + 1)
+    first = panel.select(F.array(*names).alias("_v")).select("_v", F.posexplode("_v").alias("_i", "_x"))
+    pairs = first.select("_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_j >= _i")
+    upper = pairs.groupBy("_i", "_j").agg(F.corr("_x", "_y").alias("corr"))
+    here, there = label("_i"), label("_j")
+    cell = lambda x, y: F.struct(x.alias("feature"), y.alias("other"), F.col("corr").alias("corr"))
+    both = F.when(F.col("_i") == F.col("_j"), F.array(cell(here, there))).otherwise(
+        F.array(cell(here, there), cell(there, here))
+    )
+    return upper.select(F.inline(both))

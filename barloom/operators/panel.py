@@ -20,6 +20,7 @@ from barloom.params import FeatureParams, MarketParams, ResearchParams, TargetPa
 IDS = ("date", "ticker")
 FWD_RET = "fwd_ret"
 TARGET = "target"
+TAGS = ("ordinal", "split", "fold")
 
 
 def asset_feature_names(p: FeatureParams) -> list[str]:
@@ -48,8 +49,8 @@ def feature_names(p: FeatureParams) -> list[str]:
 
 
 def feature_columns(panel: DataFrame) -> list[str]:
-    """Everything that is not an identifier or an outcome, in table order."""
-    return [c for c in panel.columns if c not in (*IDS, FWD_RET, TARGET)]
+    """Everything that is not an identifier, an outcome or a split tag, in table order."""
+    return [c for c in panel.columns if c not in (*IDS, FWD_RET, TARGET, *TAGS)]
 
 
 def _with_base_columns(bars: DataFrame, keys) -> DataFrame:

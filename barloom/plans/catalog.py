@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from barloom.functions.windows import running
 from barloom.operators import (
-    backtest, baseline, cleaning, diagnostics, explore, metrics, panel, series, splits,
+    backtest, baseline, cleaning, diagnostics, explore, importance, metrics, models, panel,
+    series, splits,
+)
+from barloom.params import (
+    BacktestParams, DataParams, ResearchParams, SplitParams, TargetParams, TuningParams,
 )
-from barloom.params import BacktestParams, DataParams, FeatureParams, ResearchParams, SplitParams
 from barloom.plans import inputs as i
+from barloom.plans import research
 from barloom.plans.inputs import PARAMS, neat
 from barloom.sources import bars as bar_files
 from barloom.sources import tables, tpch
@@ -269,7 +273,6 @@ def forward_return_label(spark, sf):
 
 @query
 def forward_return_label_3d(spark, sf):
-    from barloom.params import TargetParams
     return neat(panel.with_target(i.bars(spark, sf), TargetParams(horizon=3, threshold=0.002)))
 
 
@@ -615,3 +618,181 @@ def return_autocorrelation(spark, sf):
 @query
 def feature_correlation_matrix(spark, sf):
     return neat(explore.correlation_matrix(i.the_panel(spark, sf)))
+
+
+# ---- fitted models
+
+# Small grids: the queries show the operators, not the search itself.
+MODELS = {
+    "majority": {}, "logreg_none": {"max_iter": 100},
+    "logreg_l1": {"max_iter": 200, "grid": {"C": [0.01, 1.0]}},
+    "logreg_l2": {"max_iter": 200, "grid": {"C": [0.01, 1.0]}},
+    "random_forest": {"grid": {"n_estimators": [20], "max_depth": [3, 5], "min_samples_leaf": [50], "max_features": ["sqrt"]}},
+    "xgboost": {"grid": {"learning_rate": [0.1], "max_depth": [2], "n_estimators": [10], "subsample": [0.7],
+                         "colsample_bytree": [0.7], "reg_alpha": [0.0, 1.0], "reg_lambda": [1.0]}},
+}
+MODEL_PARAMS = ResearchParams(models=MODELS)
+SPECS = models.model_specs(MODEL_PARAMS)
+TUNING = TuningParams(cv_splits=3, parallelism=4)
+
+
+def _vectors(spark, sf):
+    return models.assemble(i.stored(spark, sf, "tagged", lambda: i.tagged(spark, sf)))
+
+
+def _tuned(spark, sf, name):
+    rows = _vectors(spark, sf).where("split = 'train'")
+    folds = splits.cv_folds(splits.date_axis(rows), TUNING.cv_splits, MODEL_PARAMS.cv_gap()).collect()
+    return models.tune(SPECS[name], rows, folds, TUNING)
+
+
+def _fitted(spark, sf, name):
+    """Fit with the first grid point on the training rows."""
+    spec = SPECS[name]
+    return models.fit(spec, spec.combinations()[0] if spec.grid else {}, _vectors(spark, sf).where("split = 'train'"))
+
+
+def _fit_predict(spark, sf, name):
+    test = _vectors(spark, sf).where("split = 'test'")
+    return models.predictions(SPECS[name], _fitted(spark, sf, name), test, "test")
+
+
+@query
+def logistic_none(spark, sf):
+    return _fit_predict(spark, sf, "logreg_none")
+
+
+@query
+def logistic_l1(spark, sf):
+    return _fit_predict(spark, sf, "logreg_l1")
+
+
+@query
+def logistic_l2(spark, sf):
+    return _fit_predict(spark, sf, "logreg_l2")
+
+
+@query
+def random_forest(spark, sf):
+    return _fit_predict(spark, sf, "random_forest")
+
+
+@query
+def gradient_boosting(spark, sf):
+    return _fit_predict(spark, sf, "gbt[mllib]")
+
+
+@query
+def tuning_table(spark, sf):
+    return _tuned(spark, sf, "logreg_l2").results
+
+
+@query
+def model_table(spark, sf):
+    tuned = [_tuned(spark, sf, name) for name in ("majority", "logreg_none", "logreg_l1")]
+    return models.model_table(spark, tuned)
+
+
+@query
+def refit_test_predictions(spark, sf):
+    """Tuned on train, refitted on train and validation, one pass over test."""
+    tuned = _tuned(spark, sf, "logreg_l1")
+    rows = _vectors(spark, sf)
+    final = models.fit(tuned.spec, tuned.best_params, rows.where("split in ('train', 'validation')"))
+    return models.predictions(tuned.spec, final, rows.where("split = 'test'"), "test")
+
+
+@query
+def walk_forward_models(spark, sf):
+    rows = i.the_panel(spark, sf)
+    axis = splits.date_axis(rows)
+    folds = splits.walk_forward_folds(axis, 756, 504, 1).collect()  # one row per block
+    numbered = models.assemble(splits.tag_rows(rows, axis, "ordinal"))
+    frozen = [(SPECS["majority"], {}), (SPECS["logreg_l2"], {"C": 0.01})]
+    return models.walk_forward_predictions(frozen, numbered, folds)
+
+
+@query
+def logistic_coefficients(spark, sf):
+    fitted = _fitted(spark, sf, "logreg_l2")
+    rows = _vectors(spark, sf).where("split = 'train'")
+    return importance.logistic_coefficients("logreg_l2", fitted.model, rows, _names(spark, sf))
+
+
+def _names(spark, sf):
+    return panel.feature_columns(i.the_panel(spark, sf))
+
+
+@query
+def nonzero_coefficients(spark, sf):
+    fitted = _fitted(spark, sf, "logreg_l1")
+    rows = _vectors(spark, sf).where("split = 'train'")
+    table = importance.logistic_coefficients("logreg_l1", fitted.model, rows, _names(spark, sf))
+    return diagnostics.nonzero_coefficients(table)
+
+
+@query
+def forest_importance(spark, sf):
+    fitted = _fitted(spark, sf, "random_forest")
+    return importance.tree_importance("random_forest", "impurity", fitted.model, spark, _names(spark, sf))
+
+
+@query
+def boosting_importance(spark, sf):
+    fitted = _fitted(spark, sf, "gbt[mllib]")
+    return importance.tree_importance(
+        "gbt[mllib]", "gain", fitted.model, spark, _names(spark, sf), shared_folder(spark))
+
+
+def _permuted(spark, sf):
+    validation = _vectors(spark, sf).where("split = 'validation'")
+    return importance.permutation_importance(
+        "logreg_l2", _fitted(spark, sf, "logreg_l2"), validation, _names(spark, sf), n_repeats=5)
+
+
+@query
+def permutation_importance(spark, sf):
+    return _permuted(spark, sf)
+
+
+@query
+def significant_features(spark, sf):
+    return importance.significant_features(_permuted(spark, sf))
+
+
+@query
+def top_features(spark, sf):
+    """The eight features most correlated with the forward return, per ticker."""
+    ic = explore.rank_correlation(i.the_panel(spark, sf))
+    return neat(importance.top_features(ic, ["ticker"], "ic", importance.NATIVE_TOP, by_size=True))
+
+
+@query
+def models_roundtrip(spark, sf):
+    path = shared_folder(spark)
+    tables.save_models({"logreg_l2": _fitted(spark, sf, "logreg_l2").model}, path)
+    back = tables.load_models(spark, path, ["logreg_l2", "never_saved"])
+    test = _vectors(spark, sf).where("split = 'test'")
+    fitted = models.Fitted(back["logreg_l2"], 0.5, 0)
+    return models.predictions(SPECS["logreg_l2"], fitted, test, "test")
+
+
+@query
+def model_metadata(spark, sf):
+    tuned = _tuned(spark, sf, "logreg_l1")
+    record = {
+        "seed": MODEL_PARAMS.seed, "purge_days": PARAMS.purge_days(), "feature_columns": _names(spark, sf),
+        "model": tuned.spec.name, "best_params": tuned.best_params, "cv_score": tuned.cv_score,
+    }
+    path = shared_folder(spark)
+    research.metadata_table(spark, record).write.json(path)
+    return spark.read.schema("key string, value string").json(path)
+
+
+@query
+def split_tables_roundtrip(spark, sf):
+    axis = i.axis(spark, sf)
+    path = shared_folder(spark)
+    summary = splits.segment_summary(splits.date_segments(axis, PARAMS))
+    tables.save_table(summary, path)
+    return spark.read.schema(summary.schema).option("header", True).csv(f"{path}/csv")

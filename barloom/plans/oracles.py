@@ -176,7 +176,8 @@ CTES: dict[str, str] = {
         CASE WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN px + 1 ELSE px - 1 END AS low,
         CASE WHEN month(date) = 3 AND day(date) <= 12 AND ticker = 'PROMO' THEN 0.0 ELSE px END AS close,
         CASE WHEN l_discount <> 0.1 THEN px END AS adj_close,
-        CASE l_linenumber WHEN 7 THEN -q WHEN 6 THEN NULL ELSE q END AS volume
+        CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN -q
+             WHEN l_linenumber = 6 AND l_tax = 0.01 THEN NULL ELSE q END AS volume
       FROM l""",
     "cand": f"""SELECT * EXCLUDE (rn, k), adj_close IS NULL AS is_missing,
         adj_close IS NOT NULL AND coalesce(least(open, high, low, close, adj_close) <= 0, false) AS is_nonpositive,
@@ -285,6 +286,12 @@ CTES: dict[str, str] = {
     "rocall": """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER t AS p, sum(neg) OVER t AS n,
         lead(pos) OVER w AS np, lead(neg) OVER w AS nn, lag(pos) OVER w AS lp
       FROM byp WINDOW w AS (PARTITION BY split, model ORDER BY prob_up DESC), t AS (PARTITION BY split, model)""",
+    "ranked": f"""SELECT ticker, feature, corr(rx, ry) AS ic FROM (
+        SELECT ticker, feature,
+          rank() OVER (PARTITION BY ticker, feature ORDER BY x) + (count(*) OVER (PARTITION BY ticker, feature, x) - 1) / 2 AS rx,
+          rank() OVER (PARTITION BY ticker, feature ORDER BY fwd_ret) + (count(*) OVER (PARTITION BY ticker, feature, fwd_ret) - 1) / 2 AS ry
+        FROM (UNPIVOT (SELECT ticker, date, fwd_ret, {', '.join(FEATURES)} FROM panel) ON {', '.join(FEATURES)} INTO NAME feature VALUE x))
+      GROUP BY ticker, feature""",
     "edges": "SELECT split, model, " + ", ".join(f"quantile_cont(prob_up, {j / 10}) AS e{j}" for j in range(1, 10))
              + " FROM preds WHERE model <> 'majority' GROUP BY split, model HAVING count(DISTINCT prob_up) > 1",
 }
@@ -506,16 +513,14 @@ BODIES: dict[str, str] = {
     "up_rate_by_year": "SELECT year(date) AS year, " + ", ".join(
         f"{r(f'avg(target) FILTER (ticker = {chr(39)}{t}{chr(39)})', 3)} AS {chr(34)}{t}{chr(34)}"
         for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM panel GROUP BY 1",
-    "rank_correlation": f"""SELECT ticker, feature, {r('corr(rx, ry)')} AS ic FROM (
-        SELECT ticker, feature,
-          rank() OVER (PARTITION BY ticker, feature ORDER BY x) + (count(*) OVER (PARTITION BY ticker, feature, x) - 1) / 2 AS rx,
-          rank() OVER (PARTITION BY ticker, feature ORDER BY fwd_ret) + (count(*) OVER (PARTITION BY ticker, feature, fwd_ret) - 1) / 2 AS ry
-        FROM (UNPIVOT (SELECT ticker, date, fwd_ret, {', '.join(FEATURES)} FROM panel) ON {', '.join(FEATURES)} INTO NAME feature VALUE x))
-      GROUP BY ticker, feature""",
+    "rank_correlation": f"SELECT ticker, feature, {r('ic')} AS ic FROM ranked",
+    "top_features": f"""SELECT ticker, feature, {r('ic')} AS ic, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(ic) DESC NULLS LAST, feature) AS rank FROM ranked) WHERE rank <= 8""",
     "return_autocorrelation": "SELECT ticker, " + ", ".join(f"{r(f'corr(ret_1d, b{k})')} AS lag{k}" for k in range(1, 6))
         + " FROM (SELECT ticker, ret_1d, " + ", ".join(f"lag(ret_1d, {k}) {W} AS b{k}" for k in range(1, 6)) + " FROM panel) GROUP BY ticker",
     "feature_correlation_matrix": " UNION ALL ".join(
         f"SELECT '{a}' AS feature, '{b}' AS other, {r(f'corr({a}, {b})')} AS corr FROM panel" for a in FEATURES for b in FEATURES),
+    "split_tables_roundtrip": "SELECT * FROM segsum",
     "future_leaks": "SELECT date, ticker, 0::BIGINT AS balance FROM bars WHERE false",
 }
 

@@ -82,8 +82,8 @@ def vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(F.when(outage, F.lit(0.0)).otherwise(px)).alias("Close "),
         F.when(F.col("l_discount") == 0.1, F.lit(None).cast("string"))
         .otherwise(text(px)).alias("Adj Close"),
-        F.when(F.col("l_linenumber") == 7, text(-F.col("q")))
-        .when(F.col("l_linenumber") == 6, F.lit("bad"))
+        F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), text(-F.col("q")))
+        .when((F.col("l_linenumber") == 6) & (F.col("l_tax") == 0.01), F.lit("bad"))
         .otherwise(text(F.col("q"))).alias(" Volume"),
         F.col("k").alias("_seq"),
     )
