@@ -44,7 +44,7 @@ class Trailing:
     60-row deviation costs 60 updates a row. Here a window of n rows is put together from
     already known blocks of 1, 4, 16, 64 ... rows that end at earlier offsets, each fetched
     with `lag`: a dozen look-ups instead of n updates, all in generated code. Summaries of
-    adjacent blocks combine exactly (sums, sums of squares; high, low and drawdown). A
+    adjacent blocks combine exactly (sum; sum of squared deviations; high, low, drawdown). A
     missing input or a short history makes a block, and so the window, missing.
 
     The stages are kept apart by the window operators between them, which keeps each
@@ -52,7 +52,7 @@ class Trailing:
     """
 
     RADIX = 4
-    FIELDS = {"mean": ("sum",), "std": ("sum", "ssq"), "drawdown": ("sum", "hi", "lo", "dd")}
+    FIELDS = {"mean": ("sum",), "std": ("sum", "sq"), "drawdown": ("sum", "hi", "lo", "dd")}
 
     def __init__(self, *keys: str):
         names = ", ".join(f"`{k}`" for k in keys or ("ticker",))
@@ -72,7 +72,6 @@ class Trailing:
         return self._roll("mean", x, rows)
 
     def deviation(self, x: str, rows: int) -> Column:
-        """Sample deviation from sums of squares: meant for returns, whose mean is small."""
         return self._roll("std", x, rows)
 
     def max_drawdown(self, price: str, rows: int) -> Column:
@@ -183,8 +182,7 @@ class Trailing:
         source = _state(x, f, size)
         if source is None:
             return "0.0D"
-        value = _at(source, offset) if offset else source
-        return f"({value} * {value})" if size == 1 and f == "ssq" else value
+        return _at(source, offset) if offset else source
 
     def _merge(self, x: str, f: str, blocks: list[tuple[int, int]]) -> str:
         """Field `f` of the union of adjacent blocks."""
@@ -192,8 +190,15 @@ class Trailing:
         pieces = [self._piece(x, f, *b) for b in oldest_first]
         if len(pieces) == 1:
             return pieces[0]
-        if f in ("sum", "ssq"):
+        if f == "sum":
             return "(" + " + ".join(pieces) + ")"
+        if f == "sq":
+            # Squares inside the blocks plus those of the block means around the joint mean.
+            mean = f"{self._merge(x, 'sum', blocks)} / {sum(size for size, _ in blocks)}D"
+            for size, offset in oldest_first:
+                gap = f"({self._piece(x, 'sum', size, offset)} / {size}D - {mean})"
+                pieces.append(f"{size}D * {gap} * {gap}")
+            return "(" + " + ".join(piece for piece in pieces if piece != "0.0D") + ")"
         if f in ("hi", "lo"):
             return f"{'greatest' if f == 'hi' else 'least'}({', '.join(pieces)})"
         highs = [self._piece(x, "hi", *b) for b in oldest_first]
@@ -209,8 +214,7 @@ class Trailing:
         if kind == "mean":
             return f"{total} / {rows}D"
         if kind == "std":
-            squares = self._merge(x, "ssq", blocks)
-            return f"sqrt(abs({squares} - {total} * {total} / {rows}D) / {rows - 1}D)"
+            return f"sqrt({self._merge(x, 'sq', blocks)} / {rows - 1}D)"
         return f"if({total} is null, null, {self._merge(x, 'dd', blocks)})"
 
 
@@ -218,7 +222,7 @@ def _state(x: str, field: str, size: int) -> str | None:
     """Column that holds a block summary; single rows need none but their value."""
     if size > 1:
         return f"`_{x}_{field}_{size}`"
-    return None if field == "dd" else f"`{x}`"
+    return None if field in ("sq", "dd") else f"`{x}`"
 
 
 def _at(source: str, offset: int) -> str:

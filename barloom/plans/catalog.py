@@ -640,7 +640,18 @@ def _vectors(spark, sf):
     return models.assemble(i.stored(spark, sf, "tagged", lambda: i.tagged(spark, sf)))
 
 
+_tuned_once: dict[tuple[str, str, str], models.Tuned] = {}
+
+
 def _tuned(spark, sf, name):
+    """Tuned model, kept for the application: several queries show parts of the same search."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _tuned_once:
+        _tuned_once[key] = _search(spark, sf, name)
+    return _tuned_once[key]
+
+
+def _search(spark, sf, name):
     rows = _vectors(spark, sf).where("split = 'train'")
     folds = splits.cv_folds(splits.date_axis(rows), TUNING.cv_splits, MODEL_PARAMS.cv_gap()).collect()
     return models.tune(SPECS[name], rows, folds, TUNING)
