@@ -47,8 +47,12 @@ def parse_date(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.DateType):
         return column
     if isinstance(data_type, T.StringType):
-        wall_clock = F.regexp_replace(F.trim(column), r"(?<=:\d{2})(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})$", "")
-        return F.try_to_timestamp(wall_clock).cast("date")
+        text = F.trim(column)
+        wall_clock = F.regexp_replace(text, r"(?<=:\d{2})(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})$", "")
+        # Plain dates, the common case, skip the pattern and the timestamp parser.
+        return F.when(F.length(text) <= 10, text.try_cast("date")).otherwise(
+            F.try_to_timestamp(wall_clock).cast("date")
+        )
     return column.cast("date")
 
 

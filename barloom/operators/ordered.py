@@ -11,27 +11,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 256
+FEWEST_BLOCKS, MOST_BLOCKS = 32, 8192
 
 
-def _block_number(value: Column, cuts: Column, blocks: int) -> Column:
-    """How many of the sorted cut points are below `value`, by binary search."""
-    steps, step = [], 1
+def default_blocks(rows: DataFrame) -> int:
+    """As many blocks per group as the session has shuffle partitions, within limits.
+
+    A cluster sized for more data gets finer blocks; the cut points of a group stay a
+    small array either way.
+    """
+    configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(FEWEST_BLOCKS, min(configured, MOST_BLOCKS))
+
+
+def _with_block(rows: DataFrame, value: str, blocks: int) -> DataFrame:
+    """Add `_block`: how many of the sorted `_cuts` are below the value.
+
+    A binary search written as one small column per step, all in generated code.
+    """
+    step = 1
     while step * 2 <= blocks:
         step *= 2
+    rows = rows.withColumn("_block", F.lit(0))
     while step:
-        steps.append(step)
+        rows = rows.withColumn(
+            "_block", F.expr(f"if(try_element_at(_cuts, _block + {step}) < `{value}`, _block + {step}, _block)")
+        )
         step //= 2
-
-    def probe(at: Column, jump: Column) -> Column:
-        nxt = at + jump
-        return F.when((nxt <= F.size(cuts)) & (F.try_element_at(cuts, nxt) < value), nxt).otherwise(at)
-
-    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), probe)
+    return rows.drop("_cuts")
 
 
 def running_totals(
-    rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column], blocks: int = BLOCKS
+    rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column], blocks: int | None = None
 ) -> DataFrame:
     """One row per (keys, distinct value) with its sums and the sums before it.
 
@@ -39,17 +50,16 @@ def running_totals(
     `name_total` (over the group) and `name_below` (at the next smaller value, NULL at the
     smallest), plus `is_largest`.
     """
+    blocks = blocks or default_blocks(rows)
     distinct = rows.groupBy(*keys, value).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
     shares = [i / blocks for i in range(1, blocks)]
+    # One row per group: cut points and group totals. Groups are models, not data.
     cuts = distinct.groupBy(*keys).agg(
-        F.percentile_approx(value, shares, blocks * 50).alias("_cuts")
+        F.percentile_approx(value, shares, blocks * 50).alias("_cuts"),
+        *(F.sum(n).alias(f"{n}_total") for n in sums),
     )
-    # One row per group with a fixed-size array; groups are models, not data.
-    placed = distinct.join(cuts, keys).withColumn(
-        "_block", _block_number(F.col(value), F.col("_cuts"), blocks)
-    ).drop("_cuts")
+    placed = _with_block(distinct.join(cuts, keys, "left"), value, blocks)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
     along = Window.partitionBy(*keys).orderBy("_block")
     heads = placed.groupBy(*keys, "_block").agg(
         *(F.sum(n).alias(f"_s_{n}") for n in sums),
@@ -57,13 +67,12 @@ def running_totals(
     ).select(
         *keys, "_block",
         *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums),
-        *(F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in sums),
         *(F.lag(f"_h_{n}").over(along).alias(f"_n_{n}") for n in sums),
         F.lead("_block").over(along).isNull().alias("_last_block"),
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(value)
     upto = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(heads, [*keys, "_block"]).select(
+    return placed.join(heads, [*keys, "_block"], "left").select(
         *keys, value, *sums,
         *((F.col(f"_o_{n}") + F.coalesce(F.sum(n).over(upto), F.lit(0))).alias(f"{n}_before") for n in sums),
         *(f"{n}_total" for n in sums),

@@ -50,11 +50,11 @@ def confusion_shares(counts: DataFrame) -> DataFrame:
     )
 
 
-def _by_probability(predictions: DataFrame, keys: list[str]) -> DataFrame:
+def _by_probability(predictions: DataFrame, keys: list[str], *names: str) -> DataFrame:
     y = F.col("target")
+    sums = {"n": F.lit(1).cast("long"), "pos": y.cast("long"), "neg": (1 - y).cast("long")}
     return running_totals(
-        predictions.select(*keys, "prob_up", "target"), keys, "prob_up",
-        {"n": F.lit(1).cast("long"), "pos": y.cast("long"), "neg": (1 - y).cast("long")},
+        predictions.select(*keys, "prob_up", "target"), keys, "prob_up", {n: sums[n] for n in names}
     )
 
 
@@ -65,7 +65,7 @@ def roc_points(predictions: DataFrame, keys: tuple[str, ...] = ("split", "model"
     interior when the next smaller probability adds exactly the same counts.
     """
     keys = list(keys)
-    t = _by_probability(predictions, keys).where("pos_total > 0 and neg_total > 0")
+    t = _by_probability(predictions, keys, "pos", "neg").where("pos_total > 0 and neg_total > 0")
     interior = (
         ~F.col("is_largest")
         & F.coalesce(F.col("pos") == F.col("pos_below"), F.lit(False))
@@ -109,12 +109,15 @@ def calibration_curve(
     keys = ["split", "model"]
     if baseline:
         predictions = predictions.where(F.col("model") != baseline)
-    totals = _by_probability(predictions, keys)
+    totals = _by_probability(predictions, keys, "n")
     edges = _quantile_edges(totals, keys, bins).where("_distinct > 1")
+    counted = predictions.groupBy(*keys, "prob_up").agg(
+        F.count("*").alias("n"), F.sum("target").alias("pos")
+    )
     p = F.col("prob_up")
     place = sum(((F.col("_edges")[j] < p).cast("int") for j in range(bins - 1)), F.lit(0))
     return (
-        totals.join(F.broadcast(edges), keys)
+        counted.join(F.broadcast(edges), keys)
         .withColumn("bin", place)
         .groupBy(*keys, "bin")
         .agg(

@@ -64,7 +64,9 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
     summary = splits.segment_summary(segments)
     tables.save_table(summary, f"{out}/tables/splits")
     splits.assert_chronological(summary)
-    splits.tag_rows(rows, segments, "ordinal", "split").write.mode("overwrite").parquet(f"{out}/tagged")
+    # Laid out by date, so every segment and fold filter skips the files it does not need.
+    splits.tag_rows(rows, segments, "ordinal", "split").repartitionByRange("ordinal").sortWithinPartitions(
+        "ordinal", "ticker").write.mode("overwrite").parquet(f"{out}/tagged")
     vectors = models.assemble(spark.read.parquet(f"{out}/tagged"), names).persist()
 
     specs = models.model_specs(params)
