@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {}
 GATE = DataParams(market_ticker=i.MARKET, start="1995-07-01", end="2001-06-30", min_rows=2000)
 LONG_SHORT = BacktestParams(long_short=True, threshold=0.52, short_threshold=0.48, execution_lag=1, cost_bps=10.0, risk_free_rate=0.02)
 SELECTED = "momentum"
+WF = PARAMS.walk_forward
 
 
 def query(fn: Query) -> Query:
@@ -369,7 +370,7 @@ def cv_fold_rows(spark, sf):
 @query
 def walk_forward_folds(spark, sf):
     axis = i.axis(spark, sf)
-    return splits.fold_table(splits.walk_forward_folds(axis, 756, 252, 1), axis)
+    return splits.fold_table(splits.walk_forward_folds(axis, WF.min_train_days, WF.test_days, 1), axis)
 
 
 @query
@@ -377,7 +378,7 @@ def development_folds(spark, sf):
     """Walk-forward restricted to train and validation dates."""
     rows = splits.development_rows(i.tagged(spark, sf), "development").drop("ordinal", "split")
     axis = splits.date_axis(rows)
-    return splits.fold_table(splits.walk_forward_folds(axis, 504, 300, 2), axis)
+    return splits.fold_table(splits.walk_forward_folds(axis, 300, 150, 2), axis)
 
 
 # ---- baseline, weights, selection
@@ -395,8 +396,8 @@ def score_predictions(spark, sf):
 @query
 def walk_forward_majority(spark, sf):
     axis = i.axis(spark, sf)
-    folds = splits.walk_forward_folds(axis, 756, 252, 1)
-    return neat(baseline.walk_forward_majority(i.the_panel(spark, sf), axis, folds, 756, 252))
+    folds = splits.walk_forward_folds(axis, WF.min_train_days, WF.test_days, 1)
+    return neat(baseline.walk_forward_majority(i.the_panel(spark, sf), axis, folds, WF.min_train_days, WF.test_days))
 
 
 @query
@@ -717,7 +718,7 @@ def refit_test_predictions(spark, sf):
 def walk_forward_models(spark, sf):
     rows = i.the_panel(spark, sf)
     axis = splits.date_axis(rows)
-    folds = splits.walk_forward_folds(axis, 756, 504, 1).collect()  # one row per block
+    folds = splits.walk_forward_folds(axis, WF.min_train_days, 504, 1).collect()  # one row per block
     numbered = models.assemble(splits.tag_rows(rows, axis, "ordinal"))
     frozen = [(SPECS["majority"], {}), (SPECS["logreg_l2"], {"C": 0.01})]
     return models.walk_forward_predictions(frozen, numbered, folds)

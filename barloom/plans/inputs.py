@@ -21,7 +21,7 @@ from barloom.sources.tables import _exists
 MARKET = "STANDARD"
 PARAMS = ResearchParams(
     data=DataParams(market_ticker=MARKET, min_rows=300),
-    walk_forward=WalkForwardParams(min_train_days=756, test_days=252),
+    walk_forward=WalkForwardParams(min_train_days=400, test_days=126),
 )
 _written: dict[tuple[str, str, str], str] = {}
 

@@ -221,9 +221,9 @@ CTES: dict[str, str] = {
     "folds4": """SELECT i AS fold, 0::BIGINT AS train_from, greatest(n - (4 - i) * (n // 5) - 1, 0) AS train_to,
         n - (4 - i) * (n // 5) AS test_from, n - (4 - i) * (n // 5) + n // 5 AS test_to
       FROM (SELECT count(*) AS n FROM axis), range(4) t(i)""",
-    "wf": """SELECT k AS fold, greatest(756 + k * 252 - 1, 1) AS train_to, 756 + k * 252 AS test_from,
-        least(756 + (k + 1) * 252, n) AS test_to
-      FROM (SELECT count(*) AS n FROM axis), range(1000) t(k) WHERE 756 + k * 252 < n""",
+    "wf": """SELECT k AS fold, greatest(400 + k * 126 - 1, 1) AS train_to, 400 + k * 126 AS test_from,
+        least(400 + (k + 1) * 126, n) AS test_to
+      FROM (SELECT count(*) AS n FROM axis), range(1000) t(k) WHERE 400 + k * 126 < n""",
     "priors": """SELECT 'validation' AS split, avg(target) AS prior FROM tagged WHERE split = 'train'
       UNION ALL SELECT 'test', avg(target) FROM tagged WHERE split IN ('train', 'validation')""",
     "major": """SELECT date, ticker, split, 'majority' AS model, prior AS prob_up, target, fwd_ret
@@ -420,8 +420,8 @@ BODIES: dict[str, str] = {
       GROUP BY fold, role, ticker""",
     "walk_forward_folds": fold_sql("wf").replace("{axis}", "axis"),
     "development_folds": fold_sql(
-        """(SELECT k AS fold, 504 + k * 300 - 2 AS train_to, 504 + k * 300 AS test_from, least(504 + (k + 1) * 300, n) AS test_to
-            FROM (SELECT count(*) AS n FROM seg WHERE split IN ('train', 'validation')), range(1000) t(k) WHERE 504 + k * 300 < n)"""
+        """(SELECT k AS fold, 300 + k * 150 - 2 AS train_to, 300 + k * 150 AS test_from, least(300 + (k + 1) * 150, n) AS test_to
+            FROM (SELECT count(*) AS n FROM seg WHERE split IN ('train', 'validation')), range(1000) t(k) WHERE 300 + k * 150 < n)"""
     ).replace("{axis}", """(SELECT date, n_rows, row_number() OVER (ORDER BY date) - 1 AS ordinal FROM seg WHERE split IN ('train', 'validation'))"""),
     "majority_predictions": f"SELECT date, ticker, split, model, {cols(['prob_up', 'fwd_ret'])}, target FROM major",
     "score_predictions": f"SELECT date, ticker, split, model, {cols(['prob_up', 'fwd_ret'])}, target FROM scored",
