@@ -155,29 +155,27 @@ def walk_forward_folds(axis: DataFrame, min_train: int, test_days: int, purge: i
 def fold_table(folds: DataFrame, axis: DataFrame) -> DataFrame:
     """Folds with their dates and row counts.
 
-    Row counts come from a running total along the axis, looked up at the four bounds:
-    fold membership of single rows is never materialised.
+    Row counts come from a running total along the axis, looked up at the four edges of
+    each fold: fold membership of single rows is never materialised.
     """
     so_far = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     totals = axis.select(
         "ordinal", "date", "n_rows", F.sum("n_rows").over(so_far).alias("through")
     )
-    bounds = {
-        "train_from": ("train_start", "b"), "train_to": ("train_end", "e"),
-        "test_from": ("test_start", "b"), "test_to": ("test_end", "e"),
-    }
-    out = folds
-    for bound, (name, side) in bounds.items():
-        at = F.col(bound) if side == "b" else F.col(bound) - 1
-        edge = totals.select(
-            F.col("ordinal").alias("_o"), F.col("date").alias(name),
-            (F.col("through") - (F.col("n_rows") if side == "b" else 0)).alias(f"_{bound}"),
-        )
-        out = out.join(F.broadcast(edge), at == F.col("_o"), "left").drop("_o")
-    return out.select(
-        "fold", "train_start", "train_end", "test_start", "test_end",
-        (F.col("_train_to") - F.col("_train_from")).alias("train_rows"),
-        (F.col("_test_to") - F.col("_test_from")).alias("test_rows"),
+    edge = lambda name, at: F.struct(F.lit(name).alias("edge"), at.cast("long").alias("ordinal"))
+    edges = folds.select("fold", F.inline(F.array(
+        edge("train_start", F.col("train_from")), edge("train_end", F.col("train_to") - 1),
+        edge("test_start", F.col("test_from")), edge("test_end", F.col("test_to") - 1),
+    )))
+    found = edges.join(
+        F.broadcast(totals.withColumn("ordinal", F.col("ordinal").cast("long"))), "ordinal"
+    )
+    at = lambda name, value: F.max(F.when(F.col("edge") == name, value))
+    through, before = F.col("through"), F.col("through") - F.col("n_rows")
+    return found.groupBy("fold").agg(
+        *(at(name, F.col("date")).alias(name) for name in ("train_start", "train_end", "test_start", "test_end")),
+        (at("train_end", through) - at("train_start", before)).alias("train_rows"),
+        (at("test_end", through) - at("test_start", before)).alias("test_rows"),
     )
 
 

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import re
 
+from barloom.operators.panel import feature_dictionary
+from barloom.plans.inputs import PARAMS
+
+DEFINITIONS = feature_dictionary(PARAMS)
 RET = (1, 2, 5, 10, 20, 60)
 VOL = (5, 10, 20, 60)
 MA = (5, 20, 50)
@@ -399,6 +403,9 @@ BODIES: dict[str, str] = {
         count(*) - count(*) FILTER ({WHOLE}) AS dropped FROM fullp GROUP BY ticker""",
     "feature_panel": f"SELECT date, ticker, {cols([*FEATURES, 'fwd_ret'])}, target FROM panel",
     "feature_panel_in_blocks": f"SELECT date, ticker, {cols([*FEATURES, 'fwd_ret'])}, target FROM panel",
+    "feature_dictionary": " UNION ALL ".join(
+        f"SELECT {k} AS position, '{f}' AS feature, '{DEFINITIONS[f]}' AS definition, count({f}) AS n, "
+        f"{r(f'min({f})')} AS low, {r(f'max({f})')} AS high FROM panel" for k, f in enumerate(FEATURES)),
     "panel_profile": f"""SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, {len(FEATURES)} AS features, min(date) AS start,
         max(date) AS "end", {r('avg(target)')} AS up_rate FROM panel""",
     "date_axis": "SELECT date, ordinal, n_dates, n_rows FROM axis",

@@ -106,3 +106,9 @@ def test_bar_files_round_trip(spark, raw):
     bars.drop("ticker").coalesce(1).write.option("header", True).csv(f"{named}/ticker=spy")
     assert bar_files.read_vendor_csv(spark, named).select("ticker").distinct().first()[0].upper() == "SPY"
     assert bar_files.read_bars(spark, named, "csv").agg(F.min("date")).first()[0] == dt.date(2024, 1, 2)
+
+
+def test_copies_of_a_day_collapse_before_the_shuffle(raw):
+    """A day with any number of copies leaves each task as one record."""
+    plan = C.daily_candidates(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "SortAggregate" not in plan and "Window" not in plan

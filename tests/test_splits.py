@@ -61,6 +61,8 @@ def test_overlap_is_detected(spark):
 def test_walk_forward_sizes(dates):
     axis = splits.date_axis(dates(100))
     folds = splits.fold_table(splits.walk_forward_folds(axis, 40, 25, 1), axis).orderBy("fold").collect()
+    plan = splits.fold_table(splits.walk_forward_folds(axis, 40, 25, 1), axis)._jdf.queryExecution().executedPlan()
+    assert "NestedLoop" not in plan.toString() and "Cartesian" not in plan.toString()
     assert [f.train_rows for f in folds] == [78, 128, 178] and [f.test_rows for f in folds] == [50, 50, 20]
     assert all(f.train_end < f.test_start for f in folds) and {str(f.train_start) for f in folds} == {"2020-01-01"}
 
