@@ -1,11 +1,12 @@
 """Registered queries of the corpus operators and the SQL of those that SQL can express."""
 
-from barloom.llm import bpe, exact_dedup, license_scan, packing, pii, quality, secret_scan, sharding
+from barloom.llm import bpe, exact_dedup, license_scan, packing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_warc": warc.op4_warc,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality.op8_quality_rules,
@@ -15,4 +16,5 @@ QUERIES = {
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op4_warc": warc.SQL,
 }
