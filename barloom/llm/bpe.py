@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import fresh, table, text_of, wider
+from barloom.llm.common import fresh, map_batches, table, text_of, wider
 
 MEMO = 400_000   # pieces in each of the memo's two halves
 CHUNK = 500_000  # pieces looked up together
@@ -191,7 +191,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], name])
 
-    return docs.select(*(F.col(f"`{c}`") for c in carry), text_of(text).alias(source)).mapInArrow(run, wider(kept.schema, (name, "array<int>")))
+    return map_batches(docs.select(*(F.col(f"`{c}`") for c in carry), text_of(text).alias(source)), run, wider(kept.schema, (name, "array<int>")))
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -208,7 +208,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, ids: str
             raw = [b"".join(map(token, v.values.to_pylist())) if v.is_valid else None for v in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, name])
 
-    return encoded.mapInArrow(run, wider(encoded.schema, (name, "binary")))
+    return map_batches(encoded, run, wider(encoded.schema, (name, "binary")))
 
 
 def op1_bpe(spark, sf_dir):

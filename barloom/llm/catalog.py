@@ -1,17 +1,20 @@
 """Registered queries of the corpus operators and the SQL of those that SQL can express."""
 
-from barloom.llm import bpe, exact_dedup, license_scan, packing, pii, quality, secret_scan, sharding, warc
+import corpus_pipeline
+from barloom.llm import bpe, exact_dedup, license_scan, near_dedup, packing, pii, quality, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_warc": warc.op4_warc,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm.common import fresh, stored, table, text_of
+from barloom.llm.common import fresh, map_batches, stored, table, text_of
 
 CAPACITY = 1024
 SLACK = 4            # a bin with at most this much room left is done
@@ -92,7 +92,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in:
     left = items.where(F.col("length") < capacity).selectExpr("array(item) as members", "array(0) as offsets", "cast(length as int) as total")
     done, parts, before = [], None, None
     while True:
-        bins = stored(left.mapInArrow(_pack(capacity, slack), _BIN))
+        bins = stored(map_batches(left, _pack(capacity, slack), _BIN))
         done.append(bins.where("done"))
         rest = bins.where("not done").drop("done")
         n = rest.count()
@@ -177,7 +177,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int =
             arrays = [pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(parts, pa.list_(pa.int32()))] * keep_ids, names=names + ["ids"] * keep_ids)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).alias("text")), run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

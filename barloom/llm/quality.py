@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import fresh, table, text_of, wider
+from barloom.llm.common import fresh, map_batches, table, text_of, wider
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -130,7 +130,7 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: QualityRules = Quali
                 [*batch.columns[:-1], *(pa.array(v, t) for v, t in zip(facts, arrow, strict=True))],
                 names=[*batch.schema.names[:-1], *names])
 
-    return docs.select(*(F.col(f"`{c}`") for c in carry), text_of(text).alias(source)).mapInArrow(run, schema)
+    return map_batches(docs.select(*(F.col(f"`{c}`") for c in carry), text_of(text).alias(source)), run, schema)
 
 
 def op8_quality_rules(spark, sf_dir):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored, table
+from barloom.llm.common import map_batches, stored, table
 from barloom.sources.session import shared_folder
 
 ARCHIVE_BYTES = 4 << 20   # compressed bytes after which a writer begins the next archive
@@ -182,7 +182,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20010101000000", ip: str
             yield pa.RecordBatch.from_pydict({"archive": [b"".join(parts)]})
 
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
-    _write_archives(rows.mapInArrow(run, "archive binary"), path)
+    _write_archives(map_batches(rows, run, "archive binary"), path)
 
 
 def arc_index(spark: SparkSession, path: str) -> DataFrame:
@@ -202,7 +202,7 @@ def arc_index(spark: SparkSession, path: str) -> DataFrame:
                 types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return _read_archives(spark, path).mapInArrow(run, "path string, offset bigint, page_id bigint, record string, bytes bigint, digest string")
+    return map_batches(_read_archives(spark, path), run, "path string, offset bigint, page_id bigint, record string, bytes bigint, digest string")
 
 
 def revisits(index: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -235,7 +235,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
                 parts += [member(to_warc(fields, body, known.get(offset))) for offset, fields, body in read_arc(content)]
                 yield pa.RecordBatch.from_pydict({"archive": [b"".join(parts)]})
 
-    _write_archives(work.mapInArrow(run, "archive binary"), warc_path)
+    _write_archives(map_batches(work, run, "archive binary"), warc_path)
 
 
 def read_warc_records(spark: SparkSession, path: str) -> DataFrame:
@@ -265,7 +265,7 @@ def read_warc_records(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return _read_archives(spark, path).mapInArrow(run, schema)
+    return map_batches(_read_archives(spark, path), run, schema)
 
 
 def through_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
