@@ -26,10 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import fresh, map_batches, table, text_of, wider
+from barloom.llm.common import fresh, map_batches, table, text_of, text_ranges, wider
 
-MEMO = 400_000   # pieces in each of the memo's two halves
-CHUNK = 500_000  # pieces looked up together
+MEMO = 200_000   # pieces in each of the memo's two halves
+CHUNK = 2_000_000  # characters encoded and handed on together
+PAIRS = 500_000    # remembered token pairs
 
 
 def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -46,7 +47,7 @@ class BytePairCodec:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._size = {rank: len(token) for rank, token in self.bytes_of.items()}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         # A token that its own merges do not produce can only stand for a whole piece.
@@ -73,7 +74,7 @@ class BytePairCodec:
         return [self.ranks[p] for p in parts]
 
     def _compatible(self, left: int, right: int) -> bool:
-        fits = self._fits[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        fits = self._fits[left << 32 | right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return fits
 
     def _next_shorter(self, token: int) -> int | None:
@@ -100,7 +101,7 @@ class BytePairCodec:
         while True:
             end = at + size[token]
             if not dead[end]:
-                fits = before < 0 or known((before, token))
+                fits = before < 0 or known(before << 32 | token)
                 if fits is None:
                     fits = self._compatible(before, token)
                 if fits:
@@ -133,31 +134,27 @@ class BytePairCodec:
                         self._memo = memo = {}
                     memo[piece] = ids
             out.append(ids)
-        if len(self._fits) > 4 * MEMO:
+        if len(self._fits) > PAIRS:
             self._fits.clear()
         return out
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids in order, number of ids of each text); equal pieces of a chunk of texts are looked up once."""
-        flat, counts, k = [np.empty(0, np.int32)], [], 0
-        while k < len(texts):
-            pieces: list[str] = []
-            ends = [0]
-            while k < len(texts) and len(pieces) < CHUNK:
-                pieces += self._pieces(texts[k])
-                ends.append(len(pieces))
-                k += 1
-            coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-            at = coded.indices.to_numpy()
-            each = self._ids_of(coded.dictionary.to_pylist())
-            known = np.frombuffer(b"".join(each), np.int32)
-            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-            starts = np.cumsum(sizes) - sizes
-            n = sizes[at]
-            upto = np.concatenate([[0], np.cumsum(n)])
-            flat.append(known[np.repeat(starts[at] - upto[:-1], n) + np.arange(upto[-1])])
-            counts.append(np.diff(upto[np.array(ends)]))
-        return np.concatenate(flat), np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int64)
+        """(all ids in order, number of ids of each text); equal pieces are looked up once."""
+        pieces: list[str] = []
+        ends = [0]
+        for text in texts:
+            pieces += self._pieces(text)
+            ends.append(len(pieces))
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        del pieces
+        at = coded.indices.to_numpy()
+        each = self._ids_of(coded.dictionary.to_pylist())
+        known = np.frombuffer(b"".join(each), np.int32)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        return known[np.repeat(starts[at] - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[np.array(ends)])
 
     def encode(self, text: str) -> list[int]:
         """Token ids; an empty text has none."""
@@ -167,6 +164,11 @@ class BytePairCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def token_bytes(vocabulary: bytes) -> dict[int, bytes]:
+    return {rank: token for token, rank in load_ranks(vocabulary.splitlines()).items()}
+
+
 @lru_cache(maxsize=2)
 def codec(vocabulary: bytes, pattern: str) -> BytePairCodec:
     return BytePairCodec(load_ranks(vocabulary.splitlines()), pattern)
@@ -187,14 +189,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(ranks, pattern).encode_batch
         for batch in batches:
-            flat, counts = encode(batch.column(batch.num_columns - 1).to_pylist())
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], name])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in text_ranges(texts, CHUNK):
+                flat, counts = encode(texts[a:b])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), ids], names=[*batch.schema.names[:-1], name])
 
     return map_batches(docs.select(*(F.col(f"`{c}`") for c in carry), text_of(text).alias(source)), run, wider(kept.schema, (name, "array<int>")))
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """All columns and the bytes that the ids stand for; null ids give null, an empty array no bytes."""
     with open(vocabulary, "rb") as f:
         ranks = f.read()
@@ -202,11 +206,12 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, ids: str
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = codec(ranks, pattern).bytes_of.__getitem__
-        for batch in batches:
-            lists = batch.column(at)
-            raw = [b"".join(map(token, v.values.to_pylist())) if v.is_valid else None for v in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, name])
+        token = token_bytes(ranks).__getitem__
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                raw = [b"".join(map(token, v.values.to_pylist())) if v.is_valid else None for v in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, name])
 
     return map_batches(encoded, run, wider(encoded.schema, (name, "binary")))
 
@@ -216,7 +221,7 @@ def op1_bpe(spark, sf_dir):
 
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = encode_documents(table(spark, sf_dir, "documents"), vocabulary, pattern, carry=["doc_id"])
-    both = decode_documents(encoded, vocabulary, pattern)
+    both = decode_documents(encoded, vocabulary)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

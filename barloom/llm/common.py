@@ -69,3 +69,15 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
     return df.mapInArrow(run, schema)
+
+
+def text_ranges(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters in all; a longer text is a range of its own."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import fresh, map_batches, stored, table, text_of
+from barloom.llm.common import fresh, map_batches, stored, table, text_of, text_ranges
 
 
 @dataclass(frozen=True)
@@ -176,25 +176,13 @@ def bands_of(sig: np.ndarray, rules: NearRules) -> np.ndarray:
     return key
 
 
-def _batches(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about so many characters in all."""
-    begin = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield begin, k + 1
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def sketch(docs: DataFrame, rules: NearRules, text: str, doc_id: str) -> DataFrame:
     """Per row: doc_id, row_id, node (digest of the text), n_shingles, bands (empty without shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             counts, keys = [np.zeros(0, np.int64)], [np.zeros((0, rules.bands), np.uint64)]
-            for a, b in _batches(texts):
+            for a, b in text_ranges(texts):
                 doc, item, times = shingles(texts[a:b], rules.words)
                 sig = signatures(doc, item, times.astype(float), b - a, rules.coordinates, rules.seed)
                 counts.append(np.bincount(doc, minlength=b - a))
@@ -215,7 +203,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, rules: NearRules, text: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _batches(texts):
+            for a, b in text_ranges(texts):
                 doc, item, _ = shingles(texts[a:b], rules.words)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(item.view(np.int64)))], names=["node", "items"])
