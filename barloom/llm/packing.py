@@ -96,10 +96,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in:
         done.append(bins.where("done"))
         rest = bins.where("not done").drop("done")
         n = rest.count()
-        if n == 0 or parts == 1 or n == before:
+        fewer = max(1, -(-n // PER_TASK), (parts or 64) // fan_in)
+        if n == 0 or parts == 1 or (n == before and fewer == parts):
             done.append(rest)
             break
-        parts, before = max(1, -(-n // PER_TASK), (parts or 64) // fan_in), n
+        parts, before = fewer, n
         left = rest.repartition(parts, F.xxhash64(F.col("members")[0]))
     out = full
     for bins in done:

@@ -43,7 +43,7 @@ def _best_entropy(rules: EntropyRules) -> str:
     w = rules.window
 
     def f(c: str) -> str:  # c*log2(c), 0 at 0
-        return f"(if({c} > 1, {c} * log2({c}), 0D))"
+        return f"(if(({c}) > 1, ({c}) * log2({c}), 0D))"
 
     count = "acc.counts[{0} - 1]"
     goes, comes = count.format("p.goes"), count.format("p.comes")
