@@ -9,10 +9,10 @@ weighted Jaccard similarity.
 
 Bands of the signature are joined as follows. Equal texts are one node. In each bucket of a band all members are compared
 with one leader, so a bucket gives as many pairs as members. Pairs are verified by exact Jaccard similarity of their
-shingle sets; linked nodes are contracted to components. That is repeated with other leaders, and only for buckets whose
-members are still in different components, a member being compared only with leaders of other components. What
-is then left are buckets whose components stay apart; there every member is compared with all members of other
-components, so no link between candidates is lost, while no group is ever expanded into all its pairs.
+shingle sets; linked nodes are contracted to components. That is repeated with another leader, and only for buckets whose
+members are still in different components. What is then left are buckets whose components stay apart. Their members are
+cut into blocks of bounded size and compared block by block, a block pair being one matrix product inside a task; it
+returns only the links that join components. So no link between candidates is lost, and pairs never become rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import fresh, map_batches, stored, table, text_of, text_ranges
+from barloom.llm.common import fresh, map_batches, parallelism, stored, table, text_of, text_ranges
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,8 @@ class NearRules:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 4             # coordinates of a band: a pair at 0.8 is missed with chance 3e-6
-    leader_rounds: int = 4    # rounds of one leader a bucket before all remaining pairs across components
+    leader_rounds: int = 2    # rounds of one leader a bucket before the members that are left are compared in blocks
+    block_items: int = 20_000 # shingles of a block of members
     seed: int = 7
 
     @property
@@ -234,6 +235,65 @@ def verified(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "a_items", "b_items"), run, "a string, b string")
 
 
+def _parts(members: pa.StructArray) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    items = members.field("items")
+    return members.field("node").to_pylist(), members.field("comp").to_pylist(), items.flatten().to_numpy(), np.diff(items.offsets.to_numpy())
+
+
+def block_links(rules: NearRules):
+    """Batches of (one, two), lists of (node, comp, items), to links (a, b) that join components of the two lists."""
+    def of(one: pa.StructArray, two: pa.StructArray) -> Iterator[tuple[str, str]]:
+        (an, ac, ai, al), (bn, bc, bi, bl) = _parts(one), _parts(two)
+        _, number, times = np.unique(np.concatenate([ai, bi]), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)  # an item in one text only adds to no overlap
+        column = np.full(len(times), -1)
+        column[shared] = np.arange(len(shared))
+
+        def matrix(numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+            m = np.zeros((len(lengths), len(shared)), np.float32)
+            row, col = np.repeat(np.arange(len(lengths)), lengths), column[numbers]
+            m[row[col >= 0], col[col >= 0]] = 1
+            return m
+
+        both = (matrix(number[:len(ai)], al) @ matrix(number[len(ai):], bl).T).astype(float)
+        alike = both / np.maximum(1, al[:, None] + bl[None, :] - both) >= rules.similarity
+        root: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while c in root:
+                c = root[c]
+            return c
+
+        for i, j in np.argwhere(alike):
+            x, y = find(ac[i]), find(bc[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield an[i], bn[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [link for k in range(batch.num_rows) for link in of(batch.column(0)[k].values, batch.column(1)[k].values)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def blockwise(open_: DataFrame, nodes: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
+    """Links (a, b) between components that share a bucket; `open_` has (node, band, key, comp)."""
+    sized = open_.join(nodes.select("node", "n_shingles"), "node")
+    bulk = sized.groupBy("band", "key").agg(F.ceil(F.sum("n_shingles") / rules.block_items).cast("int").alias("blocks"))
+    dealt = sized.join(bulk, ["band", "key"]).select("band", "key", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "comp")
+    member = F.struct("node", "comp", "items")
+    blocks = stored(dealt.join(sets, "node").groupBy("band", "key", "block").agg(
+        F.collect_list(member).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    one = blocks.select("band", "key", "block", F.col("members").alias("one"), "lo", "hi")
+    two = blocks.select("band", "key", F.col("block").alias("block2"), F.col("members").alias("two"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    mixed = "block <= block2 and (lo <> hi or lo2 <> hi2 or lo <> lo2)"
+    met = one.join(two, ["band", "key"]).where(mixed).select("one", "two")
+    # Blocks are large rows: spread them evenly, a few to an Arrow batch.
+    return map_batches(met.repartition(parallelism(met.sparkSession)), block_links(rules), "a string, b string")
+
+
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp) after joining components along links (a, b) of nodes: each round every component hooks to its least
     neighbour, hooks are followed twice, and links within a component vanish."""
@@ -273,7 +333,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules:
     `docs` is any table Spark reads the same way twice; other columns are not read.
     """
     rows = stored(sketch(docs, rules, text, doc_id))
-    nodes = stored(rows.where("n_shingles > 0").groupBy("node").agg(F.min("row_id").alias("row_id"), F.first("bands").alias("bands")))
+    nodes = stored(rows.where("n_shingles > 0").groupBy("node").agg(F.min("row_id").alias("row_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = stored(buckets.join(shared, ["band", "key"]))
@@ -281,29 +341,21 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules:
     sets = stored(shingle_sets(docs, nodes.join(involved, "node", "left_semi"), rules, text))
     labels = stored(involved.select("node", F.col("node").alias("comp")))
 
-    tried = None
-    for turn in range(rules.leader_rounds + 1):
+    def still_open(labels: DataFrame) -> DataFrame:
         placed = members.join(labels, "node")
         apart = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band", "key")
-        open_ = stored(placed.join(apart, ["band", "key"]))
-        if turn < rules.leader_rounds:
-            # Another leader each turn: the member whose hash with the turn is least.
-            order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("leader"), F.col("comp").alias("leads"))
-            lead = open_.groupBy("band", "key").agg(F.min(order).alias("l")).select("band", "key", "l.leader", "l.leads")
-            pairs = open_.join(lead, ["band", "key"]).where("comp <> leads").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        else:
-            other = open_.select("band", "key", F.col("node").alias("leader"), F.col("comp").alias("leads"))
-            pairs = open_.join(other, ["band", "key"]).where("comp < leads").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if pairs.isEmpty():
-            if open_.isEmpty():
-                break
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = contract(labels, verified(pairs, sets, rules))
+        return stored(placed.join(apart, ["band", "key"]))
+
+    open_ = still_open(labels)
+    for turn in range(rules.leader_rounds):
+        # Another leader each turn: the member whose hash with the turn is least.
+        order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("leader"), F.col("comp").alias("leads"))
+        lead = open_.groupBy("band", "key").agg(F.min(order).alias("l")).select("band", "key", "l.leader", "l.leads")
+        pairs = open_.join(lead, ["band", "key"]).where("comp <> leads").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        labels = contract(labels, verified(stored(pairs.distinct()), sets, rules))
+        open_ = still_open(labels)
+    if not open_.isEmpty():
+        labels = contract(labels, stored(blockwise(open_, nodes, sets, rules)))
 
     known = rows.join(labels, "node", "left")
     lone = F.when(F.col("n_shingles") == 0, F.concat(F.lit("row "), F.col("row_id").cast("string"))).otherwise(F.coalesce("comp", "node"))

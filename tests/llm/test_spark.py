@@ -157,8 +157,9 @@ def test_near_dedup_keeps_every_link(spark, odd, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
-def test_all_leftover_pairs_are_compared(spark):
-    rules = near_dedup.NearRules(leader_rounds=0)
+@pytest.mark.parametrize("block_items", [300, 20_000])
+def test_members_left_are_compared_in_blocks(spark, block_items):
+    rules = near_dedup.NearRules(leader_rounds=0, block_items=block_items)
     rows = list(enumerate(chain(20, 3)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["class_id"] for r in near_dedup.classes(docs, rules=rules).collect()} == {min(g) for g in jaccard_classes(rows)}
