@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import rnd
-
 PREDICTION_COLUMNS = ("date", "ticker", "split", "model", "prob_up", "target", "fwd_ret")
 
 
@@ -28,6 +26,24 @@ def class_weights(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def fold_class_weights(panel: DataFrame, axis: DataFrame, folds: DataFrame) -> DataFrame:
+    """Class weights of every fold's training rows.
+
+    Classes are counted once per date; running totals along the date axis, read at the last training date, give
+    the folds. No panel row is copied. Training starts at the first date, as in all folds made here.
+    """
+    per = panel.groupBy("date", "target").agg(F.count("*").alias("n"))
+    days = axis.select("date", "ordinal").join(per.groupBy("date").agg(
+        F.sum(F.when(F.col("target") == 1, F.col("n")).otherwise(0)).alias("up"), F.sum("n").alias("n")), "date")
+    so_far = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    totals = days.select(F.col("ordinal").cast("long"), F.sum("up").over(so_far).alias("up"), F.sum("n").over(so_far).alias("n"))
+    ends = folds.select("fold", (F.col("train_to") - 1).cast("long").alias("ordinal")).join(totals, "ordinal")
+    classes = F.array(F.struct(F.lit(0).alias("target"), (F.col("n") - F.col("up")).alias("n_class")),
+                      F.struct(F.lit(1).alias("target"), F.col("up").alias("n_class")))
+    return ends.select("fold", "n", F.inline(classes)).where("n_class > 0").select(
+        "fold", "target", "n_class", (F.col("n") / (2.0 * F.col("n_class"))).alias("weight"))
+
+
 def priors(tagged: DataFrame) -> DataFrame:
     """Prior probability used in each scored split: train for validation, both for test."""
     per = tagged.where(F.col("split").isin("train", "validation")).groupBy("split").agg(
@@ -51,8 +67,12 @@ def majority_predictions(tagged: DataFrame, model: str = "majority") -> DataFram
 
 
 def score_predictions(tagged: DataFrame) -> DataFrame:
-    """Momentum, its mirror image and a constant, as three models of the same rows."""
-    momentum = rnd(1.0 / (1.0 + F.exp(-20.0 * F.col("ret_5d"))), 6)
+    """Momentum, its mirror image and a constant, as three models of the same rows.
+
+    Momentum squashes the five-day return by x / (1 + |x|), which any IEEE engine computes alike.
+    """
+    x = 20.0 * F.col("ret_5d")
+    momentum = 0.5 + x / (2.0 * (1.0 + F.abs(x)))
     models = F.array(
         F.struct(F.lit("momentum").alias("model"), momentum.alias("prob_up")),
         F.struct(F.lit("reversal").alias("model"), (1.0 - momentum).alias("prob_up")),

@@ -1,8 +1,9 @@
 """Turn raw vendor rows into clean daily bars, counting everything that was changed.
 
 All per-day work happens in one hash aggregation on (ticker, date), so a day with any
-number of copies collapses map-side. After it a ticker holds at most one row per
-calendar day, which bounds every later per-ticker window.
+number of copies collapses map-side, without a sort as long as the input order `_seq` is a
+number (a struct would do, but sorts). After it a ticker holds at most one row per calendar
+day, which bounds every later per-ticker window.
 """
 
 from __future__ import annotations
@@ -42,6 +43,16 @@ def normalise_columns(raw: DataFrame) -> DataFrame:
     return raw.toDF(*(tidy_name(c) for c in raw.columns))
 
 
+def with_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """Add `_seq` from columns that say which of two copies is later (a whole number each, or dates).
+
+    With no columns the rows must be one per ticker and day, and any order does.
+    """
+    if not columns:
+        return rows.withColumn("_seq", F.lit(0).cast("long"))
+    return rows.withColumn("_seq", F.col(columns[0]) if len(columns) == 1 else F.struct(*columns))
+
+
 def parse_date(column: Column, data_type: T.DataType) -> Column:
     """Exchange date: unreadable becomes NULL, a zone suffix is dropped, time is cut off."""
     if isinstance(data_type, T.DateType):
@@ -90,12 +101,13 @@ def standardise(raw: DataFrame) -> DataFrame:
             return F.lit(None).cast("double")
         return parse_number(F.col(f"`{name}`"), types[name])
 
-    order = F.col("_seq") if "_seq" in types else F.lit(0).cast("long")
+    if "_seq" not in types:
+        raise DataError("the rows need an input order, column _seq (see with_order)")
     return df.select(
         F.upper(F.trim("ticker")).alias("ticker"),
         parse_date(F.col("date"), types["date"]).alias("date"),
         *(number(c).alias(c) for c in BAR_COLUMNS),
-        order.alias("_seq"),
+        "_seq",
     )
 
 
@@ -105,17 +117,10 @@ def daily_candidates(raw: DataFrame) -> DataFrame:
     A NULL date is kept as a group of its own so that unreadable rows are still counted.
     """
     rows = standardise(raw)
-    groups = rows.groupBy("ticker", "date")
-    if isinstance(rows.schema["_seq"].dataType, T.StructType):
-        last = groups.agg(
-            F.count("*").alias("copies"),
-            F.max(F.struct("_seq", *BAR_COLUMNS)).alias("last"),
-        ).select("ticker", "date", "copies", *(F.col(f"last.{c}").alias(c) for c in BAR_COLUMNS))
-    else:
-        last = groups.agg(
-            F.count("*").alias("copies"),
-            *(F.max_by(c, "_seq").alias(c) for c in BAR_COLUMNS),
-        )
+    last = rows.groupBy("ticker", "date").agg(
+        F.count("*").alias("copies"),
+        *(F.max_by(c, "_seq").alias(c) for c in BAR_COLUMNS),
+    )
     missing = F.col("adj_close").isNull()
     nonpositive = F.lit(False)
     for price in PRICES:
@@ -286,13 +291,3 @@ def ingest(raw: DataFrame, params: DataParams, market_enabled: bool = True) -> I
     report = cleaning_report(candidates, notes, params.start, params.end)
     bars = enough_history(trim(clean_bars(candidates), params.start, params.end), params.min_rows)
     return Ingested(bars, ingest_manifest(report, params, requested))
-
-
-def without_nan(df: DataFrame) -> DataFrame:
-    """NaN and infinite doubles become NULL, the only missing value used here."""
-    return df.select(
-        *(
-            finite(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
-            for f in df.schema.fields
-        )
-    )

@@ -174,7 +174,3 @@ def last_data_date(bars: DataFrame) -> DataFrame:
         F.max("last").alias("last_date"), F.min("last").alias("earliest_last_date"),
         F.count("*").alias("tickers"),
     )
-
-
-def share(part: Column, whole: Column) -> Column:
-    return F.coalesce(ratio(part.cast("double"), whole.cast("double")), F.lit(0.0))

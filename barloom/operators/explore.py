@@ -8,39 +8,30 @@ from pyspark.sql import functions as F
 from barloom.operators.panel import feature_columns
 
 
-def up_rate_by_year(panel: DataFrame, tickers: list[str], places: int = 3) -> DataFrame:
-    """Share of up days, one row per year and one column per named ticker."""
+def up_rate_by_year(panel: DataFrame, places: int = 3) -> DataFrame:
+    """Share of up days per year and ticker, in long form: any number of tickers."""
     return (
-        panel.groupBy(F.year("date").alias("year")).pivot("ticker", tickers)
-        .agg(F.floor(F.avg("target") * 10.0**places + 0.5) / 10.0**places)
+        panel.groupBy(F.year("date").alias("year"), "ticker")
+        .agg((F.floor(F.avg("target") * 10.0**places + 0.5) / 10.0**places).alias("up_rate"))
     )
 
 
-def long_features(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(ticker, date, fwd_ret, feature, value)."""
-    names = names or feature_columns(panel)
-    return panel.unpivot(["ticker", "date", "fwd_ret"], names, "feature", "value")
-
-
 def rank_correlation(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Spearman correlation of each feature with the forward return, per ticker.
 
-    Average ranks within (ticker, feature); a ticker has one row per calendar date. The
-    ranks of the forward return are taken once, before the features are unpivoted.
+    Average ranks within the ticker, which has one row per calendar date: all windows share
+    one exchange of the panel, and only the correlations are put into long form.
     """
     names = names or feature_columns(panel)
 
-    def average_rank(value, *keys):
-        tied = Window.partitionBy(*keys, value)
-        return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (
-            F.count("*").over(tied) - 1
-        ) / 2.0
+    def average_rank(value):
+        w = Window.partitionBy("ticker")
+        tied = F.count("*").over(Window.partitionBy("ticker", value))
+        return F.rank().over(w.orderBy(value)) + (tied - 1) / 2.0
 
-    ranked = panel.select("ticker", "date", *names, average_rank("fwd_ret", "ticker").alias("ry"))
-    rows = ranked.unpivot(["ticker", "date", "ry"], names, "feature", "value").select(
-        "ticker", "feature", "ry", average_rank("value", "ticker", "feature").alias("rx")
-    )
-    return rows.groupBy("ticker", "feature").agg(F.corr("rx", "ry").alias("ic"))
+    ranked = panel.select("ticker", average_rank("fwd_ret").alias("_ry"), *(average_rank(n).alias(n) for n in names))
+    wide = ranked.groupBy("ticker").agg(*(F.corr(n, "_ry").alias(n) for n in names))
+    return wide.unpivot(["ticker"], names, "feature", "ic")
 
 
 def autocorrelation(panel: DataFrame, column: str = "ret_1d", lags: int = 5) -> DataFrame:

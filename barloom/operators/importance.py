@@ -7,11 +7,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.metrics import roc_auc
-from barloom.operators.models import Fitted, with_probability
+from barloom.operators.models import Fitted, grouped_scores, with_probability
 
-# How many features each kind of summary shows.
-NATIVE_TOP, PERMUTATION_TOP, CHART_TOP = 8, 10, 15
+# Fixed value: how many features a summary shows.
+NATIVE_TOP = 8
 
 
 def logistic_coefficients(name: str, model: PipelineModel, train: DataFrame, features: list[str]) -> DataFrame:
@@ -81,13 +80,6 @@ def tree_importance(
     )
 
 
-def latest_rows(rows: DataFrame, max_rows: int | None) -> DataFrame:
-    """The most recent `max_rows` rows in (date, ticker) order; a top-k, not a full sort."""
-    if not max_rows:
-        return rows
-    return rows.orderBy(F.col("date").desc(), F.col("ticker").desc()).limit(max_rows)
-
-
 def _numbered(rows: DataFrame, keys: list[str], seed_text: list) -> DataFrame:
     """A position 0..n-1 per key in pseudo-random order, computed block by block.
 
@@ -109,9 +101,9 @@ def _numbered(rows: DataFrame, keys: list[str], seed_text: list) -> DataFrame:
 
 def permutation_scores(
     name: str, fitted: Fitted, rows: DataFrame, features: list[str],
-    n_repeats: int = 10, seed: int = 42,
+    n_repeats: int = 10, seed: int = 42, scoring: str = "roc_auc",
 ) -> DataFrame:
-    """AUC of each (feature, repeat) with that feature permuted among the rows.
+    """Score of each (feature, repeat) with that feature permuted among the rows.
 
     Rows are numbered twice in independent orders and joined on the number, which is a true
     permutation. All features and repeats go through the model in one transform.
@@ -133,19 +125,18 @@ def permutation_scores(
     scored = with_probability(
         fitted, mixed.select("target", "repeat", "index", array_to_vector(swapped).alias("features"))
     )
-    return roc_auc(scored.select("index", "repeat", "target", "prob_up"), ("index", "repeat"))
+    return grouped_scores(scored.select("index", "repeat", "target", "prob_up"), scoring, ("index", "repeat"))
 
 
 def permutation_importance(
     name: str, fitted: Fitted, rows: DataFrame, features: list[str],
-    n_repeats: int = 10, seed: int = 42, max_rows: int | None = 20000,
+    n_repeats: int = 10, seed: int = 42, scoring: str = "roc_auc",
 ) -> DataFrame:
-    """Mean and deviation over repeats of the AUC lost when a feature is permuted."""
-    recent = latest_rows(rows, max_rows)
-    whole = with_probability(fitted, recent).select(F.lit(0).alias("one"), "target", "prob_up")
-    base = roc_auc(whole, ("one",)).first()["roc_auc"]
-    drops = permutation_scores(name, fitted, recent, features, n_repeats, seed).select(
-        "index", (F.lit(base) - F.col("roc_auc")).alias("drop")
+    """Mean and deviation over repeats of the score lost when a feature is permuted, over all rows."""
+    whole = with_probability(fitted, rows).select(F.lit(0).alias("one"), "target", "prob_up")
+    base = grouped_scores(whole, scoring, ("one",)).first()["score"]
+    drops = permutation_scores(name, fitted, rows, features, n_repeats, seed, scoring).select(
+        "index", (F.lit(base) - F.col("score")).alias("drop")
     )
     label = F.element_at(F.array(*(F.lit(f) for f in features)), F.col("index") + 1)
     return drops.groupBy("index").agg(

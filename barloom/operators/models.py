@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.baseline import class_weights
-from barloom.operators.metrics import clipped
+from barloom.operators.metrics import clipped, roc_auc
 from barloom.operators.panel import feature_columns
 from barloom.params import ResearchParams, TuningParams
 
+#: Default of the model parameter `max_bins`: candidate split points per feature of the tree learners.
 MAX_BINS = 128
 SNAP = 1e-12
 # How boosting grid names translate; the rest has no counterpart.
@@ -91,23 +92,23 @@ def _logistic(kind: str, seed: int, max_iter: int):
     return make
 
 
-def _forest(seed: int):
+def _forest(seed: int, max_bins: int):
     def make(params, n_rows):
         values = {FOREST_NAMES[k]: str(v) if k == "max_features" else v for k, v in params.items()}
         return RandomForestClassifier(
             featuresCol="features", labelCol="target", weightCol="weight", seed=seed,
-            maxBins=MAX_BINS, **values,
+            maxBins=max_bins, **values,
         )
 
     return make
 
 
-def _boosting(seed: int):
+def _boosting(seed: int, max_bins: int):
     def make(params, n_rows):
         values = {BOOSTING_NAMES[k]: str(v) if k == "colsample_bytree" else v for k, v in params.items()}
         return GBTClassifier(
             featuresCol="features", labelCol="target", weightCol="weight", seed=seed,
-            maxBins=MAX_BINS, **values,
+            maxBins=max_bins, **values,
         )
 
     return make
@@ -134,7 +135,7 @@ def model_specs(params: ResearchParams | None = None) -> dict[str, ModelSpec]:
     if on("random_forest"):
         c = config.get("random_forest", {})
         specs["random_forest"] = ModelSpec(
-            "random_forest", "tree", _forest(seed), dict(c.get("grid", {})),
+            "random_forest", "tree", _forest(seed, int(c.get("max_bins", MAX_BINS))), dict(c.get("grid", {})),
             c.get("class_weight", "balanced_subsample") is not None,
             "class weights are balanced over all training rows, not per bootstrap sample",
             "RandomForestClassifier",
@@ -147,7 +148,7 @@ def model_specs(params: ResearchParams | None = None) -> dict[str, ModelSpec]:
         if dropped:
             note += f"; without counterpart: {', '.join(dropped)}"
         specs["gbt[mllib]"] = ModelSpec(
-            "gbt[mllib]", "tree", _boosting(seed),
+            "gbt[mllib]", "tree", _boosting(seed, int(c.get("max_bins", MAX_BINS))),
             {k: v for k, v in grid.items() if k in BOOSTING_NAMES}, False, note, "GBTClassifier",
         )
     if not specs:
@@ -163,9 +164,14 @@ def assemble(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
     return vectors.select("date", "ticker", "features", "target", "fwd_ret", *extra)
 
 
-def fit(spec: ModelSpec, params: Mapping[str, Any], rows: DataFrame) -> Fitted:
-    """Fit on `rows` with fixed parameters. One small aggregate sizes the classes first."""
-    counts = {r["target"]: r for r in class_weights(rows).collect()}  # two rows at most
+def class_counts(rows: DataFrame) -> dict[int, Any]:
+    """Rows and balanced weight of each class: two rows at most."""
+    return {r["target"]: r for r in class_weights(rows).collect()}
+
+
+def fit(spec: ModelSpec, params: Mapping[str, Any], rows: DataFrame, counts: dict[int, Any] | None = None) -> Fitted:
+    """Fit on `rows` with fixed parameters; `counts` are their class counts if known already."""
+    counts = class_counts(rows) if counts is None else counts
     n = sum(r["n_class"] for r in counts.values())
     prior = counts[1]["n_class"] / n if 1 in counts else 0.0
     if spec.make is None or len(counts) < 2:
@@ -192,23 +198,42 @@ def with_probability(fitted: Fitted, rows: DataFrame, threshold: float = 0.5) ->
     ).drop("probability")
 
 
-def predictions(spec: ModelSpec, fitted: Fitted, rows: DataFrame, split: str) -> DataFrame:
+def predictions(spec: ModelSpec, fitted: Fitted, rows: DataFrame, split: str, threshold: float = 0.5) -> DataFrame:
     """Tidy prediction rows of one model over one split."""
-    return with_probability(fitted, rows).select(
+    return with_probability(fitted, rows, threshold).select(
         "date", "ticker", F.lit(split).alias("split"), F.lit(spec.name).alias("model"),
         "prob_up", "target", "fwd_ret",
     )
 
 
-def _score(scoring: str) -> Column:
-    """Higher-is-better validation score as one aggregate."""
+def _rates() -> dict[str, Column]:
+    up, hit = F.col("prob_up") >= 0.5, F.col("target") == 1
+    tp, fp = F.count_if(up & hit), F.count_if(up & ~hit)
+    fn, tn = F.count_if(~up & hit), F.count_if(~up & ~hit)
+    rate = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, y = clipped(), F.col("target")
-    losses = {
+    return {
         "neg_log_loss": -F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))),
         "neg_brier_score": -F.avg((p - y) * (p - y)),
-        "accuracy": F.avg(((p >= 0.5).cast("int") == y).cast("double")),
+        "accuracy": (tp + tn) / (tp + tn + fp + fn),
+        "balanced_accuracy": (rate(tp, tp + fn) + rate(tn, tn + fp)) / 2.0,
+        "precision": rate(tp, tp + fp),
+        "recall": rate(tp, tp + fn),
+        "f1": rate(2 * tp, 2 * tp + fp + fn),
     }
-    return losses[scoring]
+
+
+#: Higher is better for all of them.
+SCORINGS = ("roc_auc", "neg_log_loss", "neg_brier_score", "accuracy", "balanced_accuracy", "precision", "recall", "f1")
+
+
+def grouped_scores(scored: DataFrame, scoring: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, score) of rows with target and prob_up."""
+    if scoring not in SCORINGS:
+        raise ValueError(f"unknown scoring {scoring!r}; known are {', '.join(SCORINGS)}")
+    if scoring == "roc_auc":
+        return roc_auc(scored, keys).select(*keys, F.col("roc_auc").alias("score"))
+    return scored.groupBy(*keys).agg(_rates()[scoring].alias("score"))
 
 
 def cv_scores(
@@ -217,17 +242,18 @@ def cv_scores(
     """(combination, fold, score) of every grid point; rows need an `ordinal`."""
     i = F.col("ordinal")
 
+    def part(fold, role):
+        return rows.where((i >= fold[f"{role}_from"]) & (i < fold[f"{role}_to"]))
+
     def one(job):
-        (c, params), fold = job
-        train = rows.where((i >= fold["train_from"]) & (i < fold["train_to"]))
-        test = rows.where((i >= fold["test_from"]) & (i < fold["test_to"]))
-        fitted = fit(spec, params, train)
-        score = with_probability(fitted, test).agg(_score(tuning.scoring)).first()[0]
-        return c, fold["fold"], score
-
-    jobs = list(itertools.product(enumerate(spec.combinations()), folds))
+        (c, params), (fold, counts) = job
+        fitted = fit(spec, params, part(fold, "train"), counts)
+        scored = with_probability(fitted, part(fold, "test")).withColumn("one", F.lit(0))
+        return c, fold["fold"], grouped_scores(scored, tuning.scoring, ("one",)).first()["score"]
+
     with ThreadPoolExecutor(max(1, tuning.parallelism)) as pool:
-        return list(pool.map(one, jobs))
+        counted = list(zip(folds, pool.map(lambda fold: class_counts(part(fold, "train")), folds), strict=True))
+        return list(pool.map(one, itertools.product(enumerate(spec.combinations()), counted)))
 
 
 def tuning_table(spark, spec: ModelSpec, scores: list) -> DataFrame:
@@ -263,18 +289,20 @@ def tune(spec: ModelSpec, train: DataFrame, folds: list, tuning: TuningParams) -
 
 def walk_forward_predictions(
     specs: list[tuple[ModelSpec, Mapping[str, Any]]], rows: DataFrame, folds: list,
-    parallelism: int = 4,
+    parallelism: int = 4, threshold: float = 0.5,
 ) -> DataFrame:
     """Refit each model with frozen parameters before every block and predict the block."""
     i = F.col("ordinal")
 
     def one(job):
         (spec, params), fold = job
-        fitted = fit(spec, params, rows.where(i < fold["train_to"]))
+        fitted = fit(spec, params, rows.where(i < fold["train_to"]), counted[fold["fold"]])
         block = rows.where((i >= fold["test_from"]) & (i < fold["test_to"]))
-        return predictions(spec, fitted, block, "walk_forward").withColumn("fold", F.lit(fold["fold"]))
+        return predictions(spec, fitted, block, "walk_forward", threshold).withColumn("fold", F.lit(fold["fold"]))
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        counts = pool.map(lambda fold: class_counts(rows.where(i < fold["train_to"])), folds)
+        counted = {fold["fold"]: c for fold, c in zip(folds, counts, strict=True)}
         parts = list(pool.map(one, itertools.product(specs, folds)))
     out = parts[0]
     for part in parts[1:]:

@@ -8,6 +8,8 @@ block needs, for calendars where even that is too much for one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -163,11 +165,6 @@ def build_panel(
     return complete_rows(full_panel(bars, params, block_rows))
 
 
-def sorted_panel(panel: DataFrame) -> DataFrame:
-    """Presentation order; only for sinks."""
-    return panel.orderBy(*IDS)
-
-
 def in_blocks(bars: DataFrame, block_rows: int, before: int, after: int) -> DataFrame:
     """Cut each ticker's calendar into blocks of `block_rows` bars plus exact context.
 
@@ -305,16 +302,21 @@ def panel_schema(panel: DataFrame, params: ResearchParams | None = None) -> Data
     )
 
 
-def future_leaks(bars: DataFrame, cutoff: str, params: ResearchParams | None = None) -> DataFrame:
+def future_leaks(
+    bars: DataFrame, cutoff: str, params: ResearchParams | None = None,
+    build: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Feature rows dated up to `cutoff` that change once later bars are removed.
 
-    An empty result shows that no feature on or before the cutoff uses later data.
+    An empty result shows that no feature on or before the cutoff uses later data. `build` makes
+    the panel from bars, `full_panel` unless given.
     """
     params = params or ResearchParams()
     names = feature_names(params.features)
     day = F.lit(cutoff).cast("date")
-    whole = full_panel(bars, params).where(F.col("date") <= day).select(*IDS, *names)
-    cut = full_panel(bars.where(F.col("date") <= day), params).select(*IDS, *names)
+    make = build or (lambda some: full_panel(some, params))
+    whole = make(bars).where(F.col("date") <= day).select(*IDS, *names)
+    cut = make(bars.where(F.col("date") <= day)).select(*IDS, *names)
     tagged = whole.withColumn("_side", F.lit(1)).unionByName(cut.withColumn("_side", F.lit(-1)))
     return (
         tagged.groupBy(*IDS, *names).agg(F.sum("_side").alias("balance"))

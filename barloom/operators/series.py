@@ -28,6 +28,17 @@ def equity_curves(series: DataFrame) -> DataFrame:
     )
 
 
+def path_max_drawdown(path: DataFrame, value: str = "adj_close", keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """Worst fall from a running peak, per key, over a path ordered by date (one row per calendar date).
+
+    A missing value anywhere makes the result missing: the fall through it is unknown.
+    """
+    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = path.select(*keys, value, F.max(value).over(w).alias("_peak"))
+    whole = F.count(value) == F.count("*")
+    return rows.groupBy(*keys).agg(F.when(whole, F.min(F.col(value) / F.col("_peak") - 1)).alias("max_drawdown"))
+
+
 def rolling_volatility(series: DataFrame, window: int = 63, periods: int = 252) -> DataFrame:
     t = Trailing(*KEYS)
     out = {"rolling_vol": t.deviation("net_ret", window) * math.sqrt(periods)}

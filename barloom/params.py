@@ -132,7 +132,6 @@ class ImportanceParams:
     enabled: bool = True
     n_repeats: int = 10
     scoring: str = "roc_auc"
-    max_rows: int | None = 20000
 
 
 @dataclass(frozen=True)
@@ -246,16 +245,22 @@ _SECTIONS = {
     "walk_forward": WalkForwardParams, "tuning": TuningParams, "evaluation": EvaluationParams,
     "backtest": BacktestParams,
 }
+#: Accepted and without effect here (paths, local parallelism, caps on rows).
+NOT_ON_A_CLUSTER = frozenset({
+    "raw_dir", "processed_dir", "sample_dir", "force_download", "max_retries", "retry_wait_seconds", "n_jobs", "max_rows",
+})
 _NESTED = {"market_features": MarketParams, "permutation_importance": ImportanceParams}
 
 
 def _build(kind, mapping):
-    """Make one section, ignoring keys that have no meaning on a cluster."""
+    """Make one section. A key that is neither known nor without meaning on a cluster is an error."""
     known = {f.name for f in fields(kind)}
     values = {}
     for key, value in (mapping or {}).items():
-        if key not in known:
+        if key in NOT_ON_A_CLUSTER:
             continue
+        if key not in known:
+            raise ParamError(f"{kind.__name__} has no parameter {key!r}; it has {', '.join(sorted(known))}")
         if key in _NESTED:
             value = _build(_NESTED[key], value)
         elif isinstance(value, list):

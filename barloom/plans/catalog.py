@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import running
 from barloom.operators import (
     backtest, baseline, cleaning, diagnostics, explore, importance, metrics, models, panel,
     series, splits,
@@ -61,7 +60,7 @@ def bars_parquet_roundtrip(spark, sf):
 def vendor_csv_read(spark, sf):
     """Untidy headers, text values, one folder of files per ticker."""
     path = shared_folder(spark)
-    raw = tpch.vendor_rows(spark, sf).withColumn("_seq", F.to_json("_seq"))
+    raw = tpch.vendor_rows(spark, sf).drop("_seq").repartition("ticker")
     raw.write.option("header", True).partitionBy("ticker").csv(path)
     rows = cleaning.standardise(bar_files.read_vendor_csv(spark, path))
     return neat(rows.groupBy("ticker").agg(
@@ -71,6 +70,29 @@ def vendor_csv_read(spark, sf):
     ), 6)
 
 
+@query
+def mixed_header_csv(spark, sf):
+    """Files whose headers differ in order and spelling, read as one universe."""
+    path = shared_folder(spark)
+    bars = tpch.daily_bars(spark, sf).withColumn("half", F.year("date") % 2)
+    columns = ["ticker", "date", *cleaning.BAR_COLUMNS]
+    spelt = {0: columns, 1: [*reversed(columns)]}
+    for half, names in spelt.items():
+        rows = bars.where(F.col("half") == half).select(*(F.col(c).alias(c.replace("_", " ").title() if half else c) for c in names))
+        rows.write.option("header", True).csv(f"{path}/half{half}")
+    return bar_files.read_bars(spark, path, "csv")
+
+
+@query
+def vendor_csv_clean(spark, sf):
+    """Vendor files to clean bars: the last line of a day wins, whatever task reads it."""
+    path = shared_folder(spark)
+    raw = tpch.vendor_rows(spark, sf).repartition("ticker").sortWithinPartitions("ticker", "_seq").drop("_seq")
+    raw.write.option("header", True).partitionBy("ticker").csv(path)
+    rows = bar_files.read_vendor_csv(spark, path).repartition(7)
+    return cleaning.clean_bars(cleaning.daily_candidates(rows))
+
+
 @query
 def many_files_universe(spark, sf):
     """All tickers of a folder tree in one read, each named by its path."""
@@ -247,9 +269,14 @@ def rolling_max_drawdown(spark, sf):
 
 @query
 def path_max_drawdown(spark, sf):
-    w = running(Window.partitionBy("ticker").orderBy("date"))
-    rows = i.bars(spark, sf).select("ticker", "adj_close", F.max("adj_close").over(w).alias("peak"))
-    return neat(rows.groupBy("ticker").agg(F.min(F.col("adj_close") / F.col("peak") - 1).alias("max_drawdown")))
+    return neat(series.path_max_drawdown(i.bars(spark, sf)))
+
+
+@query
+def path_max_drawdown_with_gaps(spark, sf):
+    """One price is missing: its ticker has no drawdown."""
+    gone = (F.col("ticker") == "PROMO") & (F.col("date") == F.lit("1998-03-13").cast("date"))
+    return neat(series.path_max_drawdown(i.bars(spark, sf).withColumn("adj_close", F.when(~gone, F.col("adj_close")))))
 
 
 @query
@@ -309,6 +336,17 @@ def future_leaks(spark, sf):
     return panel.future_leaks(i.bars(spark, sf), "1998-06-30", PARAMS)
 
 
+@query
+def planted_leaks(spark, sf):
+    """The audit finds a feature that looks one bar ahead."""
+    def leaky(bars):
+        ahead = F.lead("adj_close").over(Window.partitionBy("ticker").orderBy("date"))
+        following = bars.select("date", "ticker", ahead.alias("_next"))
+        return panel.full_panel(bars, PARAMS).join(following, ["date", "ticker"]).withColumn("oc_return", F.col("_next")).drop("_next")
+
+    return panel.future_leaks(i.bars(spark, sf), "1998-06-30", PARAMS, leaky)
+
+
 # ---- splits and folds
 
 @query
@@ -353,6 +391,15 @@ def chronology_violations(spark, sf):
     return splits.chronology_violations(summary)
 
 
+@query
+def planted_chronology_violations(spark, sf):
+    """Segments that overlap by five dates each are reported."""
+    axis, third = i.axis(spark, sf), F.floor(F.col("n_dates") / 3)
+    parts = [axis.where((F.col("ordinal") >= k * third - 5 * k) & (F.col("ordinal") < (k + 1) * third)).withColumn("split", F.lit(name))
+             for k, name in enumerate(("train", "validation", "test"))]
+    return splits.chronology_violations(splits.segment_summary(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+
+
 @query
 def cv_folds(spark, sf):
     return splits.cv_folds(i.axis(spark, sf), 4, 1)
@@ -403,8 +450,7 @@ def walk_forward_majority(spark, sf):
 @query
 def balanced_class_weights(spark, sf):
     axis = i.axis(spark, sf)
-    rows = splits.assign_folds(i.the_panel(spark, sf), splits.cv_folds(axis, 4, 1), axis)
-    return neat(baseline.class_weights(rows.where("role = 'train'"), ("fold",)))
+    return neat(baseline.fold_class_weights(i.the_panel(spark, sf), axis, splits.cv_folds(axis, 4, 1)))
 
 
 @query
@@ -505,7 +551,7 @@ def backtest_table(spark, sf):
 
 @query
 def wide_daily_returns(spark, sf):
-    names = ["momentum", "reversal", "always_long", "ma_rule_50d", "buy_and_hold"]
+    names = ["majority", *i.SCORE_MODELS, backtest.ALWAYS_LONG, PARAMS.backtest.ma_rule(), backtest.BUY_AND_HOLD]
     return neat(backtest.wide_returns(i.series(spark, sf), names))
 
 
@@ -598,12 +644,9 @@ def probability_histogram(spark, sf):
 
 # ---- exploration
 
-TICKERS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
-
 @query
 def up_rate_by_year(spark, sf):
-    return explore.up_rate_by_year(i.the_panel(spark, sf), TICKERS)
+    return explore.up_rate_by_year(i.the_panel(spark, sf))
 
 
 @query
@@ -623,18 +666,17 @@ def feature_correlation_matrix(spark, sf):
 
 # ---- fitted models
 
-# Small grids: the queries show the operators, not the search itself.
+# Logistic models have their default iterations and grids; the tree families' default grids (24 forests of up to
+# 400 trees, 32 boosted models) are for a cluster, so the queries search two points each.
 MODELS = {
-    "majority": {}, "logreg_none": {"max_iter": 100},
-    "logreg_l1": {"max_iter": 200, "grid": {"C": [0.01, 1.0]}},
-    "logreg_l2": {"max_iter": 200, "grid": {"C": [0.01, 1.0]}},
+    "majority": {}, "logreg_none": {}, "logreg_l1": {}, "logreg_l2": {},
     "random_forest": {"grid": {"n_estimators": [20], "max_depth": [3, 5], "min_samples_leaf": [50], "max_features": ["sqrt"]}},
     "xgboost": {"grid": {"learning_rate": [0.1], "max_depth": [2], "n_estimators": [10], "subsample": [0.7],
                          "colsample_bytree": [0.7], "reg_alpha": [0.0, 1.0], "reg_lambda": [1.0]}},
 }
 MODEL_PARAMS = ResearchParams(models=MODELS)
 SPECS = models.model_specs(MODEL_PARAMS)
-TUNING = TuningParams(cv_splits=3, parallelism=4)
+TUNING = TuningParams(parallelism=4)
 
 
 def _vectors(spark, sf):
@@ -659,9 +701,8 @@ def _search(spark, sf, name):
 
 
 def _fitted(spark, sf, name):
-    """Fit with the first grid point on the training rows."""
-    spec = SPECS[name]
-    return models.fit(spec, spec.combinations()[0] if spec.grid else {}, _vectors(spark, sf).where("split = 'train'"))
+    """The tuned model, fitted on the training rows."""
+    return _tuned(spark, sf, name).fitted
 
 
 def _fit_predict(spark, sf, name):
@@ -701,8 +742,7 @@ def tuning_table(spark, sf):
 
 @query
 def model_table(spark, sf):
-    tuned = [_tuned(spark, sf, name) for name in ("majority", "logreg_none", "logreg_l1")]
-    return models.model_table(spark, tuned)
+    return models.model_table(spark, [_tuned(spark, sf, name) for name in SPECS])
 
 
 @query
@@ -720,7 +760,7 @@ def walk_forward_models(spark, sf):
     axis = splits.date_axis(rows)
     folds = splits.walk_forward_folds(axis, WF.min_train_days, 504, 1).collect()  # one row per block
     numbered = models.assemble(splits.tag_rows(rows, axis, "ordinal"))
-    frozen = [(SPECS["majority"], {}), (SPECS["logreg_l2"], {"C": 0.01})]
+    frozen = [(spec, _tuned(spark, sf, name).best_params) for name, spec in SPECS.items()]
     return models.walk_forward_predictions(frozen, numbered, folds)
 
 
@@ -759,7 +799,7 @@ def boosting_importance(spark, sf):
 def _permuted(spark, sf):
     validation = _vectors(spark, sf).where("split = 'validation'")
     return importance.permutation_importance(
-        "logreg_l2", _fitted(spark, sf, "logreg_l2"), validation, _names(spark, sf), n_repeats=5)
+        "logreg_l2", _fitted(spark, sf, "logreg_l2"), validation, _names(spark, sf))
 
 
 @query

@@ -23,6 +23,8 @@ PARAMS = ResearchParams(
     data=DataParams(market_ticker=MARKET, min_rows=300),
     walk_forward=WalkForwardParams(min_train_days=400, test_days=126),
 )
+#: The score rules of `baseline.score_predictions`.
+SCORE_MODELS = ("momentum", "reversal", "constant")
 _written: dict[tuple[str, str, str], str] = {}
 
 

@@ -8,15 +8,27 @@ from __future__ import annotations
 
 import re
 
-from barloom.operators.panel import feature_dictionary
-from barloom.plans.inputs import PARAMS
-
-DEFINITIONS = feature_dictionary(PARAMS)
 RET = (1, 2, 5, 10, 20, 60)
 VOL = (5, 10, 20, 60)
 MA = (5, 20, 50)
 
 
+#: Written out here, not taken from the code under test.
+DEFINITIONS = {
+    **{f"ret_{n}d": f"adjusted-close return over {n} bar(s)" for n in RET},
+    **{f"vol_{n}d": f"sample deviation of the last {n} daily returns, times sqrt(252)" for n in VOL},
+    **{f"dist_ma_{n}": f"adjusted close relative to its own {n}-bar average, minus one" for n in MA},
+    "ma_spread_5_20": "5-bar average relative to the 20-bar average, minus one",
+    "hl_range": "same-day high-low range over the close",
+    "oc_return": "same-day close over open, minus one",
+    "volume_pct_change": "volume relative to the bar before, minus one",
+    "volume_rel_ma20": "volume relative to its own 20-bar average",
+    **{f"mdd_{n}d": f"deepest fall from a peak inside the last {n} bars" for n in (20, 60)},
+    **{f"mkt_ret_{n}d": f"STANDARD {n}-bar return, known 1 bar(s) later" for n in (1, 5, 20)},
+    "mkt_vol_20d": "STANDARD deviation of 20 daily returns, known 1 bar(s) later, times sqrt(252)",
+}
+
+
 def r(x: str, places: int = 8) -> str:
     return f"(floor(({x}) * 1e{places} + 0.5) / 1e{places})"
 
@@ -232,7 +244,7 @@ CTES: dict[str, str] = {
       UNION ALL SELECT 'test', avg(target) FROM tagged WHERE split IN ('train', 'validation')""",
     "major": """SELECT date, ticker, split, 'majority' AS model, prior AS prob_up, target, fwd_ret
       FROM tagged JOIN priors USING (split)""",
-    "sc0": f"SELECT date, ticker, split, target, fwd_ret, {r('1 / (1 + exp(-20 * ret_5d))', 6)} AS p FROM tagged WHERE split IN ('validation', 'test')",
+    "sc0": f"SELECT date, ticker, split, target, fwd_ret, 0.5e0 + 20e0 * ret_5d / (2e0 * (1e0 + abs(20e0 * ret_5d))) AS p FROM tagged WHERE split IN ('validation', 'test')",
     "scored": """SELECT date, ticker, split, 'momentum' AS model, p AS prob_up, target, fwd_ret FROM sc0
       UNION ALL SELECT date, ticker, split, 'reversal', 1 - p, target, fwd_ret FROM sc0
       UNION ALL SELECT date, ticker, split, 'constant', 0.5::DOUBLE, target, fwd_ret FROM sc0""",
@@ -392,6 +404,9 @@ BODIES: dict[str, str] = {
     "rolling_max_drawdown": feature("mdd_20d", "mdd_60d"),
     "path_max_drawdown": f"""SELECT ticker, {r('min(adj_close / peak - 1)')} AS max_drawdown
       FROM (SELECT *, max(adj_close) {W} AS peak FROM bars) GROUP BY ticker""",
+    "path_max_drawdown_with_gaps": f"""SELECT ticker, CASE WHEN count(x) = count(*) THEN {r('min(x / peak - 1)')} END AS max_drawdown
+      FROM (SELECT *, max(x) {W} AS peak FROM (SELECT *, CASE WHEN ticker <> 'PROMO' OR date <> DATE '1998-03-13' THEN adj_close END AS x FROM bars))
+      GROUP BY ticker""",
     "asset_features": feature(*ASSET),
     "market_features": f"SELECT date, {cols(MKT)} FROM mkt",
     "panel_with_market": f"SELECT date, ticker, {cols([*FEATURES, 'fwd_ret'])}, target FROM fullp",
@@ -468,7 +483,7 @@ BODIES: dict[str, str] = {
     "backtest_table": f"SELECT split, strategy, kind, days, {cols([*RISK, 'avg_trade_return'])}, n_trades, n_position_changes FROM bt",
     "wide_daily_returns": "SELECT split, date, " + ", ".join(
         f"{r(f'max(net_ret) FILTER (strategy = {chr(39)}{s}{chr(39)})')} AS {s}"
-        for s in ("momentum", "reversal", "always_long", "ma_rule_50d", "buy_and_hold")) + " FROM ser GROUP BY split, date",
+        for s in ("majority", "momentum", "reversal", "constant", "always_long", "ma_rule_50d", "buy_and_hold")) + " FROM ser GROUP BY split, date",
     "sensitivity_table": f"SELECT split, execution_lag, {cols(['cost_bps', 'annualised_return', 'sharpe', 'max_drawdown', 'annual_turnover', 'total_cost'])} FROM sens",
     "per_ticker_table": f"""SELECT k.split, k.ticker, k.strategy,
         {cols(['annualised_return', 'annualised_volatility', 'sharpe', 'max_drawdown', 'hit_rate'])}, coalesce(n, 0) AS n_trades
@@ -517,9 +532,7 @@ BODIES: dict[str, str] = {
     "probability_histogram": """SELECT split, model, least(floor((prob_up - lo) / (hi - lo) * 40), 39)::BIGINT AS bin, count(*) AS n
       FROM (SELECT *, min(prob_up) OVER (PARTITION BY split, model) AS lo, max(prob_up) OVER (PARTITION BY split, model) AS hi
             FROM preds WHERE model <> 'majority') WHERE hi > lo GROUP BY 1, 2, 3""",
-    "up_rate_by_year": "SELECT year(date) AS year, " + ", ".join(
-        f"{r(f'avg(target) FILTER (ticker = {chr(39)}{t}{chr(39)})', 3)} AS {chr(34)}{t}{chr(34)}"
-        for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM panel GROUP BY 1",
+    "up_rate_by_year": f"SELECT year(date) AS year, ticker, {r('avg(target)', 3)} AS up_rate FROM panel GROUP BY 1, 2",
     "rank_correlation": f"SELECT ticker, feature, {r('ic')} AS ic FROM ranked",
     "top_features": f"""SELECT ticker, feature, {r('ic')} AS ic, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(ic) DESC NULLS LAST, feature) AS rank FROM ranked) WHERE rank <= 8""",
@@ -529,6 +542,17 @@ BODIES: dict[str, str] = {
         f"SELECT '{a}' AS feature, '{b}' AS other, {r(f'corr({a}, {b})')} AS corr FROM panel" for a in FEATURES for b in FEATURES),
     "split_tables_roundtrip": "SELECT * FROM segsum",
     "future_leaks": "SELECT date, ticker, 0::BIGINT AS balance FROM bars WHERE false",
+    # The planted feature looks one bar ahead: each ticker's last row up to the cut-off loses that bar.
+    "planted_leaks": """SELECT date, ticker, unnest([1, -1])::BIGINT AS balance FROM (
+        SELECT ticker, max(date) AS date FROM bars WHERE date <= DATE '1998-06-30' GROUP BY ticker)
+      WHERE ticker IN (SELECT ticker FROM bars WHERE date > DATE '1998-06-30')""",
+    "planted_chronology_violations": """SELECT name, previous_end, start FROM (
+        SELECT *, lag("end") OVER (ORDER BY CASE name WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END) AS previous_end FROM (
+          SELECT CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS name, min(date) AS start, max(date) AS "end"
+          FROM axis, range(3) t(k) WHERE ordinal >= k * (n_dates // 3) - 5 * k AND ordinal < (k + 1) * (n_dates // 3) GROUP BY k))
+      WHERE previous_end >= start""",
+    "mixed_header_csv": "SELECT ticker, date, open, high, low, close, adj_close, volume FROM bars",
+    "vendor_csv_clean": f"SELECT {BAR} FROM clean",
 }
 
 SQL: dict[str, str] = {name: sql(body) for name, body in BODIES.items()}

@@ -65,7 +65,7 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
     tables.save_table(summary, f"{out}/tables/splits")
     splits.assert_chronological(summary)
     # Laid out by date, so every segment and fold filter skips the files it does not need.
-    splits.tag_rows(rows, segments, "ordinal", "split").repartitionByRange("ordinal").sortWithinPartitions(
+    splits.tag_rows(rows, segments, "ordinal", "split").repartitionByRange("ordinal", "ticker").sortWithinPartitions(
         "ordinal", "ticker").write.mode("overwrite").parquet(f"{out}/tagged")
     vectors = models.assemble(spark.read.parquet(f"{out}/tagged"), names).persist()
 
@@ -75,12 +75,12 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
     train_axis = splits.date_axis(train_rows)
     folds = splits.cv_folds(train_axis, params.tuning.cv_splits, params.cv_gap()).collect()  # k rows
     tuned = {n: models.tune(s, train_rows, folds, params.tuning) for n, s in specs.items()}
-    parts = [models.predictions(t.spec, t.fitted, validation, "validation") for t in tuned.values()]
+    parts = [models.predictions(t.spec, t.fitted, validation, "validation", params.backtest.threshold) for t in tuned.values()]
 
     development = ["train", "validation"] if params.evaluation.refit_on_train_val else ["train"]
     dev_rows = vectors.where(F.col("split").isin(development))
     final = {n: models.fit(t.spec, t.best_params, dev_rows) for n, t in tuned.items()}
-    parts += [models.predictions(specs[n], f, test, "test") for n, f in final.items()]
+    parts += [models.predictions(specs[n], f, test, "test", params.backtest.threshold) for n, f in final.items()]
     for folder, fitted in (("train_fit", {n: t.fitted for n, t in tuned.items()}), ("final_fit", final)):
         tables.save_models({n: f.model for n, f in fitted.items() if f.model}, f"{out}/models/{folder}")
     tables_out = reduce(DataFrame.unionByName, parts).withColumn("fold", F.lit(None).cast("int"))
@@ -94,7 +94,7 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
         frozen = [(t.spec, t.best_params) for t in tuned.values()]
         numbered = splits.tag_rows(scope, scope_axis, "ordinal")
         forward = models.walk_forward_predictions(
-            frozen, numbered, wf_folds.collect(), params.tuning.parallelism  # one row per block
+            frozen, numbered, wf_folds.collect(), params.tuning.parallelism, params.backtest.threshold  # one row per block
         )
         tables_out = tables_out.unionByName(forward)
     tables.save_predictions(tables_out, f"{out}/predictions")
@@ -143,7 +143,7 @@ def all_importances(
             native.append(importance.tree_importance(name, "impurity", t.fitted.model, spark, training.features))
         if p.enabled:
             permuted.append(importance.permutation_importance(
-                name, t.fitted, validation, training.features, p.n_repeats, params.seed, p.max_rows))
+                name, t.fitted, validation, training.features, p.n_repeats, params.seed, p.scoring))
     join = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
     return join(native), join(permuted)
 

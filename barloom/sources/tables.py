@@ -49,13 +49,13 @@ def load_predictions(spark: SparkSession, path: str, splits: list[str] | None =
 
 def save_table(table: DataFrame, path: str) -> None:
     """A small result table for people and programs: CSV and JSON side by side."""
-    rows = table.coalesce(1)
+    table.repartition(1).write.mode("overwrite").json(f"{path}/json")  # the finished rows move, their computation stays spread
+    rows = table.sparkSession.read.schema(table.schema).json(f"{path}/json")
     flat = [
         F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else f.name
         for f in table.schema.fields
     ]
     rows.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    rows.write.mode("overwrite").json(f"{path}/json")
 
 
 def safe_name(name: str) -> str:

@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numeric import rnd
 
-# The six fields that together identify a line item and fix its order.
-LINE_KEY = (
-    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
-)
+# Digits of the six fields that together identify a line item and fix its order (38 in all,
+# enough up to ten thousand million orders).
+LINE_KEY = {"l_orderkey": 10, "l_linenumber": 1, "l_partkey": 9, "l_suppkey": 8, "l_quantity": 2, "l_extendedprice": 8}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_order() -> Column:
+    """The line key as one number. Aggregates ordered by it keep it in a hash table's row, which a struct cannot be."""
+    def digits(name: str, n: int) -> Column:
+        value = F.round(F.col(name) * 100) if name == "l_extendedprice" else F.col(name)
+        text = value.cast("bigint").cast("string")
+        return F.when(F.length(text) <= n, F.lpad(text, n, "0")).otherwise(F.raise_error(F.concat(F.lit(f"{name} is too large: "), text)))
+
+    return F.concat(*(digits(name, n) for name, n in LINE_KEY.items())).cast("decimal(38,0)")
+
+
 def _lines(spark: SparkSession, sf_dir: str, ticker: Column, *extra: str) -> DataFrame:
     """Line items with ticker, date and a damped unit price.
 
@@ -32,7 +41,7 @@ def _lines(spark: SparkSession, sf_dir: str, ticker: Column, *extra: str) -> Dat
             F.to_date("l_shipdate").alias("date"),
             rnd(price, 6).alias("px"),
             F.col("l_quantity").alias("q"),
-            F.struct(*LINE_KEY).alias("k"),
+            line_order().alias("k"),
             *extra,
         )
     )

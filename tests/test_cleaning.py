@@ -9,13 +9,17 @@ from barloom.sources import bars as bar_files
 from barloom.sources.session import shared_folder
 
 SCHEMA = "ticker string, Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume double, _seq long"
+# A week of one ticker: a price is corrected twice, a quote lacks its close-based price, a range is upside down,
+# a volume is below zero, a price is zero, and three weeks pass.
 ROWS = [
-    ("x", "2024-01-02", 10.0, 11.0, 9.0, 10.5, 10.4, 100.0, 1),
-    ("x", "2024-01-03", 11.0, 12.0, 10.0, 11.5, 11.4, 200.0, 2),
-    ("x", "2024-01-03 00:00:00-05:00", 11.0, 12.5, 10.0, 11.6, 11.5, 210.0, 3),
-    ("x", "2024-01-04", 12.0, 11.0, 12.5, 12.0, None, 300.0, 4),
-    ("x", "2024-01-05", 13.0, 14.0, 12.0, 13.5, 13.4, -5.0, 5),
-    ("x", "2024-01-15", 14.0, 15.0, 13.0, 14.5, 14.4, 400.0, 6),
+    ("x", "2023-05-01", 20.0, 22.0, 19.0, 21.0, 20.5, 900.0, 1),
+    ("x", "2023-05-02", 21.0, 23.0, 20.0, 22.0, 21.5, 800.0, 2),
+    ("x", "2023-05-02", 21.0, 23.0, 20.0, 22.2, 21.7, 810.0, 5),
+    ("x", "2023-05-02T16:00:00+02:00", 21.0, 23.5, 20.0, 22.4, 21.9, 820.0, 9),
+    ("x", "2023-05-03", 22.0, 23.0, 24.0, 22.5, None, 700.0, 3),
+    ("x", "2023-05-04", 22.0, 24.0, 21.0, 23.0, 22.5, -1.0, 4),
+    ("x", "2023-05-05", 0.0, 24.0, 21.0, 23.0, 22.5, 600.0, 6),
+    ("x", "2023-05-26", 25.0, 26.0, 24.0, 25.5, 25.0, 500.0, 7),
 ]
 
 
@@ -26,23 +30,41 @@ def raw(spark):
 
 def test_defects_are_counted_and_repaired(raw):
     candidates = C.daily_candidates(raw)
-    report = C.cleaning_report(candidates).first()
-    assert (report.rows_in, report.rows_out, report.duplicate_dates_dropped) == (6, 4, 1)
-    assert (report.missing_adj_close_dropped, report.negative_volume_nulled) == (1, 1)
-    assert report.calendar_gaps_over_5_days == 1 and report.nonpositive_price_dropped == 0
-    rows = {str(r.date): r for r in C.clean_bars(candidates).collect()}
-    assert rows["2024-01-03"].adj_close == 11.5 and "2024-01-04" not in rows
-    assert rows["2024-01-05"].volume is None and rows["2024-01-02"].ticker == "X"
+    report = C.cleaning_report(candidates).first().asDict()
+    assert {k: report[k] for k in ("rows_in", "rows_out", *C.COUNTERS)} == {
+        "rows_in": 8, "rows_out": 4, "duplicate_dates_dropped": 2, "missing_adj_close_dropped": 1, "nonpositive_price_dropped": 1,
+        "inconsistent_high_low_nulled": 0, "negative_volume_nulled": 1, "calendar_gaps_over_5_days": 1}
+    rows = {str(r.date)[-2:]: r for r in C.clean_bars(candidates).collect()}
+    assert sorted(rows) == ["01", "02", "04", "26"] and rows["02"].adj_close == 21.9
+    assert rows["04"].volume is None and rows["01"].ticker == "X"
 
 
 def test_inconsistent_pair_is_blanked_not_dropped(raw):
-    fixed = raw.withColumn("Adj Close", F.coalesce("Adj Close", F.lit(12.0)))
-    candidates = C.daily_candidates(fixed)
-    row = C.clean_bars(candidates).where("date = '2024-01-04'").first()
-    assert row.high is None and row.low is None and row.close == 12.0
+    candidates = C.daily_candidates(raw.fillna({"Adj Close": 22.1}))
+    row = C.clean_bars(candidates).where("date = '2023-05-03'").first()
+    assert row.high is None and row.low is None and row.close == 22.5
     assert C.cleaning_report(candidates).first().inconsistent_high_low_nulled == 1
 
 
+def test_the_last_copy_wins_however_rows_are_dealt(raw):
+    want = sorted(C.clean_bars(C.daily_candidates(raw)).collect())
+    for n in (1, 3, 8):
+        assert sorted(C.clean_bars(C.daily_candidates(raw.repartition(n, "Volume"))).collect()) == want
+    with pytest.raises(C.DataError):
+        C.daily_candidates(raw.drop("_seq"))
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "AAA.csv").write_text("Date,Open,High,Low,Close,Adj Close,Volume\n2023-05-01,1,3,0.5,2,2.5,100\n")
+    (tmp_path / "BBB.csv").write_text("Date, close ,Open,Low,High,Volume\n2023-05-01,2,1,0.5,3,100\n2023-05-01,4,1,0.5,5,100\n")
+    bars = {r.ticker: r for r in C.clean_bars(C.daily_candidates(bar_files.read_vendor_csv(spark, str(tmp_path)))).collect()}
+    assert (bars["AAA"].open, bars["AAA"].close, bars["AAA"].adj_close, bars["AAA"].volume) == (1, 2, 2.5, 100)
+    assert (bars["BBB"].open, bars["BBB"].close, bars["BBB"].high, bars["BBB"].adj_close) == (1, 4, 5, 4)
+    (tmp_path / "BBB.csv").write_text("Date,Close,Adj Close,Open,Low,High,Volume\n" + "".join(f"2023-05-01,{k},{k},1,0.5,9999,1\n" for k in range(1, 3000)))
+    last = C.clean_bars(C.daily_candidates(bar_files.read_vendor_csv(spark, str(tmp_path)).repartition(5))).where("ticker = 'BBB'").first()
+    assert last.close == 2999
+
+
 def test_missing_columns_and_fallback(raw):
     assert C.clean_bars(C.daily_candidates(raw.drop("Adj Close"))).where("adj_close <> close").isEmpty()
     notes = C.schema_notes(["date", "close", "volume"])
@@ -69,7 +91,7 @@ def test_unreadable_values(spark):
     raw = spark.createDataFrame(
         [("A", "junk", "1"), ("A", "2024-01-01", "1d"), ("A", "2024-01-02", " 2.5 "), ("A", "2024-01-03", "inf"), ("A", "2024-01-04", "NaN")],
         "ticker string, date string, close string")
-    rows = {str(r.date): r.close for r in C.standardise(raw).collect()}
+    rows = {str(r.date): r.close for r in C.standardise(C.with_order(raw)).collect()}
     assert rows["None"] == 1.0 and rows["2024-01-01"] is None and rows["2024-01-02"] == 2.5
     assert rows["2024-01-03"] is None and rows["2024-01-04"] is None
 
@@ -88,7 +110,7 @@ def test_short_ticker_is_reported_not_fatal(spark, raw):
 
 def test_trim_is_inclusive(spark, raw):
     bars = C.clean_bars(C.daily_candidates(raw))
-    assert C.trim(bars, "2024-01-03", "2024-01-05").count() == 2
+    assert C.trim(bars, "2023-05-02", "2023-05-04").count() == 2
 
 
 def test_bar_files_round_trip(spark, raw):
@@ -105,7 +127,7 @@ def test_bar_files_round_trip(spark, raw):
     named = shared_folder(spark)
     bars.drop("ticker").coalesce(1).write.option("header", True).csv(f"{named}/ticker=spy")
     assert bar_files.read_vendor_csv(spark, named).select("ticker").distinct().first()[0].upper() == "SPY"
-    assert bar_files.read_bars(spark, named, "csv").agg(F.min("date")).first()[0] == dt.date(2024, 1, 2)
+    assert bar_files.read_bars(spark, named, "csv").agg(F.min("date")).first()[0] == dt.date(2023, 5, 1)
 
 
 def test_copies_of_a_day_collapse_before_the_shuffle(raw):

@@ -24,12 +24,16 @@ def auc_by_pairs(y, p):
     return ((up[:, None] > down).sum() + 0.5 * (up[:, None] == down).sum()) / (len(up) * len(down))
 
 
-def test_confusion_example(preds):
-    y, p = [1, 0, 1, 1, 0], [0.9, 0.2, 0.4, 0.6, 0.7]
+def test_confusion_and_scores_of_random_predictions(preds):
+    rng = np.random.default_rng(17)
+    y, p = rng.integers(0, 2, 120), np.round(rng.uniform(size=120), 2)
+    up = p >= 0.5
+    tp, fp, fn, tn = ((up & (y == 1)).sum(), (up & (y == 0)).sum(), (~up & (y == 1)).sum(), (~up & (y == 0)).sum())
     m = M.classification_table(preds(y, p)).first()
-    assert (m.tp, m.fp, m.tn, m.fn, m.n) == (2, 1, 1, 1, 5)
-    assert m.accuracy == pytest.approx(0.6) and m.precision == m.recall == pytest.approx(2 / 3)
-    assert m.brier == pytest.approx(np.mean((np.array(p) - y) ** 2)) and m.roc_auc == pytest.approx(auc_by_pairs(y, p))
+    assert (m.tp, m.fp, m.tn, m.fn, m.n) == (tp, fp, tn, fn, 120)
+    assert m.precision == pytest.approx(tp / (tp + fp)) and m.recall == pytest.approx(tp / (tp + fn))
+    assert m.f1 == pytest.approx(2 * tp / (2 * tp + fp + fn)) and m.brier == pytest.approx(((p - y) ** 2).mean())
+    assert m.roc_auc == pytest.approx(auc_by_pairs(y, p))
 
 
 def test_one_class(preds):

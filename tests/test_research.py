@@ -1,4 +1,4 @@
-from barloom.operators import panel
+from barloom.operators import cleaning, panel
 from barloom.params import (
     BacktestParams, DataParams, EvaluationParams, ImportanceParams, ResearchParams, TuningParams, WalkForwardParams,
 )
@@ -10,7 +10,7 @@ PARAMS = ResearchParams(
     data=DataParams(tickers=("PROMO", "LARGE", "STANDARD", "NOSUCH"), market_ticker="STANDARD", min_rows=100),
     walk_forward=WalkForwardParams(min_train_days=300, test_days=200), backtest=BacktestParams(),
     tuning=TuningParams(cv_splits=2, parallelism=2),
-    evaluation=EvaluationParams(permutation_importance=ImportanceParams(n_repeats=2, max_rows=500)),
+    evaluation=EvaluationParams(permutation_importance=ImportanceParams(n_repeats=2)),
     models={
         "majority": {}, "logreg_none": {"enabled": False}, "logreg_l1": {"enabled": False},
         "logreg_l2": {"max_iter": 20, "grid": {"C": [0.01, 1.0]}},
@@ -22,7 +22,7 @@ PARAMS = ResearchParams(
 
 def test_whole_study(spark, small):
     out = shared_folder(spark)
-    bars = tpch.daily_bars(spark, small)
+    bars = cleaning.with_order(tpch.daily_bars(spark, small))
     result = research.run(spark, bars, PARAMS, out)
     manifest = {r.ticker: r.status for r in spark.read.json(f"{out}/manifest").collect()}
     assert manifest == {"PROMO": "ok", "LARGE": "ok", "STANDARD": "ok", "NOSUCH": "failed"}
