@@ -10,8 +10,8 @@ is 1 if t appears only where e does and 0 if they are unrelated. In documents th
 anywhere in the corpus are spans of their own where the ratio exceeds the disclosure threshold: generalised from
 `generalise` on, removed from `remove` on.
 
-Counts are pre-aggregated before each shuffle. Only term counts look at all words, and of those only terms that
-stand close to an entity in `min_both` documents are counted.
+Counts are pre-aggregated before each shuffle. Only term counts look at all words, and of those only terms are counted that
+stand close to an entity in `min_both` documents and are not too common near entities to reach the threshold.
 """
 
 from __future__ import annotations
@@ -74,16 +74,18 @@ def disclosing(base: DataFrame, docs: DataFrame, text: str, rules: Disclosure) -
     """(entity, term, ratio) over the whole corpus; `base` has one row per document with row_id and contexts."""
     near = base.where(F.size("contexts") > 0).select("row_id", F.explode("contexts").alias("c"))
     held = near.select("row_id", F.col("c.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_e"))
-    both = (
-        near.select("row_id", F.col("c.entity").alias("entity"), F.explode("c.terms").alias("term")).distinct()
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= rules.min_both)
-    )
-    both = stored(both)
+    terms = near.select("row_id", F.col("c.entity").alias("entity"), F.explode("c.terms").alias("term")).distinct()
+    both = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= rules.min_both)
+    # At least the documents with the term close to any entity hold it: pairs that fail the threshold on that count
+    # alone need no count over all words. This leaves out common words and changes no result.
+    least = terms.select("row_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    n = base.count()
+    most = F.col("both") * F.pow(F.lit(float(n)) / F.col("with_e"), F.lit(1.0 - rules.generalise)) * (1 + 1e-9)
+    both = stored(both.join(held, "entity").join(least, "term").where(F.col("least") <= most).drop("least"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_of(text), F.lit(TERM), F.lit(0)))).alias("term"))
     with_t = words.join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_t"))
-    n = base.count()
     ratio = F.expr(f"ln({n}D * both / (with_t * with_e)) / ln({n}D / with_e)")
-    found = both.join(held, "entity").join(with_t, "term").where(F.col("with_e") < n)
+    found = both.join(with_t, "term").where(F.col("with_e") < n)
     return stored(found.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= rules.generalise))
 
 
