@@ -13,7 +13,7 @@ from barloom.operators import (
     series, splits,
 )
 from barloom.params import (
-    BacktestParams, DataParams, ResearchParams, SplitParams, TargetParams, TuningParams,
+    DEFAULT_MODELS, BacktestParams, DataParams, ResearchParams, SplitParams, TargetParams, TuningParams,
 )
 from barloom.plans import inputs as i
 from barloom.plans import research
@@ -669,7 +669,7 @@ def feature_correlation_matrix(spark, sf):
 # Logistic models have their default iterations and grids; the tree families' default grids (24 forests of up to
 # 400 trees, 32 boosted models) are for a cluster, so the queries search two points each.
 MODELS = {
-    "majority": {}, "logreg_none": {}, "logreg_l1": {}, "logreg_l2": {},
+    **{name: DEFAULT_MODELS[name] for name in ("majority", "logreg_none", "logreg_l1", "logreg_l2")},
     "random_forest": {"grid": {"n_estimators": [20], "max_depth": [3, 5], "min_samples_leaf": [50], "max_features": ["sqrt"]}},
     "xgboost": {"grid": {"learning_rate": [0.1], "max_depth": [2], "n_estimators": [10], "subsample": [0.7],
                          "colsample_bytree": [0.7], "reg_alpha": [0.0, 1.0], "reg_lambda": [1.0]}},
