@@ -20,4 +20,7 @@ QUERIES = {
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op4_warc": warc.SQL,
+    "op5_near_dedup": near_dedup.SQL,
+    "op8_quality_rules": quality.SQL,
+    "op9_license_scan": license_scan.SQL,
 }

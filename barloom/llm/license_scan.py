@@ -99,5 +99,33 @@ def op9_license_scan(spark, sf_dir):
         "doc_id", "n_words", F.expr(f"cast(size({base}) as bigint)").alias("n_base"),
         F.expr(f"array_min(transform({base}, x -> x.start))").alias("first_word"),
         F.expr(f"array_max(transform({base}, x -> x.start))").alias("last_word"),
-        F.expr(labels.format(base)).alias("base_labels"), F.expr(labels.format("places")).alias("labels"), "score",
+        F.expr(labels.format(base)).alias("base_labels"), F.expr(labels.format("places")).alias("labels"), F.round("score", 6).alias("score"),
     )
+
+
+def _sql() -> str:
+    phrases = ", ".join(
+        f"({k}, '{p}', '{label}', {str(k < len(BASE_PHRASES)).lower()})" for k, (p, label) in enumerate((*BASE_PHRASES, *MORE_PHRASES)))
+    return rf"""
+with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+t as (select id, label, base, string_split(p, ' ') as pw from (values {phrases}) v(id, p, label, base)),
+tw as (select id, label, base, len(pw) as size, unnest(range(len(pw))) as j, unnest(pw) as word from t),
+pos as (select doc_id, unnest(range(len(ws))) as i, unnest(ws) as word from w),
+hit as (select * from pos where word in (select word from tw)),
+df as (select word, count(distinct doc_id) as df from hit group by word),
+idf as (select *, ln(1 + (select count(*) from documents)::double / (1 + coalesce(df, 0))) as idf from tw left join df using (word)),
+rare as (select * from (select *, row_number() over (partition by id order by idf desc, j) as r from idf) where r <= 2),
+starts as (select doc_id, id, i - j as s, count(distinct r) as agree from hit join rare using (word) where i >= j group by 1, 2, 3),
+shares as (select a.doc_id, a.id, a.s, any_value(f.label) as label, any_value(f.base) as base, count(*) filter (h.word = f.word) = any_value(f.size) as whole,
+    sum(case when h.word = f.word then f.idf else 0 end) / sum(f.idf) as share
+  from starts a join idf f using (id) left join hit h on h.doc_id = a.doc_id and h.i = a.s + f.j group by 1, 2, 3),
+per as (select doc_id, count(*) filter (whole and base) as n_base, min(s) filter (whole and base) as first_word, max(s) filter (whole and base) as last_word,
+    string_agg(distinct label, ',' order by label) filter (whole and base) as base_labels, string_agg(distinct label, ',' order by label) filter (whole) as labels,
+    max(share) as score from shares group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+       coalesce(labels, '') as labels, round(least(coalesce(score, 0.0), 1.0), 6)::double as score
+from w left join per using (doc_id)
+"""
+
+
+SQL = _sql()

@@ -373,3 +373,16 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def op5_near_dedup(spark, sf_dir):
     return classes(table(spark, sf_dir, "documents")).drop("row_id")
+
+
+#: All pairs that share a shingle, then everything reachable: for small tables.
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) u(i) where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+links as (select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where common::double / (na.n + nb.n - common) >= 0.8),
+reach(a, b) as (select a, b from links union select b, a from links union select r.a, l.b from reach r join (select a, b from links union select b, a from links) l on r.b = l.a),
+c as (select d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) as class_id from documents d left join reach r on r.a = d.doc_id group by d.doc_id)
+select doc_id, class_id, count(*) over (partition by class_id) as class_size, doc_id = class_id as kept from c
+"""

@@ -135,3 +135,30 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: QualityRules = Quali
 
 def op8_quality_rules(spark, sf_dir):
     return clean_lines(table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("cleaned")
+
+
+#: The same rules with their numbers written out.
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+grams as (select doc_id, i, count(*) over (partition by doc_id, g) > 1 as again from (
+    select doc_id, i, (ws[i], ws[i + 1], ws[i + 2]) as g from w, unnest(range(1, len(ws) - 1)) u(i) where len(ws) > 2)),
+rep as (select doc_id, count(distinct i + k) as n from grams, range(3) r(k) where again group by doc_id),
+lines as (select doc_id, l, count(*) as copies, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as n
+    from (select doc_id, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id, l),
+judged as (select doc_id, sum(copies - 1) as dup, coalesce(sum(n) filter (not (
+      length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > 0.5 * n
+      or length(regexp_replace(l, '[^!?]', '', 'g')) > greatest(3, 0.5 * n)
+      or len(regexp_extract_all(l, '\s[|>»›•·]\s|[|»›]\s*$|^\s*[|»›]')) > 0.25 * n
+      or n <= 15 and regexp_matches(l, '(?i)all rights reserved|accept cookies|uses cookies|cookie policy|privacy policy|terms of use|terms of service|enable javascript|click here|read more|sign in|log in|skip to content|back to top|share this|subscribe to our newsletter|lorem ipsum')
+      or n <= 2 and not regexp_matches(l, '[.!?…:;。]'))), 0) as n_left
+    from lines group by doc_id),
+f as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+      length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(dup, 0)::bigint as n_dup_lines,
+      coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(n_left, 0) as n_left
+    from w left join rep using (doc_id) left join judged using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_left >= 0.5 * n_words as kept
+from f
+"""
