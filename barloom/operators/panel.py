@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import ratio
+from barloom.functions.numeric import guard, ratio
 from barloom.functions.windows import Trailing, ticker_window, up_label
 from barloom.params import FeatureParams, MarketParams, ResearchParams, TargetParams
 
@@ -110,9 +110,10 @@ def market_features(bars: DataFrame, ticker: str, p: FeatureParams | None = None
     for n in m.volatility_windows:
         out[f"mkt_vol_{n}d"] = t.volatility("_r1", n, p.annualise_volatility)
     index = t.compute(index, ["ticker", "date"], out)
-    if m.lag:
-        index = index.select("ticker", "date", *(F.lag(k, m.lag).over(w).alias(k) for k in out))
-    return index.drop("ticker")
+    # The join on the date is a broadcast that must not multiply rows: a date with two index bars fails.
+    repeated = F.coalesce(F.lag("date").over(w) == F.col("date"), F.lit(False))
+    date = guard(repeated, "more than one market bar on a date", F.col("date"), "date").alias("date")
+    return index.select(date, *(F.lag(k, m.lag).over(w).alias(k) if m.lag else k for k in out))
 
 
 def attach_market(features: DataFrame, market: DataFrame) -> DataFrame:

