@@ -8,6 +8,7 @@ day, which bounds every later per-ticker window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -283,11 +284,18 @@ class Ingested:
         return self
 
 
-def ingest(raw: DataFrame, params: DataParams, market_enabled: bool = True) -> Ingested:
-    """Clean, trim and gate a raw universe; failing tickers are reported, not fatal."""
+def ingest(
+    raw: DataFrame, params: DataParams, market_enabled: bool = True,
+    keep: Callable[[DataFrame], DataFrame] = lambda candidates: candidates,
+) -> Ingested:
+    """Clean, trim and gate a raw universe; failing tickers are reported, not fatal.
+
+    Report and bars both come from the daily candidates; `keep` may write them to a table first, so that
+    the raw rows are read once.
+    """
     requested = required_tickers(params, market_enabled)
     notes = schema_notes([tidy_name(c) for c in raw.columns])
-    candidates = restrict_universe(daily_candidates(raw), requested)
+    candidates = keep(restrict_universe(daily_candidates(raw), requested))
     report = cleaning_report(candidates, notes, params.start, params.end)
     bars = enough_history(trim(clean_bars(candidates), params.start, params.end), params.min_rows)
     return Ingested(bars, ingest_manifest(report, params, requested))

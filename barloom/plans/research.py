@@ -26,7 +26,8 @@ BASELINE = "majority"
 
 def ingest(spark: SparkSession, raw: DataFrame, params: ResearchParams, out: str) -> DataFrame:
     """Clean a raw universe into the bars table and write its manifest."""
-    done = cleaning.ingest(raw, params.data, params.features.market_features.enabled)
+    done = cleaning.ingest(raw, params.data, params.features.market_features.enabled,
+                           lambda candidates: _keep(spark, candidates, f"{out}/daily_candidates"))
     done.manifest.write.mode("overwrite").json(f"{out}/manifest")
     manifest = spark.read.schema(done.manifest.schema).json(f"{out}/manifest")
     universe = params.data.universe()

@@ -11,7 +11,7 @@ import sys
 import time
 
 from barloom.operators import (
-    backtest, baseline, cleaning, diagnostics, explore, metrics, panel, series, splits,
+    backtest, baseline, cleaning, diagnostics, explore, metrics, models, panel, series, splits,
 )
 from barloom.params import DataParams, ResearchParams
 from barloom.sources import bars as bar_files
@@ -44,7 +44,11 @@ def main() -> None:
     bar_files.write_bars(tpch.daily_bars(spark, sf_dir, tpch.by_brand_and_type()), f"{out}/bars")
     timings["daily_bars"] = round(time.perf_counter() - start, 3)
     bars = bar_files.read_bars(spark, f"{out}/bars")
-    candidates = cleaning.daily_candidates(tpch.vendor_rows(spark, sf_dir))
+    # Ingest as a run does it: CSV files of many headers, then candidates written once for report and bars.
+    raw = tpch.vendor_rows(spark, sf_dir).repartition("ticker").sortWithinPartitions("ticker", "_seq").drop("_seq")
+    raw.write.option("header", True).partitionBy("ticker").csv(f"{out}/vendor")
+    timed("vendor_csv_clean", lambda: cleaning.clean_bars(cleaning.daily_candidates(bar_files.read_vendor_csv(spark, f"{out}/vendor"))))
+    candidates = stored("daily_candidates", lambda: cleaning.daily_candidates(tpch.vendor_rows(spark, sf_dir)))
     timed("cleaning_report", lambda: cleaning.cleaning_report(candidates))
     timed("clean_bars", lambda: cleaning.clean_bars(candidates))
     rows = stored("feature_panel", lambda: panel.build_panel(bars, params))
@@ -53,6 +57,11 @@ def main() -> None:
     tagged = stored("chronological_split", lambda: splits.chronological_split(rows, params))
     axis = splits.date_axis(rows)
     timed("walk_forward_folds", lambda: splits.fold_table(splits.walk_forward_folds(axis, 756, 252, 1), axis))
+    vectors = models.assemble(tagged)
+    spec = models.model_specs(params)["logreg_l2"]
+    timed("logistic_fit_predict", lambda: models.predictions(
+        spec, models.fit(spec, {"C": 0.1}, vectors.where("split = 'train'")), vectors.where("split = 'test'"), "test"))
+    timed("fold_class_weights", lambda: baseline.fold_class_weights(rows, axis, splits.cv_folds(axis, 4, 1)))
     preds = stored("score_predictions", lambda: baseline.score_predictions(tagged).unionByName(
         baseline.majority_predictions(tagged)))
     timed("classification_table", lambda: metrics.classification_table(preds))

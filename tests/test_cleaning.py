@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import cleaning as C
 from barloom.params import DataParams
+from barloom.plans import catalog
 from barloom.sources import bars as bar_files
 from barloom.sources.session import shared_folder
 
@@ -134,3 +135,9 @@ def test_copies_of_a_day_collapse_before_the_shuffle(raw):
     """A day with any number of copies leaves each task as one record."""
     plan = C.daily_candidates(raw)._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan and "SortAggregate" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["daily_bars", "clean_bars", "cleaning_report", "deduplicated_days"])
+def test_registered_queries_do_not_sort_raw_rows(spark, small, name):
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
