@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import fresh, map_batches, parallelism, stored, table, text_of, text_ranges
+from barloom.llm.common import fresh, map_batches, stored, table, text_of, text_ranges
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class NearRules:
     bands: int = 24
     rows: int = 4             # coordinates of a band: a pair at 0.8 is missed with chance 3e-6
     leader_rounds: int = 2    # rounds of one leader a bucket before the members that are left are compared in blocks
-    block_items: int = 20_000 # shingles of a block of members
+    block_items: int = 100_000 # shingles of a block of members, each member counting for 64 at least
     seed: int = 7
 
     @property
@@ -240,6 +240,9 @@ def _parts(members: pa.StructArray) -> tuple[list[str], list[str], np.ndarray, n
     return members.field("node").to_pylist(), members.field("comp").to_pylist(), items.flatten().to_numpy(), np.diff(items.offsets.to_numpy())
 
 
+_COLUMNS = 4096  # items multiplied at once
+
+
 def block_links(rules: NearRules):
     """Batches of (one, two), lists of (node, comp, items), to links (a, b) that join components of the two lists."""
     def of(one: pa.StructArray, two: pa.StructArray) -> Iterator[tuple[str, str]]:
@@ -248,14 +251,18 @@ def block_links(rules: NearRules):
         shared = np.flatnonzero(times > 1)  # an item in one text only adds to no overlap
         column = np.full(len(times), -1)
         column[shared] = np.arange(len(shared))
+        a_row, a_col = np.repeat(np.arange(len(al)), al), column[number[:len(ai)]]
+        b_row, b_col = np.repeat(np.arange(len(bl)), bl), column[number[len(ai):]]
 
-        def matrix(numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-            m = np.zeros((len(lengths), len(shared)), np.float32)
-            row, col = np.repeat(np.arange(len(lengths)), lengths), column[numbers]
-            m[row[col >= 0], col[col >= 0]] = 1
+        def matrix(row: np.ndarray, col: np.ndarray, height: int, begin: int) -> np.ndarray:
+            m = np.zeros((height, _COLUMNS), np.float32)
+            own = (col >= begin) & (col < begin + _COLUMNS)
+            m[row[own], col[own] - begin] = 1
             return m
 
-        both = (matrix(number[:len(ai)], al) @ matrix(number[len(ai):], bl).T).astype(float)
+        both = np.zeros((len(al), len(bl)))
+        for begin in range(0, len(shared), _COLUMNS):
+            both += matrix(a_row, a_col, len(al), begin) @ matrix(b_row, b_col, len(bl), begin).T
         alike = both / np.maximum(1, al[:, None] + bl[None, :] - both) >= rules.similarity
         root: dict[str, str] = {}
 
@@ -281,17 +288,20 @@ def block_links(rules: NearRules):
 def blockwise(open_: DataFrame, nodes: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     """Links (a, b) between components that share a bucket; `open_` has (node, band, key, comp)."""
     sized = open_.join(nodes.select("node", "n_shingles"), "node")
-    bulk = sized.groupBy("band", "key").agg(F.ceil(F.sum("n_shingles") / rules.block_items).cast("int").alias("blocks"))
+    bulk = sized.groupBy("band", "key").agg(
+        F.ceil(F.sum(F.greatest("n_shingles", F.lit(64))) / rules.block_items).cast("int").alias("blocks"),
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    # Buckets of several bands often have the same members: one of them is enough.
+    bulk = bulk.groupBy("n", "x", "y", "blocks").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "blocks")
     dealt = sized.join(bulk, ["band", "key"]).select("band", "key", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "comp")
     member = F.struct("node", "comp", "items")
-    blocks = stored(dealt.join(sets, "node").groupBy("band", "key", "block").agg(
-        F.collect_list(member).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    blocks = dealt.join(sets, "node").groupBy("band", "key", "block").agg(
+        F.collect_list(member).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     one = blocks.select("band", "key", "block", F.col("members").alias("one"), "lo", "hi")
     two = blocks.select("band", "key", F.col("block").alias("block2"), F.col("members").alias("two"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     mixed = "block <= block2 and (lo <> hi or lo2 <> hi2 or lo <> lo2)"
     met = one.join(two, ["band", "key"]).where(mixed).select("one", "two")
-    # Blocks are large rows: spread them evenly, a few to an Arrow batch.
-    return map_batches(met.repartition(parallelism(met.sparkSession)), block_links(rules), "a string, b string")
+    return map_batches(met, block_links(rules), "a string, b string")
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:

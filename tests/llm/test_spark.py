@@ -157,7 +157,7 @@ def test_near_dedup_keeps_every_link(spark, odd, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
-@pytest.mark.parametrize("block_items", [300, 20_000])
+@pytest.mark.parametrize("block_items", [600, 100_000])
 def test_members_left_are_compared_in_blocks(spark, block_items):
     rules = near_dedup.NearRules(leader_rounds=0, block_items=block_items)
     rows = list(enumerate(chain(20, 3)))
