@@ -1,11 +1,11 @@
 """Near-duplicate documents: DartMinHash signatures, banded joining, exact check, classes.
 
-A document is a weighted set: its five-word shingles with their numbers of occurrences. Every shingle owns a region of
-height (weight) times rank, into which darts fall as a Poisson process driven by hashes, so the same shingle sees the
-same darts in every document. A dart under the shingle's weight hits a coordinate of the signature; the earliest dart
-(lowest rank) of each coordinate stays. Darts are thrown in cells of rising rank until every coordinate is hit, about
-k*ln(k) darts a document whatever its size. Two documents agree on a coordinate with the probability of their
-weighted Jaccard similarity.
+A document is the set of its five-word shingles. Every shingle owns a region of height (weight) times rank, into which
+darts fall as a Poisson process driven by hashes, so the same shingle sees the same darts in every document. A dart under
+the shingle's weight hits a coordinate of the signature; the earliest dart (lowest rank) of each coordinate stays. Darts
+are thrown in cells of rising rank until every coordinate is hit, about k*ln(k) darts a document whatever its size. Two
+documents agree on a coordinate with the probability of their weighted Jaccard similarity. All weights are 1 here, however
+often a shingle occurs: then that is the similarity of the sets, by which links are defined and verified.
 
 Bands of the signature are joined as follows. Equal texts are one node. In each bucket of a band all members are compared
 with one leader, so a bucket gives as many pairs as members. Pairs are verified by exact Jaccard similarity of their
@@ -184,8 +184,8 @@ def sketch(docs: DataFrame, rules: NearRules, text: str, doc_id: str) -> DataFra
             texts = batch.column(batch.num_columns - 1).to_pylist()
             counts, keys = [np.zeros(0, np.int64)], [np.zeros((0, rules.bands), np.uint64)]
             for a, b in text_ranges(texts):
-                doc, item, times = shingles(texts[a:b], rules.words)
-                sig = signatures(doc, item, times.astype(float), b - a, rules.coordinates, rules.seed)
+                doc, item, _ = shingles(texts[a:b], rules.words)
+                sig = signatures(doc, item, np.ones(len(doc)), b - a, rules.coordinates, rules.seed)
                 counts.append(np.bincount(doc, minlength=b - a))
                 keys.append(bands_of(sig, rules))
             n, key = np.concatenate(counts), np.concatenate(keys).view(np.int64)

@@ -157,6 +157,22 @@ def test_near_dedup_keeps_every_link(spark, odd, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_near_copies_that_repeat_passages_meet(spark):
+    """Links rest on sets of shingles, so how often a text repeats a passage must not keep it from its copies."""
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{n}" for n in range(100)]
+        half = " ".join(words[:50])
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words * 10)), (10 * k + 2, " ".join([*[half] * 5, *words[50:]]))]
+    want = jaccard_classes(rows)
+    assert set(want) == {(10 * k, 10 * k + 1, 10 * k + 2) for k in range(12)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = defaultdict(list)
+    for r in near_dedup.classes(docs).collect():
+        groups[r["class_id"]].append(r["doc_id"])
+    assert Counter(tuple(sorted(g)) for g in groups.values()) == want
+
+
 @pytest.mark.parametrize("block_items", [600, 100_000])
 def test_members_left_are_compared_in_blocks(spark, block_items):
     rules = near_dedup.NearRules(leader_rounds=0, block_items=block_items)
