@@ -1,24 +1,25 @@
 """Personal data in DataFrame operations only: fixed patterns, and terms that give a protected entity away.
 
 Information-theoretic sanitisation. The entities are the values the patterns find. Over all documents it is counted
-how many hold an entity e, how many hold a term t, and how many have t close to e. The pointwise mutual information of
-the two against the information of the entity,
+how many hold an entity e, how many hold a term t, and how many hold both, wherever they stand in the document. The
+pointwise mutual information of the two against the information of the entity,
 
     ratio(t, e) = ln(n * both / (with t * with e)) / ln(n / with e),
 
-is 1 if t appears only where e does and 0 if they are unrelated. In documents that hold e, terms close to it
-anywhere in the corpus are spans of their own where the ratio exceeds the disclosure threshold: generalised from
-`generalise` on, removed from `remove` on.
+is 1 if t appears only where e does and 0 if they are unrelated. In documents that hold e, terms are spans of their own
+where the ratio exceeds the disclosure threshold: generalised from `generalise` on, removed from `remove` on. A pair needs
+`min_both` documents that hold both, so an entity in fewer documents has no terms.
 
-Counts are pre-aggregated before each shuffle. Only term counts look at all words, and of those only terms are counted that
-stand close to an entity in `min_both` documents and are not too common near entities to reach the threshold.
+Counts are pre-aggregated before each shuffle. A document's terms meet its entities only if the entity is in `min_both`
+documents and the term is not too common to reach the threshold with it. The common terms that decides on are broadcast:
+those in more than one of `COMMON` documents, at most `COMMON` times the distinct terms of an average document.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import fresh, stored, table, text_of
@@ -33,12 +34,13 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,18}+(?![\x20-]?[0
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 TERM = r"\p{L}[\p{L}\p{M}]{2,}"
+#: A term in more than one of so many documents is common.
+COMMON = 1000
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    context: int = 60         # code points on either side that count as close
-    min_both: int = 3         # documents with the term close to the entity
+    min_both: int = 3         # documents with the term and the entity
     generalise: float = 0.9   # disclosure threshold
     remove: float = 0.98
 
@@ -61,31 +63,27 @@ def base_spans(df: DataFrame, text: str = "t") -> DataFrame:
     return df
 
 
-def _contexts(rules: Disclosure) -> str:
-    """SQL: for every base span its value and the distinct terms around it; cut words at the window's edges do not count."""
-    n = rules.context
-    term = TERM.replace("\\", "\\\\")
-    before = f"regexp_extract_all(regexp_replace(concat(if(x.start > {n}, 'x', ' '), substring(t, cast(greatest(x.start - {n}, 0) + 1 as int), cast(least(x.start, {n}) as int))), '^[^ ]+', ''), '{term}', 0)"
-    after = f"regexp_extract_all(regexp_replace(substring(t, cast(x.end + 1 as int), {n}), if(x.end + {n} < length(t), '[^ ]+$', '$'), ''), '{term}', 0)"
-    return f"transform(concat({', '.join(KINDS)}), x -> named_struct('entity', x.hit, 'terms', array_distinct(concat({before}, {after}))))"
+def _terms(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text_of(text), F.lit(TERM), F.lit(0)))
 
 
 def disclosing(base: DataFrame, docs: DataFrame, text: str, rules: Disclosure) -> DataFrame:
-    """(entity, term, ratio) over the whole corpus; `base` has one row per document with row_id and contexts."""
-    near = base.where(F.size("contexts") > 0).select("row_id", F.explode("contexts").alias("c"))
-    held = near.select("row_id", F.col("c.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_e"))
-    terms = near.select("row_id", F.col("c.entity").alias("entity"), F.explode("c.terms").alias("term")).distinct()
-    both = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= rules.min_both)
-    # At least the documents with the term close to any entity hold it: pairs that fail the threshold on that count
-    # alone need no count over all words. This leaves out common words and changes no result.
-    least = terms.select("row_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    """(entity, term, ratio) over the whole corpus; `base` has one row per document with row_id, t and entities."""
     n = base.count()
-    most = F.col("both") * F.pow(F.lit(float(n)) / F.col("with_e"), F.lit(1.0 - rules.generalise)) * (1 + 1e-9)
-    both = stored(both.join(held, "entity").join(least, "term").where(F.col("least") <= most).drop("least"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_of(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    with_t = words.join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_t"))
+    held = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_e"))
+    # With a term in more documents than `most` the entity cannot reach the threshold, even if all its documents hold the term.
+    most = F.col("with_e") * F.pow(F.lit(float(n)) / F.col("with_e"), F.lit(1.0 - rules.generalise)) * (1 + 1e-9)
+    held = stored(held.where((F.col("with_e") >= rules.min_both) & (F.col("with_e") < n)).withColumn("most", most))
+    words = docs.select(F.explode(_terms(text)).alias("term"))
+    with_t = stored(words.groupBy("term").agg(F.count(F.lit(1)).alias("with_t")).where(F.col("with_t") >= rules.min_both))
+    common = with_t.where(F.col("with_t") * COMMON > n).withColumnRenamed("with_t", "seen")
+    holders = base.select("row_id", F.explode("entities").alias("entity")).join(held, "entity").groupBy("row_id").agg(
+        F.collect_list(F.struct("entity", "most")).alias("own"), F.max("most").alias("most"))
+    terms = base.join(holders, "row_id").select("own", "most", F.explode(_terms("t")).alias("term"))
+    near = terms.join(F.broadcast(common), "term", "left").where("seen is null or seen <= most").select("term", "seen", F.explode("own").alias("e"))
+    pairs = near.where("seen is null or seen <= e.most").groupBy(F.col("e.entity").alias("entity"), "term").agg(F.count(F.lit(1)).alias("both"))
     ratio = F.expr(f"ln({n}D * both / (with_t * with_e)) / ln({n}D / with_e)")
-    found = both.join(with_t, "term").where(F.col("with_e") < n)
+    found = pairs.where(F.col("both") >= rules.min_both).join(with_t, "term").join(held, "entity")
     return stored(found.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= rules.generalise))
 
 
@@ -97,23 +95,21 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: D
     overlaps a base span is none of its own.
     """
     t = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), text_of(text).alias("t"))
-    t = base_spans(t).withColumn("contexts", F.when(F.size(F.concat(*KINDS)) > 0, F.expr(_contexts(rules)))
-                                 .otherwise(F.array().cast("array<struct<entity:string,terms:array<string>>>")))
-    base = stored(t.withColumn("t", F.when(F.size("contexts") > 0, F.col("t"))))
-    telling = disclosing(base, docs, text, rules)
-    wanted = (
-        base.where(F.size("contexts") > 0).select("row_id", F.explode(F.array_distinct("contexts.entity")).alias("entity"))
-        .join(telling, "entity").groupBy("row_id", "term").agg(F.max("ratio").alias("ratio"))
-    )
-    places = wanted.join(base.select("row_id", "t"), "row_id")
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])"), F.col("term"), F.lit(r"(?![\p{L}\p{M}])"))
-    places = add_spans(places, "t", pattern, "places").drop("t").select(
-        "row_id", F.explode("places").alias("p"), F.when(F.col("ratio") >= rules.remove, "remove").otherwise("generalise").alias("action"))
-    terms = places.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("p.start", "p.end", "p.hit", "action"))).alias("term"))
+    t = base_spans(t).withColumn("entities", F.expr(f"array_distinct(transform(concat({', '.join(KINDS)}), x -> x.hit))"))
+    base = stored(t.withColumn("t", F.when(F.size("entities") > 0, F.col("t"))))
+    told = base.where(F.size("entities") > 0)
+    sure = F.col("ratio") >= rules.remove
+    telling = disclosing(base, docs, text, rules).groupBy("entity").agg(
+        F.collect_list(F.when(sure, F.col("term"))).alias("remove"), F.collect_list(F.when(~sure, F.col("term"))).alias("generalise"))
+    wanted = told.select("row_id", F.explode("entities").alias("entity")).join(telling, "entity").groupBy("row_id").agg(
+        *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("remove", "generalise")))
+    words = add_spans(told.select("row_id", "t").join(wanted, "row_id"), "t", TERM, "words")
+    action = "if(array_contains(remove, x.hit), 'remove', if(array_contains(generalise, x.hit), 'generalise', null))"
+    terms = words.select("row_id", F.expr(f"filter(transform(words, x -> named_struct('start', x.start, 'end', x.end, 'hit', x.hit, 'action', {action})), x -> x.action is not null)").alias("term"))
     none = F.array().cast(SPAN.replace("hit:string", "hit:string,action:string"))
     free = f"filter(coalesce(term, none), x -> not exists(concat({', '.join(KINDS)}), y -> y.start < x.end and x.start < y.end))"
     return (
-        base.drop("t", "contexts").join(terms, "row_id", "left").withColumn("none", none)
+        base.drop("t", "entities").join(terms, "row_id", "left").withColumn("none", none)
         .select("doc_id", "row_id", *KINDS, F.expr(free).alias("term"))
     )
 

@@ -255,6 +255,20 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert clean[100] == "the lake near town was  [EMAIL] and people 0" and all(clean[k] == t for k, t in plain)
 
 
+def test_pii_terms_far_from_the_entity_and_without_blanks(spark):
+    """Co-occurrence counts over whole documents, whatever separates their words."""
+    rng = random.Random(5)
+    common = ["the", "lake", "was", "near", "town", "and", "people"]
+    plain = [(k, " ".join(rng.choices(common, k=60))) for k in range(60)]
+    far = [(100 + k, "Quuxberg\n" + " ".join(rng.choices(common, k=80)) + f"\nmail: quux@corp.example {k}") for k in range(4)]
+    tabs = [(200 + k, f"lake\tZorblax\tzorb@corp.example\t{k}") for k in range(4)]
+    two = [(300 + k, "Rareword rare@corp.example") for k in range(2)]  # below the support rule
+    docs = spark.createDataFrame(plain + far + tabs + two, "doc_id long, text string")
+    out = {r["doc_id"]: {(x["start"], x["hit"]) for x in r["term"]} for r in pii.detect(docs).collect()}
+    assert all((0, "Quuxberg") in out[k] for k in range(100, 104)) and all(out[k] == {(5, "Zorblax")} for k in range(200, 204))
+    assert not any(out[k] for k in (*range(60), 300, 301))
+
+
 def test_quality(odd, empty, spark):
     out = quality.clean_lines(odd).collect()
     assert len(out) == len(ODD) and "kept_" in out[0].asDict() and {r["kept"] for r in out} == {CLASH.index("kept")}
