@@ -3,7 +3,9 @@
 A candidate is a long run of key characters that has digits and letters. Its character class (hexadecimal,
 lower-case alphanumeric, any) sets the threshold. A window slides over it; counts per character change by the
 one that enters and the one that leaves, and with them the sum of c*log2(c), from which the window's Shannon entropy
-follows at once: log2(w) - sum/w. Candidates on the allow-list are suppressed. One narrow stage, no shuffle.
+follows at once: log2(w) - sum/w. What the allow-list matches is taken out of a candidate and the window slides over the
+rest; a rest shorter than the window is no secret. A path whose segments are all plain names is suppressed whole. One
+narrow stage, no shuffle.
 """
 
 from __future__ import annotations
@@ -31,13 +33,24 @@ class EntropyRules:
     hex_bits: float = 3.0
     lower_bits: float = 3.5
     any_bits: float = 3.7
-    #: Lower-case regular expressions of what is no secret.
+    #: Regular expressions, in any case, of parts that are no secret.
     allow: tuple[str, ...] = (
         "example", "sample", "dummy", "placeholder", "change_?me", "your_", "test", "xxxx", "0000", "1234567", "abcdefg",
-        "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "lorem", "/.*/.*/",
+        "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "lorem",
     )
 
 
+def _path(rules: EntropyRules) -> str:
+    """Three slashes or more between plain names: words, or camel case, with digits after them only, joined by _ or -.
+
+    A name as long as the window that has digits is not plain: on its own it would be a candidate.
+    """
+    part = "(?:[A-Z]++(?![a-z])|[a-z]*+(?:[A-Z][a-z]++)*+)[0-9]*+"
+    short = f"(?:(?![^/]{{{rules.window}}})|(?=[^/0-9]*+(?:/|$)))"
+    name = f"{short}{part}(?:[_-]{part})*+(?=/|$)"
+    return f"^(?:{name}/){{3,}}+{name}$"
+
+
 def _best_entropy(rules: EntropyRules) -> str:
     """SQL: highest entropy in bits of any window over the candidate `hit`; 0 if it is shorter than the window."""
     w = rules.window
@@ -81,8 +94,10 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: Ent
 
     t = t.withColumn("base", F.expr(f"concat({tagged('assign', 0)}, {tagged('access', 1)}, {tagged('hex', 2)})"))
     allow = "|".join(rules.allow).replace("\\", "\\\\")
-    likely = f"x.hit rlike '[0-9]' and x.hit rlike '[A-Za-z]' and not lower(x.hit) rlike '{allow}'"
-    t = t.withColumn("candidates", F.expr(f"filter(candidates, x -> {likely} and not exists(base, y -> y.start < x.end and x.start < y.end))"))
+    likely = "x.hit rlike '[0-9]' and x.hit rlike '[A-Za-z]'"
+    t = t.withColumn("candidates", F.expr(f"filter(candidates, x -> {likely} and not x.hit rlike '{_path(rules)}' and not exists(base, y -> y.start < x.end and x.start < y.end))"))
+    rest = f"regexp_replace(x.hit, '(?i){allow}', '')"
+    t = t.withColumn("candidates", F.expr(f"filter(transform(candidates, x -> named_struct('start', x.start, 'end', x.end, 'hit', {rest})), x -> length(x.hit) >= {least} and {likely})"))
     bits = f"case when hit rlike '^[0-9a-f]+$' or hit rlike '^[0-9A-F]+$' then {rules.hex_bits}D when hit rlike '^[a-z0-9+/_-]+$' then {rules.lower_bits}D else {rules.any_bits}D end"
     judged = f"transform(candidates, x -> element_at(transform(array(x.hit), hit -> {_best_entropy(rules)} >= {bits}), 1))"
     t = t.withColumn("judged", F.when(F.size("candidates") > 0, F.expr(judged)).otherwise(F.array().cast("array<boolean>")))

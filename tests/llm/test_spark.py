@@ -326,6 +326,26 @@ def test_entropy_window(spark):
     assert secret_scan.redact(spark.createDataFrame(known[:1], "doc_id long, text string")).head()["redacted"] == "key [ENTROPY] end"
 
 
+def test_allow_list_suppresses_only_what_it_explains(spark):
+    rng = random.Random(11)
+    base64 = secret_scan.ALPHABET[:64]
+    keys = []
+    for n in (40, 64, 88, 200, 400):
+        for part in ("///", "test", "0000", "1234567", "sample"):
+            key = rng.choices(base64, k=n)
+            for c, at in zip(part, sorted(rng.sample(range(1, n - 1), len(part))) if part == "///" else range(n // 2, n)):
+                key[at] = c
+            keys.append("".join(key))
+    keys.append("sk_test_" + "".join(rng.choices(base64[:62], k=24)))
+    plain = ["/usr/local/lib/python3/site-packages/numpy", "/home/user/MyProject/src/main/v2/README", "docs/en_US/guide/chapter-12/section4", "//a/b/c/" + "d1/" * 20_000,
+             "3f2a9c1e-7b4d-4e8f-9a6b-0c5d1e2f3a4b", "your_example_sample_test_0000_1234567"]
+    rows = [*enumerate(keys), *((1000 + k, p) for k, p in enumerate(plain))]
+    got = {r["doc_id"]: r["secrets"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, key in enumerate(keys):
+        assert any(x["start"] == 0 and x["end"] == len(key) for x in got[k]), key
+    assert not any(got[k] for k in got if k >= 1000), [rows[k] for k in got if got[k] and k >= 1000]
+
+
 def test_pipeline_keeps_clean_documents(spark):
     rng = random.Random(6)
     vocabulary = [f"wort{k}" for k in range(3000)]
