@@ -666,15 +666,8 @@ def feature_correlation_matrix(spark, sf):
 
 # ---- fitted models
 
-# Logistic models have their default iterations and grids; the tree families' default grids (24 forests of up to
-# 400 trees, 32 boosted models) are for a cluster, so the queries search two points each.
-MODELS = {
-    **{name: DEFAULT_MODELS[name] for name in ("majority", "logreg_none", "logreg_l1", "logreg_l2")},
-    "random_forest": {"grid": {"n_estimators": [20], "max_depth": [3, 5], "min_samples_leaf": [50], "max_features": ["sqrt"]}},
-    "xgboost": {"grid": {"learning_rate": [0.1], "max_depth": [2], "n_estimators": [10], "subsample": [0.7],
-                         "colsample_bytree": [0.7], "reg_alpha": [0.0, 1.0], "reg_lambda": [1.0]}},
-}
-MODEL_PARAMS = ResearchParams(models=MODELS)
+# All models have their default iterations and grids: 24 forests and 32 boosted models, each on four folds.
+MODEL_PARAMS = ResearchParams(models=DEFAULT_MODELS)
 SPECS = models.model_specs(MODEL_PARAMS)
 TUNING = TuningParams(parallelism=4)
 
@@ -757,7 +750,7 @@ def refit_test_predictions(spark, sf):
 def _forward(spark, sf):
     rows = i.the_panel(spark, sf)
     axis = splits.date_axis(rows)
-    folds = splits.walk_forward_folds(axis, WF.min_train_days, 504, 1).collect()  # one row per block
+    folds = splits.walk_forward_folds(axis, WF.min_train_days, WF.test_days, 1).collect()  # one row per block
     numbered = models.assemble(splits.tag_rows(rows, axis, "ordinal"))
     frozen = [(spec, _tuned(spark, sf, name).best_params) for name, spec in SPECS.items()]
     return models.walk_forward_predictions(frozen, numbered, folds)
@@ -770,9 +763,12 @@ def walk_forward_models(spark, sf):
 
 @query
 def walk_forward_coverage(spark, sf):
-    """Every model predicts every row of every block once."""
-    rows = i.stored(spark, sf, "forward", lambda: _forward(spark, sf))
-    return rows.groupBy("model", "fold").agg(
+    """Every model predicts every row once; shown by four blocks of 126 days at a time."""
+    return _coverage(i.stored(spark, sf, "forward", lambda: _forward(spark, sf)))
+
+
+def _coverage(rows):
+    return rows.groupBy("model", F.expr("cast(fold div 4 as int)").alias("fold")).agg(
         F.count("*").alias("n"), F.countDistinct("date", "ticker").alias("distinct_rows"), F.min("date").alias("first"),
         F.max("date").alias("last"), F.sum("target").alias("ups"), F.count_if(F.col("prob_up").between(0, 1)).alias("probabilities"))
 

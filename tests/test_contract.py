@@ -2,6 +2,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from barloom.params import DEFAULT_MODELS
+from barloom.plans import catalog, inputs
 from tools.check import TABLES, rows_of
 
 # A cross-section of the registered queries; tools/check.py runs them all.
@@ -22,3 +24,24 @@ def test_query_agrees_with_sql(spark, small, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 14
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
+
+
+def test_model_queries_search_the_default_grids():
+    for name, family in (("random_forest", "random_forest"), ("gbt[mllib]", "xgboost")):
+        grid = catalog.SPECS[name].grid
+        assert grid and all(list(grid[k]) == list(DEFAULT_MODELS[family]["grid"][k]) for k in grid)
+    assert len(catalog.SPECS["gbt[mllib]"].combinations()) == 32 and len(catalog.SPECS["random_forest"].combinations()) == 24
+
+
+def test_walk_forward_refits_every_block_of_test_days(spark, small, monkeypatch):
+    monkeypatch.setattr(catalog, "SPECS", {"majority": catalog.SPECS["majority"]})
+    rows = catalog._forward(spark, small).cache()
+    days = inputs.axis(spark, small).count() - inputs.PARAMS.walk_forward.min_train_days
+    assert rows.select("fold").distinct().count() == -(-days // inputs.PARAMS.walk_forward.test_days) > 1
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS FROM '{small}/{t}.parquet'")
+    relation = db.execute(f"SELECT * FROM ({entry.oracle_sql()['walk_forward_coverage']}) WHERE model = 'majority'")
+    got = catalog._coverage(rows)
+    assert rows_of(got.columns, got.collect()) == rows_of([d[0] for d in relation.description], relation.fetchall())
+    rows.unpersist()
