@@ -81,3 +81,17 @@ def text_ranges(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, in
             begin, size = k + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def join_by_count(rows: DataFrame, labels: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows with the columns of `labels`, which has each key once and the number of its rows in `count`.
+
+    Keys with more than a quarter of a task's share of rows are broadcast: there can be no more than four a shuffle partition of
+    them, whatever the data. So no hot key is shuffled, and the others are small. `labels` should be stored: it is read thrice.
+    """
+    most = 4 * parallelism(rows.sparkSession)
+    total = labels.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).head()["n"]
+    plain = labels.drop(count)
+    hot = F.broadcast(plain.where(labels[count] > total // most))  # at most `most` rows
+    cold = plain.where(labels[count] <= total // most)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

@@ -1,0 +1,214 @@
+"""SimHash components and centroid clustering against plain computations."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from barloom.llm import centroids, simhash
+
+DOCS = "doc_id bigint, text string, lang string, fp string, node string"
+
+
+# ---- SimHash
+
+def plain_fingerprint(text):
+    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({k: " " for k in range(9, 14)}).split(" ") if w]
+    parts = [" ".join(words[k:k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(ids, prints, radius=2):
+    root = list(range(len(prints)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    members = {}
+    for k in range(len(prints)):
+        members.setdefault(find(k), []).append(k)
+    out = {}
+    for group in members.values():
+        known = [ids[k] for k in group if ids[k] is not None]
+        for k in group:
+            out[k] = (min(known) if known else None, len(group))
+    return [out[k] for k in range(len(prints))]
+
+
+def _texts():
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    base = [" ".join(r.choices(words, k=n)) for n in (5, 40, 300, 900, 3)]
+    near = [" ".join([w if r.random() > 0.004 else "changed" for w in base[3].split(" ")]) for _ in range(12)]
+    return base + near + [base[3]] * 9 + [None, "", " \t\n", "one", "Two Words", "two words", "É ÉÀ   x", "x" * 50_000, "tok " * 30_000]
+
+
+def test_simhash_equals_a_comparison_of_all_pairs(spark):
+    texts = _texts()
+    ids = [*range(len(texts) - 2), None, 3]
+    rows = list(zip(ids, texts))
+    docs = spark.createDataFrame([(i, t, "en", "clash", "clash") for i, t in rows], DOCS).repartition(3)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fp"] % (1 << 64), r["component_id"], r["component_size"]) for r in simhash.components(docs).collect())
+    prints = [plain_fingerprint(t) for t in texts]
+    want = sorted((i if i is not None else -1, p, *c) for i, p, c in zip(ids, prints, plain_components(ids, prints)))
+    assert got == want
+
+
+def test_ball_hashing_finds_all_links_of_planted_fingerprints(spark):
+    r = random.Random(9)
+    prints = [r.getrandbits(64) for _ in range(40)]
+    for p in prints[:20]:
+        q = p
+        for _ in range(4):  # chains whose ends are far apart, and neighbours at 1, 2 and 3 bits
+            for b in r.sample(range(64), r.choice((1, 2, 2, 3))):
+                q ^= 1 << b
+            prints.append(q)
+    prints += [0, 1, 3, 1 << 63, (1 << 64) - 1, (1 << 64) - 2]
+    prints = sorted(set(prints))
+    signed = [(p - (1 << 64) if p >= 1 << 63 else p,) for p in prints]
+    for radius in (0, 2, 4):
+        found = simhash.links(spark.createDataFrame(signed, "fp bigint"), simhash.SimRules(radius=radius)).collect()
+        assert all((a % (1 << 64) ^ b % (1 << 64)).bit_count() <= radius for a, b in found)
+        root = {p: p for p in prints}
+
+        def find(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        for a, b in found:
+            x, y = find(a % (1 << 64)), find(b % (1 << 64))
+            root[max(x, y)] = min(x, y)
+        want = plain_components(prints, prints, radius)
+        assert [find(p) for p in prints] == [find(c[0]) for c in want]
+        assert len({find(p) for p in prints}) == len({c[0] for c in want})
+
+
+def test_simhash_radius_must_have_a_middle():
+    with pytest.raises(ValueError):
+        simhash.SimRules(radius=3)
+
+
+def test_simhash_of_no_rows_and_the_query(spark, tmp_path):
+    assert simhash.components(spark.createDataFrame([], DOCS)).count() == 0
+    texts = _texts()
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op13_simhash(spark, str(tmp_path)).collect()}
+    prints = [plain_fingerprint(t) for t in texts]
+    assert got == {k: (f"{p:016x}", c[0]) for k, (p, c) in enumerate(zip(prints, plain_components(range(len(texts)), prints)))}
+
+
+def test_majority_over_slices(monkeypatch):
+    monkeypatch.setattr(simhash, "_SLICE", 7)
+    r = random.Random(2)
+    doc = np.sort(np.array([r.choice((0, 1, 1, 1, 4)) for _ in range(60)]))
+    h = np.array([r.getrandbits(64) for _ in range(60)], np.uint64)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[doc == d]) > (doc == d).sum()) for d in range(5)]
+    assert simhash.majority(h, doc, 5).tolist() == want
+
+
+# ---- clustering
+
+def plain_clusters(rows, rules=centroids.ClusterRules()):
+    kept = [(i, [math.floor(rules.scale * x) for x in e]) for i, e in rows
+            if e is not None and len(e) == rules.components and all(x is not None and math.isfinite(x) for x in e)]
+    order = sorted(kept, key=lambda v: (v[0] is None, hashlib.sha256(f"{rules.seed}:{v[0]}".encode()).hexdigest(), v[1]))
+    c = [list(v) for _, v in order[:rules.clusters]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, p)), k) for k, p in enumerate(c))
+
+    for _ in range(rules.rounds):
+        own = [nearest(v)[1] for _, v in kept]
+        c = [[sum(v[j] for v in g) // len(g) for j in range(rules.components)] if (g := [v for (_, v), o in zip(kept, own) if o == k]) else c[k] for k in range(len(c))]
+    found = [(i, *nearest(v)) for i, v in kept]
+    total = sum(d for _, d, _ in found)
+    return sorted((-1 if i is None else i, k, d, sum(x for _, x, o in found if o == k), total, hashlib.sha256(",".join(map(str, c[k])).encode()).hexdigest()) for i, d, k in found)
+
+
+def _vectors(n, seed, width=64):
+    r = random.Random(seed)
+    heads = [[r.gauss(0, 1) for _ in range(width)] for _ in range(11)]
+    return [[x + r.gauss(0, 0.3) for x in r.choice(heads)] for _ in range(n)]
+
+
+SCHEMA = "vec_id bigint, embedding array<double>, x string, cluster string"
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([(i, e, "clash", "clash") for i, e in rows], SCHEMA).repartition(3)
+
+
+def _result(df):
+    return sorted((-1 if r["vec_id"] is None else r["vec_id"], r["cluster"], r["distance"], r["cluster_inertia"], r["inertia"], r["centroid_sha256"]) for r in df.collect())
+
+
+def test_clusters_equal_plain_rounds(spark):
+    v = _vectors(120, 1)
+    odd = [None, [], v[0][:63], [*v[0], 1.0], [*v[0][:63], None], [*v[0][:63], float("nan")], [*v[0][:63], float("-inf")]]
+    rows = [*enumerate(v), (None, v[3]), (7, v[7]), (7, v[8]), *((500 + k, e) for k, e in enumerate(odd)), *((600 + k, v[5]) for k in range(60))]
+    assert _result(centroids.cluster(_rows(spark, rows))[0]) == plain_clusters(rows)
+
+
+def test_ties_few_vectors_and_none(spark):
+    zero, one = [0.0] * 64, [1.0] + [0.0] * 63
+    rows = [(k, zero) for k in range(12)] + [(k + 20, one) for k in range(5)] + [(40, [0.5] + [0.0] * 63)]
+    assert _result(centroids.cluster(_rows(spark, rows))[0]) == plain_clusters(rows)
+    few = [(1, zero), (2, one)]
+    assert _result(centroids.cluster(_rows(spark, few))[0]) == plain_clusters(few)
+    none = centroids.cluster(_rows(spark, []))[0]
+    assert none.collect() == [] and none.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+def test_a_tree_of_many_points_finds_the_nearest_and_the_smaller_of_equals():
+    r = np.random.default_rng(4)
+    points = r.integers(-40, 40, (300, 3))  # many equal points and equal distances
+    rows = r.integers(-50, 50, (2000, 3))
+    d = ((rows[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    for leaf in (1, 2, 16, 500):
+        who, best = centroids.VantageTree(points.astype(np.int64), leaf).nearest(rows.astype(np.int64))
+        assert (best == d.min(axis=1)).all() and (who == d.argmin(axis=1)).all()
+
+
+def test_distances_at_the_limit_are_exact(spark):
+    big = (centroids.LARGEST - 1) / 1024
+    rows = [(1, [big] * 64), (2, [-big] * 64), (3, [big] * 63 + [big - 1])]
+    rules = centroids.ClusterRules(clusters=2)
+    assert _result(centroids.cluster(_rows(spark, rows), rules)[0]) == plain_clusters(rows, rules)
+    with pytest.raises(Exception, match="131072"):
+        centroids.cluster(_rows(spark, [(1, [1e6] * 64)]))
+
+
+def test_assigning_other_rows_keeps_their_columns(spark):
+    v = _vectors(40, 2)
+    _, c = centroids.cluster(_rows(spark, list(enumerate(v))))
+    out = centroids.with_clusters(_rows(spark, [(1, v[0]), (1, v[0]), (2, None)]), c)
+    assert out.columns == ["vec_id", "embedding", "x", "cluster", "cluster_", "distance"]
+    rows = out.collect()
+    assert len(rows) == 3 and [r["cluster_"] is None for r in sorted(rows, key=lambda r: r["vec_id"])] == [False, False, True]
+
+
+def test_the_query_equals_plain_rounds(spark, tmp_path):
+    rows = list(enumerate(_vectors(60, 3)))
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    single = [(i, np.array(e, np.float32).astype(float).tolist()) for i, e in rows]
+    assert _result(centroids.op12_centroids(spark, str(tmp_path))) == plain_clusters(single)
+
+
+def test_join_by_count_spreads_hot_keys(spark):
+    from barloom.llm.common import join_by_count
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"))
+    labels = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("label"))
+    got = join_by_count(rows, labels, "k", "n")
+    assert got.count() == 3000 and got.where("label <> k").count() == 0 and got.select("id").distinct().count() == 3000
