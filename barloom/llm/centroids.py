@@ -211,24 +211,24 @@ def sql(rules: ClusterRules = ClusterRules()) -> str:
         return f"""a{k} as materialized (select rid, cluster, distance from (
   select v.rid, c.cluster, sum((v.x - c.x) * (v.x - c.x))::bigint as distance,
          row_number() over (partition by v.rid order by sum((v.x - c.x) * (v.x - c.x)), c.cluster) as r
-  from v join c{k} c on v.at = c.at group by v.rid, c.cluster) where r = 1)"""
+  from v join c{k} c on v.j = c.j group by v.rid, c.cluster) where r = 1)"""
 
     def next_(k: int) -> str:
-        return f"""c{k + 1} as materialized (select c.cluster, c.at, coalesce(m.x, c.x) as x from c{k} c left join (
-  select a.cluster, v.at, (sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*))::hugeint // count(*) as x
-  from a{k} a join v on a.rid = v.rid group by a.cluster, v.at) m on c.cluster = m.cluster and c.at = m.at)"""
+        return f"""c{k + 1} as materialized (select c.cluster, c.j, coalesce(m.x, c.x) as x from c{k} c left join (
+  select a.cluster, v.j, (sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*))::hugeint // count(*) as x
+  from a{k} a join v on a.rid = v.rid group by a.cluster, v.j) m on c.cluster = m.cluster and c.j = m.j)"""
 
     steps = ",\n".join(f"{nearest(k)},\n{next_(k)}" for k in range(rules.rounds))
     n, last = rules.components, rules.rounds
     return f"""
 with e as materialized (select row_number() over (order by vec_id, embedding) as rid, vec_id, embedding from embeddings
-  where len(embedding) = {n} and len(list_filter(embedding, y -> y is not null and isfinite(y::double))) = {n}),
-v as materialized (select rid, vec_id, u.at, floor({rules.scale}::double * embedding[u.at]::double)::hugeint as x from e, range(1, {n + 1}) u(at)),
+  where len(embedding) = {n} and len([y for y in embedding if y is not null and isfinite(y::double)]) = {n}),
+v as materialized (select rid, vec_id, u.j, floor({rules.scale}::double * embedding[u.j]::double)::hugeint as x from e, range(1, {n + 1}) u(j)),
 s as materialized (select rid, row_number() over (order by sha256('{rules.seed}:' || vec_id)) - 1 as cluster from e qualify cluster < {rules.clusters}),
-c0 as materialized (select s.cluster, v.at, v.x from s join v on s.rid = v.rid),
+c0 as materialized (select s.cluster, v.j, v.x from s join v on s.rid = v.rid),
 {steps},
 {nearest(last)},
-h as (select cluster, sha256(string_agg(x::varchar, ',' order by at)) as centroid_sha256 from c{last} group by cluster)
+h as (select cluster, sha256(string_agg(x::varchar, ',' order by j)) as centroid_sha256 from c{last} group by cluster)
 select e.vec_id, a.cluster::int as cluster, a.distance, sum(a.distance) over (partition by a.cluster)::bigint as cluster_inertia,
        sum(a.distance) over ()::bigint as inertia, h.centroid_sha256
 from a{last} a join e on a.rid = e.rid join h on a.cluster = h.cluster
