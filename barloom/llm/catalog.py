@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from barloom.llm import bpe, centroids, exact_dedup, license_scan, near_dedup, packing, pii, quality, secret_scan, sharding, simhash, warc
+from barloom.llm import bpe, centroids, exact_dedup, license_scan, near_dedup, packing, phrases, pii, quality, secret_scan, sharding, simhash, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_phrases": phrases.op11_phrases,
     "op12_centroids": centroids.op12_centroids,
     "op13_simhash": simhash.op13_simhash,
     "pipeline": corpus_pipeline.run,
@@ -25,5 +26,6 @@ SQL = {
     "op5_near_dedup": near_dedup.SQL,
     "op8_quality_rules": quality.SQL,
     "op9_license_scan": license_scan.SQL,
+    "op11_phrases": phrases.SQL,
     "op12_centroids": centroids.sql(),
 }

@@ -1,15 +1,17 @@
-"""SimHash components and centroid clustering against plain computations."""
+"""SimHash components, centroid clustering and phrases against plain computations."""
 
 import hashlib
 import math
 import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import centroids, simhash
+from barloom.llm import centroids, phrases, simhash
 
 DOCS = "doc_id bigint, text string, lang string, fp string, node string"
 
@@ -212,3 +214,106 @@ def test_join_by_count_spreads_hot_keys(spark):
     labels = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("label"))
     got = join_by_count(rows, labels, "k", "n")
     assert got.count() == 3000 and got.where("label <> k").count() == 0 and got.select("id").distinct().count() == 3000
+
+
+# ---- phrases
+
+def plain_phrases(rows, rules=phrases.PhraseRules()):
+    f, total = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang or "und"] += len(words)
+            for size in range(1, rules.longest + 1):
+                f[lang or "und"].update(tuple(words[k:k + size]) for k in range(len(words) - size + 1))
+    out = []
+    for lang, counts in f.items():
+        candidates = {p: a for p, a in counts.items() if len(p) > 1 and a >= rules.least}
+        holding = defaultdict(list)
+        for p, a in candidates.items():
+            for size in range(2, len(p)):
+                for k in range(len(p) - size + 1):
+                    holding[p[k:k + size]].append(a)
+        kept = []
+        for p, a in candidates.items():
+            if any(100 * b >= rules.inside * a for b in holding[p]):
+                continue
+            score, k = min((rules.scale * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, n, p.decode(), -a, x, y, total[lang], -s) for n, (s, a, p, x, y) in enumerate(sorted(kept)[:rules.top], 1)]
+    return sorted(out)
+
+
+def _phrase_rows(n=260):
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(60)] + ["É", "Ñu", "🙂", "new", "York", "CITY"]
+    fixed = ["new york city", "New York", "in the end", "the end", "a a a a", "x\ty  z", "É Ñu 🙂"]
+    rows = []
+    for k in range(n):
+        parts = [r.choice(fixed) if r.random() < 0.3 else " ".join(r.choices(words, weights=[1 / (j + 1) for j in range(len(words))], k=r.randint(1, 9))) for _ in range(r.randint(1, 8))]
+        rows.append((r.choice([" ", ", ", ". ", "\n", "!? ", " \t"]).join(parts), r.choice(["en", "en", "en", "de", None, "fr\nx"])))
+    return rows + [(None, "en"), ("", None), (" \t .,", "en"), ("spam " * 30_000, "de"), ("long, " * 3000, "de"), *[("the very same text of seven words here", "en")] * 90]
+
+
+def _phrase_table(spark, rows):
+    return spark.createDataFrame([(k, t, lang, "clash", 1) for k, (t, lang) in enumerate(rows)], "doc_id bigint, text string, lang string, phrase string, level int").repartition(4)
+
+
+def _found(df):
+    return sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("rules", [
+    phrases.PhraseRules(), phrases.PhraseRules(shards=1, least=3), phrases.PhraseRules(shards=2, top=7, longest=2),
+    phrases.PhraseRules(slots=1 << 15, shards=2, longest=4)])  # 32,768 slots: many wrong hits of the filter
+def test_phrases_equal_plain_counts(spark, rules):
+    rows = _phrase_rows()
+    docs = _phrase_table(spark, rows).cache()
+    assert _found(phrases.collocations(phrases.deal(docs, rules), rules)) == plain_phrases(rows, rules)
+
+
+def test_phrases_do_not_depend_on_batches_or_hashes(monkeypatch):
+    """Counts of one task, with every filter slot confirmed, small batches, and all hashes alike."""
+    rules = phrases.PhraseRules(shards=1, longest=3)
+    monkeypatch.setattr(phrases, "_CUT", 40)
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(phrases, "mix", lambda x: np.zeros(len(x), np.uint64))
+        scan = phrases.Scan(rules, 1, np.zeros(rules.slots, np.uint8))
+        got = Counter()
+        for k, (t, lang) in enumerate(_phrase_rows(40)):
+            scan.add((t or "")[:900].encode(), lang or "und")
+            if k % 7 == 0:
+                for b in scan.count():
+                    for r in b.to_pylist():
+                        got[r["lang"], r["phrase"]] += r["n"]
+        for b in scan.count():
+            for r in b.to_pylist():
+                got[r["lang"], r["phrase"]] += r["n"]
+        want = Counter()
+        for t, lang in _phrase_rows(40):
+            for piece in re.split(rb"[.,;:!?\x0A-\x0D]", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "")[:900].encode())):
+                w = re.findall(rb"[^\x20\x09]+", piece)
+                for size in (1, 2, 3):
+                    want.update((lang or "und", b" ".join(w[k:k + size])) for k in range(len(w) - size + 1))
+        assert got == want
+
+
+def test_phrases_of_no_rows_and_the_query(spark, tmp_path):
+    rules = phrases.PhraseRules()
+    none = _phrase_table(spark, []).where("false")
+    assert phrases.collocations(phrases.deal(none, rules), rules).collect() == []
+    with pytest.raises(ValueError):
+        phrases.collocations([none], rules)
+    rows = _phrase_rows()
+    _phrase_table(spark, rows).select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
+    assert _found(phrases.op11_phrases(spark, str(tmp_path))) == plain_phrases(rows)
+
+
+def test_shards_by_file_read_each_row_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id as doc_id", "cast(id as string) as text").repartition(7).write.parquet(f"{tmp_path}/a b%20c")
+    shards = phrases.deal_files(spark, f"{tmp_path}/a b%20c", phrases.PhraseRules())
+    assert sorted(r["doc_id"] for s in shards for r in s.collect()) == list(range(1000))
+    assert all(s.count() > 0 and len(s.inputFiles()) < 4 for s in shards)
+    assert sum(s.count() for s in phrases.deal_files(spark, f"{tmp_path}/a b%20c", phrases.PhraseRules(shards=9))) == 1000
