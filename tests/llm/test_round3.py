@@ -274,30 +274,27 @@ def test_phrases_equal_plain_counts(spark, rules):
 
 
 def test_phrases_do_not_depend_on_batches_or_hashes(monkeypatch):
-    """Counts of one task, with every filter slot confirmed, small batches, and all hashes alike."""
-    rules = phrases.PhraseRules(shards=1, longest=3)
+    """Exact counts of one task with every filter slot set, in small batches, also if all hashes are alike."""
     monkeypatch.setattr(phrases, "_CUT", 40)
+    want = Counter()
+    for t, lang in _phrase_rows(40):
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "")[:900].encode())):
+            w = re.findall(rb"[^\x20\x09]+", piece)
+            want[lang or "und", b""] += len(w)
+            for size in (1, 2, 3):
+                want.update((lang or "und", b" ".join(w[k:k + size])) for k in range(len(w) - size + 1))
     for same in (False, True):
         if same:
             monkeypatch.setattr(phrases, "mix", lambda x: np.zeros(len(x), np.uint64))
-        scan = phrases.Scan(rules, 1, np.zeros(rules.slots, np.uint8))
-        got = Counter()
+        rules = phrases.PhraseRules(shards=1)
+        counts, got = phrases.Counter(rules, None, np.zeros(rules.slots, np.uint8)), Counter()
         for k, (t, lang) in enumerate(_phrase_rows(40)):
-            scan.add((t or "")[:900].encode(), lang or "und")
-            if k % 7 == 0:
-                for b in scan.count():
+            counts.add((t or "")[:900].encode(), lang or "und")
+            if k % 7 == 0 or k == len(_phrase_rows(40)) - 1:
+                for b in counts.exact():
                     for r in b.to_pylist():
                         got[r["lang"], r["phrase"]] += r["n"]
-        for b in scan.count():
-            for r in b.to_pylist():
-                got[r["lang"], r["phrase"]] += r["n"]
-        want = Counter()
-        for t, lang in _phrase_rows(40):
-            for piece in re.split(rb"[.,;:!?\x0A-\x0D]", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "")[:900].encode())):
-                w = re.findall(rb"[^\x20\x09]+", piece)
-                for size in (1, 2, 3):
-                    want.update((lang or "und", b" ".join(w[k:k + size])) for k in range(len(w) - size + 1))
-        assert got == want
+        assert got == +want
 
 
 def test_phrases_of_no_rows_and_the_query(spark, tmp_path):
