@@ -22,6 +22,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,8 +166,20 @@ class BytePairCodec:
 
 
 @lru_cache(maxsize=2)
-def token_bytes(vocabulary: bytes) -> dict[int, bytes]:
-    return {rank: token for token, rank in load_ranks(vocabulary.splitlines()).items()}
+def token_bytes(vocabulary: bytes) -> pa.Array:
+    """Bytes of every id; ids that the vocabulary lacks are null."""
+    known = {rank: token for token, rank in load_ranks(vocabulary.splitlines()).items()}
+    return pa.array([known.get(rank) for rank in range(max(known, default=-1) + 1)], pa.binary())
+
+
+def decoded(ids: np.ndarray, ends: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """Bytes of each text, whose ids end at `ends` (0 first): the bytes of all tokens in a row, cut at the texts' ends."""
+    taken = tokens.take(pa.array(ids))
+    if taken.null_count:
+        raise KeyError("an id that the vocabulary lacks")
+    _, starts, data = taken.buffers()
+    at = np.frombuffer(starts, np.int32)[taken.offset:][ends] if len(ids) else np.zeros(len(ends), np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int32)), data or pa.py_buffer(b"")])
 
 
 @lru_cache(maxsize=2)
@@ -174,8 +187,8 @@ def codec(vocabulary: bytes, pattern: str) -> BytePairCodec:
     return BytePairCodec(load_ranks(vocabulary.splitlines()), pattern)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", carry: list[str] | None = None, into: str = "ids") -> DataFrame:
-    """The carried columns (default all) and the ids of every whole text as array<int>.
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", carry: list[str] | None = None, into: str = "ids", decode_into: str | None = None) -> DataFrame:
+    """The carried columns (default all) and the ids of every whole text as array<int>; with `decode_into`, also the bytes they decode to.
 
     A null or empty text has an empty array. Repeated rows are encoded alike; an empty table stays empty. If the
     table has a column `into`, the new one gets a trailing underscore. `vocabulary` is read on the driver.
@@ -184,7 +197,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
         ranks = f.read()
     carry = docs.columns if carry is None else carry
     kept = docs.select(*(F.col(f"`{c}`") for c in carry))
-    name, source = fresh(kept, into, "text_to_encode")
+    name, back, source = fresh(kept, into, decode_into or "decoded", "text_to_encode")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(ranks, pattern).encode_batch
@@ -192,10 +205,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in text_ranges(texts, CHUNK):
                 flat, counts = encode(texts[a:b])
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), ids], names=[*batch.schema.names[:-1], name])
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decode_into:
+                    made.append(decoded(flat, ends, token_bytes(ranks)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *made], names=[*batch.schema.names[:-1], name, back][:batch.num_columns - 1 + len(made)])
 
-    return map_batches(docs.select(*(F.col(f"`{c}`") for c in carry), text_of(text).alias(source)), run, wider(kept.schema, (name, "array<int>")))
+    made = [(name, "array<int>"), (back, "binary")][:2 if decode_into else 1]
+    return map_batches(docs.select(*(F.col(f"`{c}`") for c in carry), text_of(text).alias(source)), run, wider(kept.schema, *made))
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -206,12 +223,14 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids", into
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(ranks).__getitem__
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                raw = [b"".join(map(token, v.values.to_pylist())) if v.is_valid else None for v in batch.column(at)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, name])
+                column = batch.column(at)
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+                raw = decoded(column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]), token_bytes(ranks))
+                raw = pc.if_else(column.is_valid(), raw, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, raw], names=[*batch.schema.names, name])
 
     return map_batches(encoded, run, wider(encoded.schema, (name, "binary")))
 
@@ -220,8 +239,7 @@ def op1_bpe(spark, sf_dir):
     import public_tokenizers
 
     vocabulary, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = encode_documents(table(spark, sf_dir, "documents"), vocabulary, pattern, carry=["doc_id"])
-    both = decode_documents(encoded, vocabulary)
+    both = encode_documents(table(spark, sf_dir, "documents"), vocabulary, pattern, carry=["doc_id"], decode_into="decoded")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -1,4 +1,4 @@
-"""SimHash components, centroid clustering and phrases against plain computations."""
+"""SimHash components, centroid clustering, phrases and the BPE query against plain computations."""
 
 import hashlib
 import math
@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import centroids, phrases, simhash
+from barloom.llm import bpe, centroids, phrases, simhash
 
 DOCS = "doc_id bigint, text string, lang string, fp string, node string"
 
@@ -314,3 +314,35 @@ def test_shards_by_file_read_each_row_once(spark, tmp_path):
     assert sorted(r["doc_id"] for s in shards for r in s.collect()) == list(range(1000))
     assert all(s.count() > 0 and len(s.inputFiles()) < 4 for s in shards)
     assert sum(s.count() for s in phrases.deal_files(spark, f"{tmp_path}/a b%20c", phrases.PhraseRules(shards=9))) == 1000
+
+
+# ---- byte-level BPE
+
+def test_the_bpe_query_equals_the_rank_file_library(spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.load_ranks(open(path, "rb").read().splitlines())
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", " ", "one  two\n\n three", "É🙂\u2003ñ <|endoftext|> 日本語のテキスト", "x" * 5000, "a b " * 9000, *(t for t, _ in _phrase_rows(60))]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op1_bpe(spark, str(tmp_path)).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for k, t in enumerate(texts):
+        ids = plain.encode_ordinary(t or "")
+        assert got[k] == (len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()))
+
+
+def test_decoding_ids_from_elsewhere(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.load_ranks(open(path, "rb").read().splitlines())
+    word = ranks[b" the"]
+    df = spark.createDataFrame([(1, [word, word, ranks[b"a"]], b"own"), (2, [], b"own"), (3, None, b"own")], "k int, ids array<int>, decoded binary")
+    got = {r["k"]: r["decoded_"] for r in bpe.decode_documents(df, path).collect()}
+    assert {k: None if v is None else bytes(v) for k, v in got.items()} == {1: b" the thea", 2: b"", 3: None}
+    assert bpe.decode_documents(df.where("false"), path).collect() == []
+    with pytest.raises(Exception, match="lacks"):
+        bpe.decode_documents(spark.createDataFrame([([-1],)], "ids array<int>"), path).collect()
