@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import ratio
+from barloom.operators import models
 from barloom.operators.backtest import ALWAYS_LONG, BUY_AND_HOLD, signal
+from barloom.operators.baseline import class_weights
 from barloom.params import BacktestParams
 
 # Tolerances for constant probabilities and identical returns.
@@ -174,3 +177,32 @@ def last_data_date(bars: DataFrame) -> DataFrame:
         F.max("last").alias("last_date"), F.min("last").alias("earliest_last_date"),
         F.count("*").alias("tickers"),
     )
+
+
+def stationarity(fitted: models.Fitted, spec: models.ModelSpec, params: dict, rows: DataFrame, features: list[str]) -> DataFrame:
+    """(model, feature, score_moment, label_moment): first-order conditions of a logistic model on the rows it was fitted on.
+
+    label_moment is the weighted mean of label times scaled feature, a fact of the data. score_moment is that of the
+    probability plus what the penalty gives: strength times the coefficient (L2), strength times its sign, or for a coefficient of zero what
+    is missing, up to the strength (L1). The two are equal for every feature and the intercept if and only if the model is optimal.
+    """
+    last = fitted.model.stages[-1]
+    strength = 0.0 if spec.penalty == "none" else 1.0 / (float(params.get("C", 1.0)) * fitted.rows)
+    weights = F.broadcast(class_weights(rows).select("target", "weight"))  # two rows
+    scored = models.with_probability(fitted, rows.join(weights, "target") if spec.balanced else rows.withColumn("weight", F.lit(1.0)))
+    x, p, y = vector_to_array("features"), F.col("weight") * F.col("prob_up"), F.col("weight") * F.col("target")
+    wide = scored.select(p.alias("_p"), y.alias("_y"), *(x[j].alias(f"_{j}") for j in range(len(features))))
+    table = [F.struct(
+        F.lit(f).alias("feature"), F.lit(float(last.coefficients[j])).alias("raw"), F.stddev_pop(f"_{j}").alias("sd"), F.avg(f"_{j}").alias("mean"),
+        F.avg(F.col("_p") * F.col(f"_{j}")).alias("px"), F.avg(F.col("_y") * F.col(f"_{j}")).alias("yx"), F.avg("_p").alias("p"), F.avg("_y").alias("y"))
+        for j, f in enumerate(features)]
+    flat = wide.agg(F.array(*table).alias("_t")).select(F.inline("_t"))
+    moment = lambda product, share: (F.col(product) - F.col("mean") * F.col(share)) / F.col("sd")
+    score, label, b = moment("px", "p"), moment("yx", "y"), F.col("raw") * F.col("sd")
+    extra = {
+        "none": F.lit(0.0), "l2": strength * b,
+        "l1": F.when(b != 0, strength * F.signum(b)).otherwise(F.greatest(F.lit(-strength), F.least(F.lit(strength), label - score))),
+    }[spec.penalty]
+    conditions = flat.where("sd > 0").select("feature", (score + extra).alias("score_moment"), label.alias("label_moment"))
+    intercept = wide.agg(F.lit("(intercept)").alias("feature"), F.avg("_p").alias("score_moment"), F.avg("_y").alias("label_moment"))
+    return conditions.unionByName(intercept).select(F.lit(spec.name).alias("model"), "feature", "score_moment", "label_moment")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.models import Fitted, grouped_scores, with_probability
+from barloom.operators.ordered import default_blocks
+from barloom.sources.tables import stored
 
 # Fixed value: how many features a summary shows.
 NATIVE_TOP = 8
@@ -80,23 +82,49 @@ def tree_importance(
     )
 
 
-def _numbered(rows: DataFrame, keys: list[str], seed_text: list) -> DataFrame:
-    """A position 0..n-1 per key in pseudo-random order, computed block by block.
+def numbered(rows: DataFrame, at: str = "_at") -> DataFrame:
+    """Add a position 0..n-1, computed block by block, which no run of the same rows changes.
 
-    The order is a hash of row identity, so a lost task recomputes the same one, and its
-    low bits spread rows evenly over the blocks.
+    Blocks come from a hash of row identity, as many as the session has shuffle partitions.
     """
-    mixed = F.xxhash64("date", "ticker", *seed_text)
-    blocks = 64
-    placed = rows.withColumn("_h", mixed).withColumn("_b", F.pmod("_h", F.lit(blocks)))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).select(
-        *keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_h", "date", "ticker")
-    return placed.join(offsets, [*keys, "_b"]).withColumn(
-        "_at", F.col("_o") + F.row_number().over(inside) - 1
-    ).drop("_h", "_b", "_o")
+    blocks = default_blocks(rows)
+    placed = rows.withColumn("_h", F.xxhash64("date", "ticker")).withColumn("_b", F.pmod("_h", F.lit(blocks)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = placed.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_b").orderBy("_h", "date", "ticker")
+    return placed.join(F.broadcast(offsets), "_b").withColumn(at, F.col("_o") + F.row_number().over(inside) - 1).drop("_h", "_b", "_o")
+
+
+#: Rounds of the permutation; each may move a position or leave it.
+ROUNDS = 48
+
+
+def permuted_position(at: Column, n: Column, *key: Column) -> Column:
+    """The position of 0..n-1 that position `at` moves to: a keyed bijection, computed from the position alone.
+
+    Every round pairs a position with its mirror image about a keyed centre, and a keyed bit of the pair
+    decides whether the two swap. Each round is a bijection for any n, so the whole is one.
+    """
+    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+    centres = F.transform(rounds, lambda t: F.pmod(F.xxhash64(*key, t), n))
+
+    def swap(now, centre):
+        other = F.pmod(centre - now, n)
+        bit = F.xxhash64(F.greatest(now, other), centre, *key).bitwiseAND(F.lit(1))
+        return F.when(bit == 1, other).otherwise(now)
+
+    return F.aggregate(centres, at.cast("long"), swap)
+
+
+def newest_rows(rows: DataFrame, most: int | None) -> DataFrame:
+    """The latest `most` rows by date, then ticker; all of them without a cap or with fewer rows."""
+    if not most:
+        return rows
+    from_ = rows.groupBy("date").agg(F.count("*").alias("n"))
+    later = Window.orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per calendar date
+    left = from_.select("date", (F.lit(most) - F.coalesce(F.sum("n").over(later), F.lit(0))).alias("_left")).where("_left > 0")
+    place = F.row_number().over(Window.partitionBy("date").orderBy(F.col("ticker").desc()))
+    return rows.join(F.broadcast(left), "date").withColumn("_place", place).where("_place <= _left").drop("_place", "_left")
 
 
 def permutation_scores(
@@ -105,20 +133,17 @@ def permutation_scores(
 ) -> DataFrame:
     """Score of each (feature, repeat) with that feature permuted among the rows.
 
-    Rows are numbered twice in independent orders and joined on the number, which is a true
-    permutation. All features and repeats go through the model in one transform.
+    Rows are numbered once. In every repeat each row hands its features to the row that a keyed bijection names, so one
+    vector a repeat is shuffled, and features are swapped in one by one afterwards, where the rows are.
+    All features and repeats go through the model in one transform.
     """
-    base = rows.select("date", "ticker", "target", vector_to_array("features").alias("_x"))
+    base = stored(numbered(rows.select("date", "ticker", "target", vector_to_array("features").alias("_x"))))
+    n = base.agg(F.count("*").alias("n")).head()["n"]
     repeats = F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("repeat")
-    opened = base.select("date", "ticker", "target", "_x", repeats)
-    takers = _numbered(opened, ["repeat"], [F.col("repeat"), F.lit(seed), F.lit("takers")])
-    givers = _numbered(opened, ["repeat"], [F.col("repeat"), F.lit(seed), F.lit("givers")]).select(
-        "repeat", "_at", F.col("_x").alias("_donor")
-    )
-    mixed = takers.join(givers, ["repeat", "_at"]).select(
-        "target", "repeat", "_x", "_donor",
-        F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("index"),
-    )
+    givers = base.select("_at", F.col("_x").alias("_donor"), repeats).select(
+        permuted_position(F.col("_at"), F.lit(max(n, 1)), F.col("repeat"), F.lit(seed)).alias("_at"), "repeat", "_donor")
+    mixed = base.select("_at", "target", "_x").join(givers, "_at").select(
+        "target", "repeat", "_x", "_donor", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("index"))
     swapped = F.transform(
         "_x", lambda x, k: F.when(k == F.col("index"), F.get("_donor", k)).otherwise(x)
     )
@@ -130,9 +155,10 @@ def permutation_scores(
 
 def permutation_importance(
     name: str, fitted: Fitted, rows: DataFrame, features: list[str],
-    n_repeats: int = 10, seed: int = 42, scoring: str = "roc_auc",
+    n_repeats: int = 10, seed: int = 42, scoring: str = "roc_auc", max_rows: int | None = None,
 ) -> DataFrame:
-    """Mean and deviation over repeats of the score lost when a feature is permuted, over all rows."""
+    """Mean and deviation over repeats of the score lost when a feature is permuted, over the newest `max_rows` rows or all."""
+    rows = newest_rows(rows, max_rows)
     whole = with_probability(fitted, rows).select(F.lit(0).alias("one"), "target", "prob_up")
     base = grouped_scores(whole, scoring, ("one",)).first()["score"]
     drops = permutation_scores(name, fitted, rows, features, n_repeats, seed, scoring).select(

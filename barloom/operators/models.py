@@ -1,7 +1,8 @@
-"""Model zoo on Spark ML: specs, time-series tuning, fixed-parameter fits, predictions.
+"""Model zoo: specs, time-series tuning, fixed-parameter fits, predictions.
 
-Features are assembled into a vector once. Every fit is one distributed Spark ML job over
-a filter on the date ordinal; a small thread pool only keeps several of them in flight.
+Features are assembled into a vector once. All logistic models of a search (grid points, folds and the final fits) move
+together, one job an iteration (`logistic`). Trees are Spark ML's: one fit of the largest ensemble serves every smaller
+number of trees of the grid, since its first n trees are an ensemble of n; a small thread pool keeps several fits in flight.
 """
 
 from __future__ import annotations
@@ -11,17 +12,19 @@ import json
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.operators import logistic
 from barloom.operators.baseline import class_weights
 from barloom.operators.metrics import clipped, roc_auc
 from barloom.operators.panel import feature_columns
@@ -43,7 +46,7 @@ FOREST_NAMES = {
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """An unfitted model: `make(params, n_rows)` gives the estimator."""
+    """An unfitted model: `make(params, n_rows)` gives the estimator; logistic ones have a penalty and `most` iterations."""
 
     name: str
     family: str
@@ -52,6 +55,11 @@ class ModelSpec:
     balanced: bool = False
     note: str = ""
     estimator: str = ""
+    penalty: str = ""
+    most: int = 100
+
+    def job(self, params: Mapping[str, Any], span: tuple[int, int] = logistic.EVERYTHING) -> logistic.Job:
+        return logistic.Job(self.penalty, float(params.get("C", 1.0)), span, self.balanced)
 
     def combinations(self) -> list[dict[str, Any]]:
         names = list(self.grid)
@@ -76,22 +84,6 @@ class Tuned:
     results: DataFrame | None = None
 
 
-def _logistic(kind: str, seed: int, max_iter: int):
-    mix = {"none": 0.0, "l1": 1.0, "l2": 0.0}[kind]
-
-    def make(params, n_rows):
-        # The penalty is on the mean loss here and on the summed loss in C, whose weights
-        # add up to the row count. Standardisation is the estimator's own, so it is fitted
-        # on the training rows only.
-        strength = 0.0 if kind == "none" else 1.0 / (float(params.get("C", 1.0)) * n_rows)
-        return LogisticRegression(
-            featuresCol="features", labelCol="target", weightCol="weight", maxIter=max_iter,
-            regParam=strength, elasticNetParam=mix, standardization=True, tol=1e-6,
-        )
-
-    return make
-
-
 def _forest(seed: int, max_bins: int):
     def make(params, n_rows):
         values = {FOREST_NAMES[k]: str(v) if k == "max_features" else v for k, v in params.items()}
@@ -128,9 +120,9 @@ def model_specs(params: ResearchParams | None = None) -> dict[str, ModelSpec]:
             c = config.get(name, {})
             grid = {} if kind == "none" else {"C": list(c.get("grid", {}).get("C", []))}
             specs[name] = ModelSpec(
-                name, "logistic", _logistic(kind, seed, int(c.get("max_iter", 2000))),
-                {k: v for k, v in grid.items() if v},
+                name, "logistic", None, {k: v for k, v in grid.items() if v},
                 c.get("class_weight", "balanced") is not None, estimator="LogisticRegression",
+                penalty=kind, most=int(c.get("max_iter", 2000)),
             )
     if on("random_forest"):
         c = config.get("random_forest", {})
@@ -169,8 +161,19 @@ def class_counts(rows: DataFrame) -> dict[int, Any]:
     return {r["target"]: r for r in class_weights(rows).collect()}
 
 
+#: Rows a task of a tree fit gets at least: every iteration is a job, so small tables should not be cut up.
+ROWS_A_TASK = 50_000
+
+
+def _solved(spark, solution: logistic.Solution) -> Fitted:
+    model = None if solution.coefficients is None else PipelineModel([logistic.spark_model(spark, solution)])
+    return Fitted(model, solution.prior, solution.rows)
+
+
 def fit(spec: ModelSpec, params: Mapping[str, Any], rows: DataFrame, counts: dict[int, Any] | None = None) -> Fitted:
     """Fit on `rows` with fixed parameters; `counts` are their class counts if known already."""
+    if spec.penalty:
+        return _solved(rows.sparkSession, logistic.fit_many(rows, [spec.job(params)], spec.most)[0])
     counts = class_counts(rows) if counts is None else counts
     n = sum(r["n_class"] for r in counts.values())
     prior = counts[1]["n_class"] / n if 1 in counts else 0.0
@@ -180,10 +183,37 @@ def fit(spec: ModelSpec, params: Mapping[str, Any], rows: DataFrame, counts: dic
     if spec.balanced:
         weight = F.when(F.col("target") == 1, counts[1]["weight"]).otherwise(counts[0]["weight"])
     estimator = spec.make(params, n)
-    model = Pipeline(stages=[estimator]).fit(rows.withColumn("weight", weight.cast("double")))
+    model = Pipeline(stages=[estimator]).fit(rows.withColumn("weight", weight.cast("double")).coalesce(max(1, n // ROWS_A_TASK)))
     return Fitted(model, prior, n)
 
 
+def first_trees(fitted: Fitted, n: int) -> Fitted:
+    """The ensemble of the first n trees. Boosting: what n iterations alone give; a forest: one of n trees."""
+    if fitted.model is None:
+        return fitted
+    whole = fitted.model.stages[-1]
+    if n == whole.getNumTrees:
+        return fitted
+    if not 0 < n <= whole.getNumTrees:
+        raise ValueError(f"the ensemble has {whole.getNumTrees} trees, not {n}")
+    java, gateway = whole._java_obj, SparkSession.active().sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+
+    def first(values, kind):
+        part = gateway.new_array(kind, n)
+        for k in range(n):
+            part[k] = values[k]
+        return part
+
+    if isinstance(whole, GBTClassificationModel):
+        trees, weights = first(java.trees(), ml.regression.DecisionTreeRegressionModel), first(java.treeWeights(), gateway.jvm.double)
+        part = GBTClassificationModel(ml.classification.GBTClassificationModel(whole.uid, trees, weights, java.numFeatures(), java.numClasses()))
+    else:
+        trees = first(java.trees(), ml.classification.DecisionTreeClassificationModel)
+        part = RandomForestClassificationModel(ml.classification.RandomForestClassificationModel(whole.uid, trees, java.numFeatures(), java.numClasses()))
+    return Fitted(PipelineModel([part]), fitted.prior, fitted.rows)
+
+
 def with_probability(fitted: Fitted, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Add prob_up; a value within 1e-12 of the threshold is put on it.
 
@@ -236,24 +266,53 @@ def grouped_scores(scored: DataFrame, scoring: str, keys: tuple[str, ...]) -> Da
     return scored.groupBy(*keys).agg(_rates()[scoring].alias("score"))
 
 
+def _ensembles(combos: list[dict[str, Any]]) -> list[tuple[dict[str, Any], dict[int, int]]]:
+    """(parameters of the largest ensemble, {combination: its number of trees}) of points that differ in that only."""
+    found: dict[str, tuple[dict[str, Any], dict[int, int]]] = {}
+    for c, params in enumerate(combos):
+        rest = json.dumps({k: v for k, v in params.items() if k != "n_estimators"}, sort_keys=True)
+        largest, sizes = found.setdefault(rest, (dict(params), {}))
+        if "n_estimators" in params:
+            sizes[c] = int(params["n_estimators"])
+            largest["n_estimators"] = max(sizes.values())
+        else:
+            sizes[c] = 0
+    return list(found.values())
+
+
 def cv_scores(
     spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams
 ) -> list[tuple[int, int, float]]:
     """(combination, fold, score) of every grid point; rows need an `ordinal`."""
+    if spec.penalty:
+        return _logistic_search(spec, rows, folds, tuning)[0]
     i = F.col("ordinal")
 
     def part(fold, role):
         return rows.where((i >= fold[f"{role}_from"]) & (i < fold[f"{role}_to"]))
 
     def one(job):
-        (c, params), (fold, counts) = job
-        fitted = fit(spec, params, part(fold, "train"), counts)
-        scored = with_probability(fitted, part(fold, "test")).withColumn("one", F.lit(0))
-        return c, fold["fold"], grouped_scores(scored, tuning.scoring, ("one",)).first()["score"]
+        (largest, sizes), (fold, counts) = job
+        fitted = fit(spec, largest, part(fold, "train"), counts)
+        test = part(fold, "test").select("features", "target")
+        scored = [with_probability(first_trees(fitted, n) if n else fitted, test).select(F.lit(c).alias("combination"), "target", "prob_up") for c, n in sizes.items()]
+        together = reduce(DataFrame.unionByName, scored)  # all sizes of one fit in one aggregate
+        return [(r["combination"], fold["fold"], r["score"]) for r in grouped_scores(together, tuning.scoring, ("combination",)).collect()]
 
     with ThreadPoolExecutor(max(1, tuning.parallelism)) as pool:
         counted = list(zip(folds, pool.map(lambda fold: class_counts(part(fold, "train")), folds), strict=True))
-        return list(pool.map(one, itertools.product(enumerate(spec.combinations()), counted)))
+        return [s for found in pool.map(one, itertools.product(_ensembles(spec.combinations()), counted)) for s in found]
+
+
+def _logistic_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams) -> tuple[list, list[Fitted]]:
+    """(scores as in cv_scores, the models of all grid points on all rows), fitted side by side."""
+    combos = spec.combinations() or [{}]
+    points = [(c, fold) for c in range(len(combos)) for fold in folds]
+    jobs = [spec.job(combos[c], (fold["train_from"], fold["train_to"])) for c, fold in points] + [spec.job(p) for p in combos]
+    solved = logistic.fit_many(rows, jobs, spec.most)
+    scored = logistic.score_many(rows, {(c, fold["fold"]): (fold, s) for (c, fold), s in zip(points, solved)})
+    scores = [(r["combination"], r["fold"], r["score"]) for r in grouped_scores(scored, tuning.scoring, ("combination", "fold")).collect()]
+    return scores, [_solved(rows.sparkSession, s) for s in solved[len(points):]]
 
 
 def tuning_table(spark, spec: ModelSpec, scores: list) -> DataFrame:
@@ -275,14 +334,18 @@ def tune(spec: ModelSpec, train: DataFrame, folds: list, tuning: TuningParams) -
     """Grid search over past-only folds, then a refit on all training rows."""
     if not spec.grid:
         return Tuned(spec, fit(spec, {}, train), {})
-    scores = cv_scores(spec, train, folds, tuning)
+    final: list[Fitted] = []
+    if spec.penalty:
+        scores, final = _logistic_search(spec, train, folds, tuning)
+    else:
+        scores = cv_scores(spec, train, folds, tuning)
     means: dict[int, list[float]] = {}
     for c, _, s in scores:
         means.setdefault(c, []).append(s)
     best = max(sorted(means), key=lambda c: sum(means[c]) / len(means[c]))
     params = spec.combinations()[best]
     return Tuned(
-        spec, fit(spec, params, train), params, sum(means[best]) / len(means[best]),
+        spec, final[best] if final else fit(spec, params, train), params, sum(means[best]) / len(means[best]),
         tuning_table(train.sparkSession, spec, scores),
     )
 
@@ -291,12 +354,21 @@ def walk_forward_predictions(
     specs: list[tuple[ModelSpec, Mapping[str, Any]]], rows: DataFrame, folds: list,
     parallelism: int = 4, threshold: float = 0.5,
 ) -> DataFrame:
-    """Refit each model with frozen parameters before every block and predict the block."""
+    """Refit each model with frozen parameters before every block and predict the block.
+
+    The logistic refits of all blocks move together; only trees are fitted one by one.
+    """
     i = F.col("ordinal")
+    refits = [(spec, params, fold) for spec, params in specs if spec.penalty for fold in folds]
+    solved = logistic.fit_many(
+        rows, [spec.job(params, (-(1 << 31), fold["train_to"])) for spec, params, fold in refits], max(s.most for s, _, _ in refits)) if refits else []
+    known = {(spec.name, fold["fold"]): _solved(rows.sparkSession, s) for (spec, _, fold), s in zip(refits, solved, strict=True)}
 
     def one(job):
         (spec, params), fold = job
-        fitted = fit(spec, params, rows.where(i < fold["train_to"]), counted[fold["fold"]])
+        fitted = known.get((spec.name, fold["fold"]))
+        if fitted is None:
+            fitted = fit(spec, params, rows.where(i < fold["train_to"]), counted[fold["fold"]])
         block = rows.where((i >= fold["test_from"]) & (i < fold["test_to"]))
         return predictions(spec, fitted, block, "walk_forward", threshold).withColumn("fold", F.lit(fold["fold"]))
 

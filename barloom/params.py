@@ -132,6 +132,7 @@ class ImportanceParams:
     enabled: bool = True
     n_repeats: int = 10
     scoring: str = "roc_auc"
+    max_rows: int | None = None  # the newest rows that are scored; all if missing
 
 
 @dataclass(frozen=True)
@@ -245,9 +246,9 @@ _SECTIONS = {
     "walk_forward": WalkForwardParams, "tuning": TuningParams, "evaluation": EvaluationParams,
     "backtest": BacktestParams,
 }
-#: Accepted and without effect here (paths, local parallelism, caps on rows).
+#: Accepted and without effect here (paths, local parallelism).
 NOT_ON_A_CLUSTER = frozenset({
-    "raw_dir", "processed_dir", "sample_dir", "force_download", "max_retries", "retry_wait_seconds", "n_jobs", "max_rows",
+    "raw_dir", "processed_dir", "sample_dir", "force_download", "max_retries", "retry_wait_seconds", "n_jobs",
 })
 _NESTED = {"market_features": MarketParams, "permutation_importance": ImportanceParams}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from barloom.plans import inputs as i
 from barloom.plans import research
 from barloom.plans.inputs import PARAMS, neat
 from barloom.sources import bars as bar_files
-from barloom.sources import tables, tpch
+from barloom.sources import ingest, tables, tpch
 from barloom.sources.session import shared_folder, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +94,25 @@ def vendor_csv_clean(spark, sf):
     return cleaning.clean_bars(cleaning.daily_candidates(rows))
 
 
+@query
+def incremental_ingest(spark, sf):
+    """Two ingests: rows up to 1997 of all tickers; then one more file for MEDIUM, and none left for PROMO."""
+    source, out = shared_folder(spark), shared_folder(spark)
+    raw = tpch.vendor_rows(spark, sf).repartition("ticker").sortWithinPartitions("ticker", "_seq").drop("_seq")
+    early = cleaning.parse_date(F.col("Date"), raw.schema["Date"].dataType) < F.lit("1998-01-01").cast("date")
+    params = DataParams(min_rows=1)
+    raw.where(early).write.option("header", True).partitionBy("ticker").csv(f"{source}/first")
+    ingest.update(spark, source, out, params, False)
+    raw.where(~early & (F.upper("ticker") == "MEDIUM")).write.option("header", True).partitionBy("ticker").csv(f"{source}/second")
+    for name in ("PROMO", "promo", "Promo"):
+        tables.remove(spark, f"{source}/first/ticker={name}")
+    done = ingest.update(spark, source, out, params, False)
+    bars = ingest.read_ingested(spark, out).groupBy("ticker").agg(
+        F.count("*").alias("bars"), F.min("date").alias("first"), F.max("date").alias("last"), F.avg("adj_close").alias("avg_close"))
+    read = F.lit(done.files_read).cast("long")
+    return neat(done.manifest.select("ticker", "action", "status").join(bars, "ticker", "left").withColumn("more_files_than_medium", read > 2), 6)
+
+
 @query
 def many_files_universe(spark, sf):
     """All tickers of a folder tree in one read, each named by its path."""
@@ -666,7 +686,7 @@ def feature_correlation_matrix(spark, sf):
 
 # ---- fitted models
 
-# All models have their default iterations and grids: 24 forests and 32 boosted models, each on four folds.
+# All models have their default iterations and grids. A fit of the largest ensemble serves all its smaller numbers of trees.
 MODEL_PARAMS = ResearchParams(models=DEFAULT_MODELS)
 SPECS = models.model_specs(MODEL_PARAMS)
 TUNING = TuningParams(parallelism=4)
@@ -681,7 +701,7 @@ _tuned_once: dict[tuple[str, str, str], models.Tuned] = {}
 
 def _tuned(spark, sf, name):
     """Tuned model, kept for the application: several queries show parts of the same search."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, i.input_facts(spark, sf), name)
     if key not in _tuned_once:
         _tuned_once[key] = _search(spark, sf, name)
     return _tuned_once[key]
@@ -787,6 +807,18 @@ def logistic_balance(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def logistic_optimality(spark, sf):
+    """The two sides of every first-order condition of the fitted logistic models; the label side follows from the data alone."""
+    train, names = _vectors(spark, sf).where("split = 'train'"), _names(spark, sf)
+    out = None
+    for name in ("logreg_none", "logreg_l1", "logreg_l2"):
+        tuned = _tuned(spark, sf, name)
+        part = diagnostics.stationarity(tuned.fitted, tuned.spec, tuned.best_params, train, names)
+        out = part if out is None else out.unionByName(part)
+    return neat(out, 6)
+
+
 @query
 def reload_difference(spark, sf):
     """A stored model predicts what it did before."""
@@ -864,18 +896,62 @@ def models_roundtrip(spark, sf):
     return models.predictions(SPECS["logreg_l2"], fitted, test, "test")
 
 
+def _logistic_models(spark, sf):
+    return {name: _tuned(spark, sf, name) for name in ("majority", "logreg_none", "logreg_l1", "logreg_l2")}
+
+
 @query
 def model_metadata(spark, sf):
-    tuned = _tuned(spark, sf, "logreg_l1")
-    record = {
-        "seed": MODEL_PARAMS.seed, "purge_days": PARAMS.purge_days(), "feature_columns": _names(spark, sf),
-        "model": tuned.spec.name, "best_params": tuned.best_params, "cv_score": tuned.cv_score,
-    }
+    """The run record of the logistic models and the baseline: splits, folds, choices and scores."""
+    rows, axis = _vectors(spark, sf), i.axis(spark, sf)
+    tuned = _logistic_models(spark, sf)
+    validation = rows.where("split = 'validation'")
+    scored = metrics.classification_table(reduce(DataFrame.unionByName, (
+        models.predictions(t.spec, t.fitted, validation, "validation") for t in tuned.values())))
+    best = metrics.select_model(scored, MODEL_PARAMS.tuning.selection_metric, research.BASELINE, list(tuned)).where("selected").select(
+        "model", MODEL_PARAMS.tuning.selection_metric, "selected_beats_majority").first()
+    folds = splits.fold_table(splits.walk_forward_folds(axis, WF.min_train_days, WF.test_days, MODEL_PARAMS.purge_days()), axis)
+    record = research.run_record(
+        MODEL_PARAMS, _names(spark, sf), splits.segment_summary(splits.date_segments(axis, PARAMS)),
+        folds.orderBy("fold").collect(), tuned, best)  # one row per block
     path = shared_folder(spark)
     research.metadata_table(spark, record).write.json(path)
     return spark.read.schema("key string, value string").json(path)
 
 
+@query
+def metadata_splits(spark, sf):
+    """Splits and walk-forward folds read back from the stored run record."""
+    record = model_metadata(spark, sf)
+    split = record.where("key = 'splits'").select(F.inline(F.from_json("value", "array<struct<name string, start string, end string, n_dates long, n_rows long>>")))
+    fold = record.where("key = 'walk_forward_folds'").select(F.inline(F.from_json("value", "array<struct<fold long, train_rows long, test_rows long>>")))
+    return split.select(F.lit("split").alias("kind"), "name", F.col("n_rows").alias("rows"), F.lit(None).cast("long").alias("test_rows")).unionByName(
+        fold.select(F.lit("fold").alias("kind"), F.col("fold").cast("string").alias("name"), F.col("train_rows").alias("rows"), "test_rows"))
+
+
+def _native(spark, sf, tuned):
+    return research.native_importances(tuned, _vectors(spark, sf).where("split = 'train'"), _names(spark, sf), shared_folder(spark))
+
+
+@query
+def native_importances(spark, sf):
+    """Coefficients, impurities and gains of all fitted models."""
+    return _native(spark, sf, {name: _tuned(spark, sf, name) for name in SPECS})
+
+
+@query
+def importance_panels(spark, sf):
+    """What the importance charts show: the eight largest features of each logistic model, natively and by permutation."""
+    tuned = _logistic_models(spark, sf)
+    native = importance.top_features(_native(spark, sf, tuned), ["model"], "value", importance.NATIVE_TOP).select(
+        "kind", "model", "feature", "rank", "value")
+    validation = _vectors(spark, sf).where("split = 'validation'")
+    permuted = reduce(DataFrame.unionByName, (importance.permutation_importance(n, t.fitted, validation, _names(spark, sf), 3)
+                                              for n, t in tuned.items() if t.fitted.model is not None))
+    top = importance.top_features(permuted, ["model"], "importance_mean", importance.NATIVE_TOP)
+    return native.unionByName(top.select(F.lit("permutation").alias("kind"), "model", "feature", "rank", F.col("importance_mean").alias("value")))
+
+
 @query
 def split_tables_roundtrip(spark, sf):
     axis = i.axis(spark, sf)

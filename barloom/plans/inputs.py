@@ -16,7 +16,7 @@ from barloom.operators import backtest, baseline, panel, splits
 from barloom.params import DataParams, ResearchParams, WalkForwardParams
 from barloom.sources import tpch
 from barloom.sources.session import shared_folder, tune
-from barloom.sources.tables import _exists
+from barloom.sources.tables import _exists, file_facts
 
 MARKET = "STANDARD"
 PARAMS = ResearchParams(
@@ -28,8 +28,13 @@ SCORE_MODELS = ("momentum", "reversal", "constant")
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def input_facts(spark: SparkSession, sf_dir: str) -> str:
+    """The given files as they are now: a changed file means new inputs."""
+    return f"{sf_dir} {hash(file_facts(spark, sf_dir))}"
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, input_facts(spark, sf_dir), name)
     path = _written.get(key)
     if path is None or not _exists(spark, f"{path}/_SUCCESS"):
         path = shared_folder(spark)

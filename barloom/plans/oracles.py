@@ -559,6 +559,20 @@ BODIES: dict[str, str] = {
     "logistic_balance": """SELECT model, round(sum(w * target) / sum(w), 3) AS weighted_score
       FROM (SELECT target, count(*) OVER () / (2.0e0 * count(*) OVER (PARTITION BY target)) AS w FROM tagged WHERE split = 'train'),
         (VALUES ('logreg_none'), ('logreg_l2')) m(model) GROUP BY model""",
+    "metadata_splits": f"""SELECT 'split' AS kind, name, n_rows AS rows, NULL::BIGINT AS test_rows FROM segsum
+      UNION ALL SELECT 'fold', fold::VARCHAR, train_rows, test_rows FROM ({fold_sql("wf").replace("{axis}", "axis")})""",
+    "incremental_ingest": f"""SELECT ticker, CASE ticker WHEN 'PROMO' THEN 'removed' WHEN 'MEDIUM' THEN 'loaded' ELSE 'unchanged' END AS action,
+        CASE ticker WHEN 'PROMO' THEN 'failed' ELSE 'ok' END AS status, c.bars, c.first, c.last, {r('c.avg_close', 6)} AS avg_close, false AS more_files_than_medium
+      FROM (SELECT DISTINCT ticker FROM clean) LEFT JOIN (
+        SELECT ticker, count(*) AS bars, min(date) AS first, max(date) AS last, avg(adj_close) AS avg_close FROM clean
+        WHERE ticker <> 'PROMO' AND (date < DATE '1998-01-01' OR ticker = 'MEDIUM') GROUP BY ticker) c USING (ticker)""",
+    # Moments of the labels, which an optimal model's scores (with its penalty) must have.
+    "logistic_optimality": f"""SELECT * FROM (WITH tw AS MATERIALIZED (SELECT {', '.join(FEATURES)}, target,
+          count(*) OVER () / (2.0e0 * count(*) OVER (PARTITION BY target)) AS w FROM tagged WHERE split = 'train'),
+        moments AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, (avg(w * target * {f}) - avg({f}) * avg(w * target)) / stddev_pop({f}) AS m FROM tw" for f in FEATURES)}
+          UNION ALL SELECT '(intercept)', avg(w * target) FROM tw)
+      SELECT model, feature, {r('m', 6)} AS score_moment, {r('m', 6)} AS label_moment
+      FROM moments, (VALUES ('logreg_none'), ('logreg_l1'), ('logreg_l2')) v(model))""",
     "reload_difference": "SELECT ticker, count(*) AS n, count(*) AS equal FROM tagged WHERE split = 'test' GROUP BY ticker",
     "mixed_header_csv": "SELECT ticker, date, open, high, low, close, adj_close, volume FROM bars",
     "vendor_csv_clean": f"SELECT {BAR} FROM clean",

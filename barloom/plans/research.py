@@ -68,7 +68,7 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
     # Laid out by date, so every segment and fold filter skips the files it does not need.
     splits.tag_rows(rows, segments, "ordinal", "split").repartitionByRange("ordinal", "ticker").sortWithinPartitions(
         "ordinal", "ticker").write.mode("overwrite").parquet(f"{out}/tagged")
-    vectors = models.assemble(spark.read.parquet(f"{out}/tagged"), names).persist()
+    vectors = models.assemble(spark.read.parquet(f"{out}/tagged"), names)
 
     specs = models.model_specs(params)
     train_rows = vectors.where("split = 'train'")
@@ -101,7 +101,6 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
         )
         tables_out = tables_out.unionByName(forward)
     tables.save_predictions(tables_out, f"{out}/predictions")
-    vectors.unpersist()
 
     stored = tables.load_predictions(spark, f"{out}/predictions")
     scored = metrics.classification_table(stored.where("split = 'validation'"))
@@ -112,10 +111,18 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
         if t.results is not None:
             tables.save_table(t.results, f"{out}/tables/tuning_{tables.safe_name(name)}")
     row = selection.where("selected").select("model", params.tuning.selection_metric, "selected_beats_majority").first()
-    record = {
+    record = run_record(params, names, summary, forward_folds, tuned, row)
+    metadata_table(spark, record).write.mode("overwrite").json(f"{out}/models/metadata")
+    return Training(tuned, row[0], bool(row[2]), stored, names)
+
+
+def run_record(params: ResearchParams, names: list[str], summary: DataFrame, forward_folds: list, tuned: dict[str, models.Tuned], selected) -> dict:
+    """What a run used and found: parameters, features, splits, folds, every model's choice and score; `selected` has the
+    best model, its validation score and whether it beats the baseline."""
+    return {
         "seed": params.seed, "purge_days": params.purge_days(), "feature_columns": names,
-        "selection_metric": params.tuning.selection_metric, "selected_model": row[0],
-        "selected_validation_score": row[1], "selected_beats_majority_on_validation": row[2],
+        "selection_metric": params.tuning.selection_metric, "selected_model": selected[0],
+        "selected_validation_score": selected[1], "selected_beats_majority_on_validation": selected[2],
         "refit_on_train_val": params.evaluation.refit_on_train_val, "data_source": params.data.source,
         "splits": [_plain(r) for r in summary.collect()],  # three rows
         "walk_forward_folds": [_plain(r) for r in forward_folds],
@@ -124,8 +131,6 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
             "cv_score": t.cv_score, "cv_scoring": params.tuning.scoring, "note": t.spec.note, "single_class": t.fitted.model is None,
         } for n, t in tuned.items()},
     }
-    metadata_table(spark, record).write.mode("overwrite").json(f"{out}/models/metadata")
-    return Training(tuned, row[0], bool(row[2]), stored, names)
 
 
 def _plain(row) -> dict:
@@ -137,28 +142,35 @@ def metadata_table(spark: SparkSession, record: dict) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in record.items()], "key string, value string")
 
 
+def native_importances(tuned: dict[str, models.Tuned], train_rows: DataFrame, features: list[str], path: str) -> DataFrame | None:
+    """Coefficients, impurity or gain of every model that has them, one table; tree nodes are stored below `path`."""
+    parts, spark = [], train_rows.sparkSession
+    for name, t in tuned.items():
+        if t.fitted.model is None:
+            continue
+        if t.spec.family == "logistic":
+            parts.append(importance.logistic_coefficients(name, t.fitted.model, train_rows, features))
+        elif t.spec.estimator == "GBTClassifier":
+            parts.append(importance.tree_importance(name, "gain", t.fitted.model, spark, features, f"{path}/{tables.safe_name(name)}"))
+        else:
+            parts.append(importance.tree_importance(name, "impurity", t.fitted.model, spark, features))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def all_importances(
     spark: SparkSession, training: Training, params: ResearchParams, out: str
 ) -> tuple[DataFrame, DataFrame]:
     """(native, permutation) tables of the train-fitted models, scored on validation rows."""
     vectors = models.assemble(spark.read.parquet(f"{out}/tagged"), training.features)
     train_rows, validation = vectors.where("split = 'train'"), vectors.where("split = 'validation'")
-    native, permuted, p = [], [], params.evaluation.permutation_importance
+    permuted, p = [], params.evaluation.permutation_importance
+    native = native_importances(training.tuned, train_rows, training.features, f"{out}/models/nodes")
     for name, t in training.tuned.items():
-        if t.fitted.model is None:
-            continue
-        if t.spec.family == "logistic":
-            native.append(importance.logistic_coefficients(name, t.fitted.model, train_rows, training.features))
-        elif t.spec.estimator == "GBTClassifier":
-            path = f"{out}/models/nodes/{tables.safe_name(name)}"
-            native.append(importance.tree_importance(name, "gain", t.fitted.model, spark, training.features, path))
-        else:
-            native.append(importance.tree_importance(name, "impurity", t.fitted.model, spark, training.features))
-        if p.enabled:
+        if p.enabled and t.fitted.model is not None:
             permuted.append(importance.permutation_importance(
-                name, t.fitted, validation, training.features, p.n_repeats, params.seed, p.scoring))
+                name, t.fitted, validation, training.features, p.n_repeats, params.seed, p.scoring, p.max_rows))
     join = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
-    return join(native), join(permuted)
+    return native, join(permuted)
 
 
 def evaluate(spark: SparkSession, training: Training, params: ResearchParams, out: str) -> dict[str, DataFrame]:

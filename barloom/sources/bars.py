@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.cleaning import BAR_COLUMNS, DataError, tidy_name
 
+
 def ticker_from_path() -> Column:
     """Ticker of the file a row came from: `ticker=NAME/` folder, else the file stem."""
     path = F.url_decode(F.col("_metadata.file_path"))
@@ -28,7 +29,7 @@ def _csv_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.groupBy("path", "changed").agg(F.min_by("value", "at").alias("header"))
 
 
-def _read_csv(spark: SparkSession, paths: str | list[str], ordered: bool = False) -> DataFrame:
+def _read_csv(spark: SparkSession, paths: str | list[str], ordered: bool = False, with_path: bool = False) -> DataFrame:
     """All CSV files as text columns, each file by its own header; columns a file lacks are NULL.
 
     Spark maps columns by position from one file's header, so there is one read per distinct header. Through
@@ -48,6 +49,8 @@ def _read_csv(spark: SparkSession, paths: str | list[str], ordered: bool = False
         rows = rows.toDF(*(tidy_name(c) for c in rows.columns))
         if "ticker" not in rows.columns:
             rows = rows.withColumn("ticker", ticker_from_path())
+        if with_path:
+            rows = rows.withColumn("_from", F.col("_metadata.file_path"))
         if ordered:
             # Line numbers are counted within a file block; blocks of a file follow each other.
             rows = rows.withColumn("_path", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start"))
@@ -60,6 +63,12 @@ def _read_csv(spark: SparkSession, paths: str | list[str], ordered: bool = False
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def file_tickers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, ticker) of every file and ticker in it; a file without a ticker column is named by its path and has one."""
+    rows = _read_csv(spark, paths, with_path=True)
+    return rows.select(F.col("_from").alias("path"), F.upper(F.trim("ticker")).alias("ticker")).distinct()
+
+
 def read_vendor_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Raw CSV of any header spelling and column order, everything still text; ticker from column or path.
 

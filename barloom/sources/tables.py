@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.panel import panel_schema
 from barloom.params import ResearchParams
+from barloom.sources.session import shared_folder
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -19,6 +20,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own tables; nothing happens if there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def save_panel(panel: DataFrame, path: str, params: ResearchParams | None = None) -> None:
     """Panel as Parquet plus its JSON descriptor next to it."""
     panel.write.mode("overwrite").parquet(f"{path}/panel")
@@ -58,6 +65,25 @@ def save_table(table: DataFrame, path: str) -> None:
     rows.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
+def file_facts(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, size, change time) of every file below a folder, in order."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = path.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: a cut point that outlives lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def safe_name(name: str) -> str:
     """A model name that can stand in a path."""
     return name.translate(str.maketrans({"[": "_", "]": None, "/": "_"}))

@@ -101,15 +101,48 @@ def test_coefficients_and_permutation_rank_the_signal_first(planted):
     assert I.significant_features(table).first().features == 3
 
 
-def test_permutation_is_a_true_permutation(planted):
-    rows = planted.select("date", "ticker", F.lit(0).alias("repeat"))
-    a = I._numbered(rows, ["repeat"], [F.lit(1)]).select("date", "ticker", "_at")
-    b = I._numbered(rows, ["repeat"], [F.lit(2)]).select("date", "ticker", "_at")
+def test_rows_are_numbered_without_gaps(planted):
+    seen = I.numbered(planted.select("date", "ticker")).agg(F.min("_at"), F.max("_at"), F.count_distinct("_at")).first()
     n = planted.count()
-    for numbered in (a, b):
-        seen = numbered.agg(F.min("_at"), F.max("_at"), F.count_distinct("_at")).first()
-        assert tuple(seen) == (0, n - 1, n)
-    assert a.join(b, ["date", "ticker", "_at"]).count() < n / 10
+    assert tuple(seen) == (0, n - 1, n)
+
+
+def test_permuted_positions_are_permutations_of_any_size(spark):
+    for n in (1, 2, 3, 10, 97, 1500):
+        moved = spark.range(n).select("id", *(I.permuted_position(F.col("id"), F.lit(n), F.lit(k), F.lit(7)).alias(f"p{k}") for k in range(3))).collect()
+        for k in range(3):
+            assert sorted(r[f"p{k}"] for r in moved) == list(range(n))
+        if n > 90:
+            for a, b in (("id", "p0"), ("p0", "p1"), ("p1", "p2")):
+                assert abs(np.corrcoef([r[a] for r in moved], [r[b] for r in moved])[0, 1]) < 0.3
+                assert sum(r[a] == r[b] for r in moved) < 12
+
+
+def test_permutation_over_the_newest_rows_only(planted):
+    got = I.newest_rows(planted.select("date", "ticker", "ordinal"), 100).orderBy("date", "ticker").collect()
+    want = planted.select("date", "ticker", "ordinal").orderBy("date", "ticker").collect()[-100:]
+    assert got == want
+    assert I.newest_rows(planted, None).count() == I.newest_rows(planted, 10**9).count() == planted.count()
+
+
+def test_permutation_scores_follow_the_bijection(planted):
+    """Scores recomputed from the positions, feature by feature."""
+    from plain import auc as plain_auc
+
+    spec = M.model_specs(PARAMS)["logreg_none"]
+    fitted = M.fit(spec, {}, planted)
+    got = {(r["index"], r["repeat"]): r["score"] for r in I.permutation_scores("m", fitted, planted, NAMES, 2, 5).collect()}
+    rows = I.numbered(planted).orderBy("_at").collect()
+    n = len(rows)
+    x = np.array([r.features.toArray() for r in rows])
+    y = np.array([r.target for r in rows])
+    last = fitted.model.stages[-1]
+    for repeat in range(2):
+        to = planted.sparkSession.range(n).orderBy("id").select(I.permuted_position(F.col("id"), F.lit(n), F.lit(repeat), F.lit(5)).alias("p")).collect()
+        for j in range(3):
+            z = x.copy()
+            z[[r.p for r in to], j] = x[:, j]
+            assert got[j, repeat] == pytest.approx(plain_auc(y, z @ last.coefficients.toArray() + last.intercept), abs=1e-12)
 
 
 def test_tree_importance_reads_the_nodes(spark, planted):
