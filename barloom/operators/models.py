@@ -356,30 +356,49 @@ def walk_forward_predictions(
 ) -> DataFrame:
     """Refit each model with frozen parameters before every block and predict the block.
 
-    The logistic refits of all blocks move together; only trees are fitted one by one.
+    The logistic refits of all blocks move together, and their models (and priors) score all blocks in one pass;
+    only trees are fitted and applied one by one.
     """
     i = F.col("ordinal")
-    refits = [(spec, params, fold) for spec, params in specs if spec.penalty for fold in folds]
-    solved = logistic.fit_many(
-        rows, [spec.job(params, (-(1 << 31), fold["train_to"])) for spec, params, fold in refits], max(s.most for s, _, _ in refits)) if refits else []
-    known = {(spec.name, fold["fold"]): _solved(rows.sparkSession, s) for (spec, _, fold), s in zip(refits, solved, strict=True)}
+    spans = {fold["fold"]: (-(1 << 31), fold["train_to"]) for fold in folds}
+    plain = [(spec, params) for spec, params in specs if spec.penalty or spec.make is None]
+    trees = [(spec, params) for spec, params in specs if not (spec.penalty or spec.make is None)]
+    parts = []
+    if plain:
+        points = [(spec, params, fold["fold"]) for spec, params in plain for fold in folds]
+        fitted = [(spec, params, f) for spec, params, f in points if spec.penalty]
+        solved = {(spec.name, f): s for (spec, _, f), s in zip(
+            fitted, logistic.fit_many(rows, [spec.job(p, spans[f]) for spec, p, f in fitted], max(s.most for s, _, _ in fitted)), strict=True)} if fitted else {}
+        facts = dict(zip(spans, logistic.scalings(rows, list(spans.values())), strict=True))
+        table = []
+        for spec, _, f in points:
+            s = solved.get((spec.name, f))
+            known = s is not None and s.coefficients is not None
+            table.append((spec.name, f, [float(v) for v in s.coefficients] if known else None, float(s.intercept) if known else 0.0,
+                          facts[f].ups / facts[f].rows if facts[f].rows else 0.0))
+        place = F.lit(None).cast("int")
+        for fold in folds:
+            place = F.when((i >= fold["test_from"]) & (i < fold["test_to"]), fold["fold"]).otherwise(place)
+        tested = rows.select("date", "ticker", "target", "fwd_ret", vector_to_array("features").alias("_x"), place.alias("fold")).where(F.col("fold").isNotNull())
+        found = rows.sparkSession.createDataFrame(table, "model string, fold int, _b array<double>, _a double, _p double")
+        p = logistic.probability("_x", "_b", "_a")
+        snapped = F.when(F.abs(p - threshold) <= SNAP, F.lit(threshold)).otherwise(p)
+        parts.append(tested.join(F.broadcast(found), "fold").select(  # one row per model and block
+            "date", "ticker", F.lit("walk_forward").alias("split"), "model",
+            F.when(F.col("_b").isNull(), F.col("_p")).otherwise(snapped).alias("prob_up"), "target", "fwd_ret", "fold"))
 
     def one(job):
         (spec, params), fold = job
-        fitted = known.get((spec.name, fold["fold"]))
-        if fitted is None:
-            fitted = fit(spec, params, rows.where(i < fold["train_to"]), counted[fold["fold"]])
+        fitted = fit(spec, params, rows.where(i < fold["train_to"]), counted[fold["fold"]])
         block = rows.where((i >= fold["test_from"]) & (i < fold["test_to"]))
         return predictions(spec, fitted, block, "walk_forward", threshold).withColumn("fold", F.lit(fold["fold"]))
 
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        counts = pool.map(lambda fold: class_counts(rows.where(i < fold["train_to"])), folds)
-        counted = {fold["fold"]: c for fold, c in zip(folds, counts, strict=True)}
-        parts = list(pool.map(one, itertools.product(specs, folds)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if trees:
+        with ThreadPoolExecutor(max(1, parallelism)) as pool:
+            counts = pool.map(lambda fold: class_counts(rows.where(i < fold["train_to"])), folds)
+            counted = {fold["fold"]: c for fold, c in zip(folds, counts, strict=True)}
+            parts += list(pool.map(one, itertools.product(trees, folds)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def model_table(spark, tuned: list[Tuned], scoring: str = "neg_log_loss") -> DataFrame:

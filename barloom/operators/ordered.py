@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.numeric import guard
+
 FEWEST_BLOCKS, MOST_BLOCKS = 32, 8192
+#: Cut points of all groups together: 64 MB at the most.
+MOST_CUTS = 8_000_000
 
 
 def default_blocks(rows: DataFrame) -> int:
@@ -55,10 +59,14 @@ def running_totals(
     shares = [i / blocks for i in range(1, blocks)]
     # One row per group: cut points and group totals. Groups are models, not data.
     cuts = distinct.groupBy(*keys).agg(
-        F.percentile_approx(value, shares, blocks * 50).alias("_cuts"),
+        F.percentile_approx(value, shares, max(10_000, 4 * blocks)).alias("_cuts"),
         *(F.sum(n).alias(f"{n}_total") for n in sums),
     )
-    placed = _with_block(distinct.join(cuts, keys, "left"), value, blocks)
+    # A shuffle on the group alone would send all its values to one task; so cut points travel, and their number is checked.
+    everyone = Window.partitionBy(F.lit(1))
+    kind = f"array<{distinct.schema[value].dataType.simpleString()}>"
+    few = guard(F.count("*").over(everyone) > MOST_CUTS // blocks, "too many groups for running totals: fewer blocks allow more", F.col("_cuts"), kind)
+    placed = _with_block(distinct.join(F.broadcast(cuts.withColumn("_cuts", few)), keys, "left"), value, blocks)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(*keys).orderBy("_block")
     heads = placed.groupBy(*keys, "_block").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import (
-    backtest, baseline, cleaning, diagnostics, explore, importance, metrics, models, panel,
+    backtest, baseline, cleaning, diagnostics, explore, importance, logistic, metrics, models, panel,
     series, splits,
 )
 from barloom.params import (
@@ -689,7 +689,7 @@ def feature_correlation_matrix(spark, sf):
 # All models have their default iterations and grids. A fit of the largest ensemble serves all its smaller numbers of trees.
 MODEL_PARAMS = ResearchParams(models=DEFAULT_MODELS)
 SPECS = models.model_specs(MODEL_PARAMS)
-TUNING = TuningParams(parallelism=4)
+TUNING = TuningParams(parallelism=8)
 
 
 def _vectors(spark, sf):
@@ -767,12 +767,15 @@ def refit_test_predictions(spark, sf):
     return models.predictions(tuned.spec, final, rows.where("split = 'test'"), "test")
 
 
-def _forward(spark, sf):
+LINEAR = ("majority", "logreg_none", "logreg_l1", "logreg_l2")
+
+
+def _forward(spark, sf, names=tuple(SPECS)):
     rows = i.the_panel(spark, sf)
     axis = splits.date_axis(rows)
     folds = splits.walk_forward_folds(axis, WF.min_train_days, WF.test_days, 1).collect()  # one row per block
     numbered = models.assemble(splits.tag_rows(rows, axis, "ordinal"))
-    frozen = [(spec, _tuned(spark, sf, name).best_params) for name, spec in SPECS.items()]
+    frozen = [(SPECS[name], _tuned(spark, sf, name).best_params) for name in names]
     return models.walk_forward_predictions(frozen, numbered, folds)
 
 
@@ -793,6 +796,33 @@ def _coverage(rows):
         F.max("date").alias("last"), F.sum("target").alias("ups"), F.count_if(F.col("prob_up").between(0, 1)).alias("probabilities"))
 
 
+@query
+def linear_walk_forward(spark, sf):
+    """The baseline and the logistic models with frozen parameters, refitted before every block; all refits move together."""
+    return i.stored(spark, sf, "linear_forward", lambda: _forward(spark, sf, LINEAR))
+
+
+@query
+def linear_walk_forward_coverage(spark, sf):
+    return _coverage(linear_walk_forward(spark, sf))
+
+
+@query
+def linear_model_table(spark, sf):
+    return models.model_table(spark, [_tuned(spark, sf, name) for name in LINEAR])
+
+
+@query
+def training_scales(spark, sf):
+    """What features are scaled by: mean and deviation over the training rows of each fold and of the whole training segment."""
+    rows = _vectors(spark, sf).where("split = 'train'")
+    folds = splits.cv_folds(splits.date_axis(rows), TUNING.cv_splits, MODEL_PARAMS.cv_gap()).orderBy("fold").collect()
+    spans = [(f["train_from"], f["train_to"]) for f in folds] + [logistic.EVERYTHING]
+    names = _names(spark, sf)
+    table = [(k, name, s.rows, s.ups, float(s.mean[j]), float(s.sd[j])) for k, s in enumerate(logistic.scalings(rows, spans)) for j, name in enumerate(names)]
+    return neat(spark.createDataFrame(table, "fold int, feature string, n long, ups long, mean double, sd double"))  # folds x features rows
+
+
 @query
 def logistic_balance(spark, sf):
     """The intercept is not penalised, so weighted scores must average to the weighted label share."""
@@ -897,7 +927,7 @@ def models_roundtrip(spark, sf):
 
 
 def _logistic_models(spark, sf):
-    return {name: _tuned(spark, sf, name) for name in ("majority", "logreg_none", "logreg_l1", "logreg_l2")}
+    return {name: _tuned(spark, sf, name) for name in LINEAR}
 
 
 @query

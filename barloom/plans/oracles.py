@@ -556,6 +556,16 @@ BODIES: dict[str, str] = {
       FROM (SELECT *, ((ordinal - 400) // 504)::INT AS fold FROM tagged WHERE ordinal >= 400),
         (VALUES ('majority'), ('logreg_none'), ('logreg_l1'), ('logreg_l2'), ('random_forest'), ('gbt[mllib]')) m(model)
       GROUP BY model, fold""",
+    "linear_walk_forward_coverage": """SELECT model, fold, count(*) AS n, count(*) AS distinct_rows, min(date) AS first, max(date) AS last,
+        sum(target)::BIGINT AS ups, count(*) AS probabilities
+      FROM (SELECT *, ((ordinal - 400) // 504)::INT AS fold FROM tagged WHERE ordinal >= 400),
+        (VALUES ('majority'), ('logreg_none'), ('logreg_l1'), ('logreg_l2')) m(model)
+      GROUP BY model, fold""",
+    "training_scales": f"""SELECT fold, feature, count(*) AS n, sum(target)::BIGINT AS ups, {r('avg(x)')} AS mean, {r('stddev_pop(x)')} AS sd
+      FROM (UNPIVOT (SELECT f.fold, t.target, {', '.join('t.' + f for f in FEATURES)} FROM tagged t JOIN (
+          SELECT i::INT AS fold, 0 AS a, n - (4 - i) * (n // 5) - 1 AS b FROM (SELECT count(DISTINCT date) AS n FROM tagged WHERE split = 'train'), range(4) u(i)
+          UNION ALL SELECT 4, 0, 1000000000) f ON t.ordinal >= f.a AND t.ordinal < f.b WHERE t.split = 'train')
+        ON {', '.join(FEATURES)} INTO NAME feature VALUE x) GROUP BY fold, feature""",
     "logistic_balance": """SELECT model, round(sum(w * target) / sum(w), 3) AS weighted_score
       FROM (SELECT target, count(*) OVER () / (2.0e0 * count(*) OVER (PARTITION BY target)) AS w FROM tagged WHERE split = 'train'),
         (VALUES ('logreg_none'), ('logreg_l2')) m(model) GROUP BY model""",
