@@ -770,12 +770,12 @@ def refit_test_predictions(spark, sf):
 LINEAR = ("majority", "logreg_none", "logreg_l1", "logreg_l2")
 
 
-def _forward(spark, sf, names=tuple(SPECS)):
+def _forward(spark, sf, names=None):
     rows = i.the_panel(spark, sf)
     axis = splits.date_axis(rows)
     folds = splits.walk_forward_folds(axis, WF.min_train_days, WF.test_days, 1).collect()  # one row per block
     numbered = models.assemble(splits.tag_rows(rows, axis, "ordinal"))
-    frozen = [(SPECS[name], _tuned(spark, sf, name).best_params) for name in names]
+    frozen = [(SPECS[name], _tuned(spark, sf, name).best_params) for name in names or SPECS]
     return models.walk_forward_predictions(frozen, numbered, folds)
 
 
