@@ -1,8 +1,9 @@
 """Model zoo: specs, time-series tuning, fixed-parameter fits, predictions.
 
 Features are assembled into a vector once. All logistic models of a search (grid points, folds and the final fits) move
-together, one job an iteration (`logistic`). Trees are Spark ML's: one fit of the largest ensemble serves every smaller
-number of trees of the grid, since its first n trees are an ensemble of n; a small thread pool keeps several fits in flight.
+together, one job an iteration (`logistic`), and so do all boosted ensembles, one job a tree level (`boosting`). Forests are
+Spark ML's; a small thread pool keeps several fits in flight. One fit of the largest ensemble serves every smaller
+number of trees of the grid, since its first n trees are an ensemble of n.
 """
 
 from __future__ import annotations
@@ -16,15 +17,13 @@ from functools import reduce
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.operators import logistic
+from barloom.operators import boosting, logistic
 from barloom.operators.baseline import class_weights
 from barloom.operators.metrics import clipped, roc_auc
 from barloom.operators.panel import feature_columns
@@ -33,11 +32,8 @@ from barloom.params import ResearchParams, TuningParams
 #: Default of the model parameter `max_bins`: candidate split points per feature of the tree learners.
 MAX_BINS = 128
 SNAP = 1e-12
-# How boosting grid names translate; the rest has no counterpart.
-BOOSTING_NAMES = {
-    "learning_rate": "stepSize", "max_depth": "maxDepth", "n_estimators": "maxIter",
-    "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
-}
+# The boosting grid names with a counterpart.
+BOOSTING_NAMES = ("learning_rate", "max_depth", "n_estimators", "subsample", "colsample_bytree")
 FOREST_NAMES = {
     "n_estimators": "numTrees", "max_depth": "maxDepth",
     "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy",
@@ -46,7 +42,8 @@ FOREST_NAMES = {
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """An unfitted model: `make(params, n_rows)` gives the estimator; logistic ones have a penalty and `most` iterations."""
+    """An unfitted model: `make(params, n_rows)` gives the estimator; logistic ones have a penalty and `most` iterations,
+    boosted ones a seed and a number of bins."""
 
     name: str
     family: str
@@ -57,6 +54,9 @@ class ModelSpec:
     estimator: str = ""
     penalty: str = ""
     most: int = 100
+    boosted: bool = False
+    seed: int = 42
+    max_bins: int = MAX_BINS
 
     def job(self, params: Mapping[str, Any], span: tuple[int, int] = logistic.EVERYTHING) -> logistic.Job:
         return logistic.Job(self.penalty, float(params.get("C", 1.0)), span, self.balanced)
@@ -95,17 +95,6 @@ def _forest(seed: int, max_bins: int):
     return make
 
 
-def _boosting(seed: int, max_bins: int):
-    def make(params, n_rows):
-        values = {BOOSTING_NAMES[k]: str(v) if k == "colsample_bytree" else v for k, v in params.items()}
-        return GBTClassifier(
-            featuresCol="features", labelCol="target", weightCol="weight", seed=seed,
-            maxBins=max_bins, **values,
-        )
-
-    return make
-
-
 def model_specs(params: ResearchParams | None = None) -> dict[str, ModelSpec]:
     """The enabled models in declaration order."""
     params = params or ResearchParams()
@@ -140,8 +129,8 @@ def model_specs(params: ResearchParams | None = None) -> dict[str, ModelSpec]:
         if dropped:
             note += f"; without counterpart: {', '.join(dropped)}"
         specs["gbt[mllib]"] = ModelSpec(
-            "gbt[mllib]", "tree", _boosting(seed, int(c.get("max_bins", MAX_BINS))),
-            {k: v for k, v in grid.items() if k in BOOSTING_NAMES}, False, note, "GBTClassifier",
+            "gbt[mllib]", "tree", None, {k: v for k, v in grid.items() if k in BOOSTING_NAMES}, False, note, "GBTClassifier",
+            boosted=True, seed=seed, max_bins=int(c.get("max_bins", MAX_BINS)),
         )
     if not specs:
         raise ValueError("no model is enabled")
@@ -170,10 +159,17 @@ def _solved(spark, solution: logistic.Solution) -> Fitted:
     return Fitted(model, solution.prior, solution.rows)
 
 
+def _boosted(spark, ensemble: boosting.Ensemble) -> Fitted:
+    model = PipelineModel([boosting.spark_model(spark, ensemble)]) if ensemble.trees else None
+    return Fitted(model, ensemble.prior, ensemble.rows)
+
+
 def fit(spec: ModelSpec, params: Mapping[str, Any], rows: DataFrame, counts: dict[int, Any] | None = None) -> Fitted:
     """Fit on `rows` with fixed parameters; `counts` are their class counts if known already."""
     if spec.penalty:
         return _solved(rows.sparkSession, logistic.fit_many(rows, [spec.job(params)], spec.most)[0])
+    if spec.boosted:
+        return _boosted(rows.sparkSession, boosting.fit_many(rows, [boosting.job(params)], spec.seed, spec.max_bins)[0])
     counts = class_counts(rows) if counts is None else counts
     n = sum(r["n_class"] for r in counts.values())
     prior = counts[1]["n_class"] / n if 1 in counts else 0.0
@@ -286,6 +282,8 @@ def cv_scores(
     """(combination, fold, score) of every grid point; rows need an `ordinal`."""
     if spec.penalty:
         return _logistic_search(spec, rows, folds, tuning)[0]
+    if spec.boosted:
+        return _boosting_search(spec, rows, folds, tuning, False)[0]
     i = F.col("ordinal")
 
     def part(fold, role):
@@ -315,6 +313,20 @@ def _logistic_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: Tuni
     return scores, [_solved(rows.sparkSession, s) for s in solved[len(points):]]
 
 
+def _boosting_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams, refit: bool = True) -> tuple[list, dict[int, boosting.Ensemble]]:
+    """(scores as in cv_scores, the ensembles of all grid points on all rows), grown side by side."""
+    shapes = _ensembles(spec.combinations())
+    points = [(largest, sizes, fold) for largest, sizes in shapes for fold in folds]
+    jobs = [boosting.job(largest, (fold["train_from"], fold["train_to"])) for largest, _, fold in points]
+    grown = boosting.fit_many(rows, jobs + [boosting.job(largest) for largest, _ in shapes if refit], spec.seed, spec.max_bins)
+    whole = lambda sizes, e: {c: n or len(e.trees) for c, n in sizes.items()}
+    scored = boosting.score_many(
+        rows, [((fold["test_from"], fold["test_to"]), fold["fold"], e, whole(sizes, e)) for (_, sizes, fold), e in zip(points, grown)], ["target"])
+    scores = [(r["combination"], r["fold"], r["score"]) for r in grouped_scores(scored, tuning.scoring, ("combination", "fold")).collect()]
+    final = {c: e.first(n) for (_, sizes), e in zip(shapes, grown[len(points):]) for c, n in whole(sizes, e).items()}
+    return scores, final
+
+
 def tuning_table(spark, spec: ModelSpec, scores: list) -> DataFrame:
     """Mean, population deviation and rank of each grid point over the folds."""
     combos = spec.combinations()
@@ -337,6 +349,8 @@ def tune(spec: ModelSpec, train: DataFrame, folds: list, tuning: TuningParams) -
     final: list[Fitted] = []
     if spec.penalty:
         scores, final = _logistic_search(spec, train, folds, tuning)
+    elif spec.boosted:
+        scores, grown = _boosting_search(spec, train, folds, tuning)
     else:
         scores = cv_scores(spec, train, folds, tuning)
     means: dict[int, list[float]] = {}
@@ -344,8 +358,12 @@ def tune(spec: ModelSpec, train: DataFrame, folds: list, tuning: TuningParams) -
         means.setdefault(c, []).append(s)
     best = max(sorted(means), key=lambda c: sum(means[c]) / len(means[c]))
     params = spec.combinations()[best]
+    if spec.boosted:
+        fitted = _boosted(train.sparkSession, grown[best])
+    else:
+        fitted = final[best] if final else fit(spec, params, train)
     return Tuned(
-        spec, final[best] if final else fit(spec, params, train), params, sum(means[best]) / len(means[best]),
+        spec, fitted, params, sum(means[best]) / len(means[best]),
         tuning_table(train.sparkSession, spec, scores),
     )
 
@@ -356,14 +374,23 @@ def walk_forward_predictions(
 ) -> DataFrame:
     """Refit each model with frozen parameters before every block and predict the block.
 
-    The logistic refits of all blocks move together, and their models (and priors) score all blocks in one pass;
-    only trees are fitted and applied one by one.
+    The logistic refits of all blocks move together, and their models (and priors) score all blocks in one pass; so do
+    the boosted ones. Only forests are fitted and applied one by one.
     """
     i = F.col("ordinal")
     spans = {fold["fold"]: (-(1 << 31), fold["train_to"]) for fold in folds}
-    plain = [(spec, params) for spec, params in specs if spec.penalty or spec.make is None]
-    trees = [(spec, params) for spec, params in specs if not (spec.penalty or spec.make is None)]
+    boosted = [(spec, params) for spec, params in specs if spec.boosted]
+    trees = [(spec, params) for spec, params in specs if spec.make is not None]
+    plain = [(spec, params) for spec, params in specs if not spec.boosted and spec.make is None]
     parts = []
+    for spec, params in boosted:
+        grown = boosting.fit_many(rows, [boosting.job(params, span) for span in spans.values()], spec.seed, spec.max_bins)
+        scored = boosting.score_many(rows, [((fold["test_from"], fold["test_to"]), fold["fold"], e, {0: len(e.trees)}) for fold, e in zip(folds, grown)],
+                                     ["date", "ticker", "target", "fwd_ret"])
+        p = F.col("prob_up")
+        parts.append(scored.select(
+            "date", "ticker", F.lit("walk_forward").alias("split"), F.lit(spec.name).alias("model"),
+            F.when(F.abs(p - threshold) <= SNAP, F.lit(threshold)).otherwise(p).alias("prob_up"), "target", "fwd_ret", "fold"))
     if plain:
         points = [(spec, params, fold["fold"]) for spec, params in plain for fold in folds]
         fitted = [(spec, params, f) for spec, params, f in points if spec.penalty]
