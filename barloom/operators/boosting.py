@@ -75,16 +75,19 @@ class Ensemble:
     def first(self, n: int) -> Ensemble:
         return Ensemble(self.trees[:n], self.rate, self.prior, self.rows, self.width)
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(feature, threshold, weighted value) of all trees, one row a tree, as deep as the deepest."""
+    def table(self) -> tuple | None:
+        """What `score_many` scores with: nodes of all trees one after the other."""
         if not self.trees:
             return None
-        weights = np.array([1.0] + [self.rate] * (len(self.trees) - 1))
-        return (np.stack([t.feature for t in self.trees]), np.stack([t.threshold for t in self.trees]),
-                np.stack([t.value for t in self.trees]) * weights[:, None])
+        sizes = np.array([len(t.feature) for t in self.trees])
+        starts = np.cumsum(sizes) - sizes
+        left = np.concatenate([2 * np.arange(n) + 1 + s for n, s in zip(sizes, starts)])
+        value = np.concatenate([t.value * (self.rate if k else 1.0) for k, t in enumerate(self.trees)])
+        return (starts, max(int(n).bit_length() for n in sizes) - 1, np.concatenate([t.feature for t in self.trees]),
+                np.concatenate([t.threshold for t in self.trees]), left, value, "odds")
 
 
-def _spans(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+def placed_rows(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
     """Rows once per span that holds them: (span, x, y, key); spans are numbered."""
     o = F.col("ordinal").cast("long") if "ordinal" in rows.columns else F.lit(0).cast("long")
     inside = F.filter(F.array(*(F.when((o >= a) & (o < b), k) for k, (a, b) in enumerate(spans))), lambda s: s.isNotNull())
@@ -92,7 +95,7 @@ def _spans(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
                        F.col("target").cast("double").alias("y"), F.xxhash64("date", "ticker").alias("key"))
 
 
-def _facts(placed: DataFrame, width: int, max_bins: int) -> dict[int, tuple[int, int, list[np.ndarray]]]:
+def span_facts(placed: DataFrame, width: int, max_bins: int) -> dict[int, tuple[int, int, list[np.ndarray]]]:
     """Per span: rows, positive rows and the cut points of each feature (at most max_bins - 1)."""
     shares = [k / max_bins for k in range(1, max_bins)]
     cuts = [F.percentile_approx(F.get("x", F.lit(j)), shares, 10000).alias(f"c{j}") for j in range(width)]
@@ -100,7 +103,7 @@ def _facts(placed: DataFrame, width: int, max_bins: int) -> dict[int, tuple[int,
     return {r["span"]: (r["n"], int(r["ups"]), [np.unique(np.array(r[f"c{j}"], float)) for j in range(width)]) for r in found}
 
 
-def _binned(placed: DataFrame, cuts: Mapping[int, list[np.ndarray]], blocks: Mapping[int, int]) -> DataFrame:
+def binned_blocks(placed: DataFrame, cuts: Mapping[int, list[np.ndarray]], blocks: Mapping[int, int]) -> DataFrame:
     """(span, block, bins, y, key): one row a block, features as bin numbers."""
     def run(key, table):
         own = cuts[key[0].as_py()]
@@ -115,13 +118,9 @@ def _binned(placed: DataFrame, cuts: Mapping[int, list[np.ndarray]], blocks: Map
     return cut.groupBy("span", "block").applyInArrow(run, "span int, block int, bins binary, y binary, key binary")
 
 
-def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
-    """The functions that run in tasks, which hold all they need: executors have no copy of this package."""
-    counts = {s: np.array([len(c) for c in own]) for s, own in cuts.items()}
-    most = {s: int(c.max(initial=0)) + 1 for s, c in counts.items()}
-
+def hashing(seed: int):
+    """A function for tasks: hash of each value with some numbers, uniform in [0, 1)."""
     def mixed(values, *keys):
-        """Hash of each value with the keys: uniform in [0, 1)."""
         h = values.astype(np.uint64)
         with np.errstate(over="ignore"):
             for k in (seed, *keys):
@@ -130,14 +129,25 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
                 h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 h = h ^ (h >> np.uint64(31))
         return (h >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    return mixed
+
 
+def walking():
+    """A function for tasks: heap node of each row after some levels."""
     def places(bins, feature, cut, levels):
-        """Node of each row after some levels."""
         node, at = np.zeros(len(bins), np.int64), np.arange(len(bins))
         for _ in range(levels):
             f = feature[node]
             node = np.where(f >= 0, 2 * node + 1 + (bins[at, np.maximum(f, 0)] > cut[node]), node)
         return node
+    return places
+
+
+def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
+    """The functions that run in tasks, which hold all they need: executors have no copy of this package."""
+    counts = {s: np.array([len(c) for c in own]) for s, own in cuts.items()}
+    most = {s: int(c.max(initial=0)) + 1 for s, c in counts.items()}
+    mixed, places = hashing(seed), walking()
 
     def unpacked(record):
         span, block, numbers, bins, y, key, margins = record
@@ -226,8 +236,8 @@ def fit_many(rows: DataFrame, jobs: list[Job], seed: int = 42, max_bins: int = 1
     spans = list(dict.fromkeys(j.span for j in jobs))
     head = rows.select(F.size(vector_to_array("features")).alias("n")).first()
     width = head["n"] if head else 0
-    placed = _spans(rows, spans)
-    facts = _facts(placed, width, max_bins)
+    placed = placed_rows(rows, spans)
+    facts = span_facts(placed, width, max_bins)
     out = []
     for job in jobs:
         n, ups, _ = facts.get(spans.index(job.span), (0, 0, []))
@@ -252,7 +262,7 @@ def fit_many(rows: DataFrame, jobs: list[Job], seed: int = 42, max_bins: int = 1
             yield order[r["span"], r["block"], g], (r["span"], r["block"], numbers, bytes(r["bins"]), bytes(r["y"]), bytes(r["key"]), np.zeros((len(numbers), n)))
 
     grown, sums, added, best = _tasks(seed, width, cuts)
-    state = _binned(placed, cuts, blocks).rdd.flatMap(spread).partitionBy(len(order), lambda k: k).values().persist(StorageLevel.MEMORY_AND_DISK)
+    state = binned_blocks(placed, cuts, blocks).rdd.flatMap(spread).partitionBy(len(order), lambda k: k).values().persist(StorageLevel.MEMORY_AND_DISK)
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(spark))
     combined = max(blocks.values()) > 1
@@ -303,17 +313,18 @@ def _split(tree: Tree, found: list[tuple], cuts: list[np.ndarray]) -> bool:
     return any_
 
 
-def score_many(rows: DataFrame, models: Iterable[tuple[tuple[int, int], int, Ensemble, Mapping[int, int]]], keep: list[str]) -> DataFrame:
+def score_many(rows: DataFrame, models: Iterable[tuple[tuple[int, int], int, Any, Mapping[int, int]]], keep: list[str]) -> DataFrame:
     """(keep, fold, combination, prob_up) of the rows of each ordinal range under its ensembles, in one pass over the rows.
 
-    `models` has (range, fold, ensemble, {combination: its first trees}).
+    `models` has (range, fold, ensemble or forest, {combination: its first trees}).
     """
     tables = [(span, fold, e.table(), e.prior, dict(sizes)) for span, fold, e, sizes in models]
     lowest, highest = min(t[0][0] for t in tables), max(t[0][1] for t in tables)
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields]
     read = rows.where((F.col("ordinal") >= lowest) & (F.col("ordinal") < highest)).select(
         *keep, F.col("ordinal").cast("long").alias("_o"), vector_to_array("features").alias("_x"))
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(tables)
 
     def run(batches):
         for batch in batches:
@@ -331,19 +342,20 @@ def score_many(rows: DataFrame, models: Iterable[tuple[tuple[int, int], int, Ens
                     if table is None:
                         p = np.full(len(own), prior)
                     else:
-                        for feature, threshold, value in zip(*(part[done:n] for part in table)):
-                            node = np.zeros(len(own), np.int64)
-                            for _ in range(len(feature).bit_length() - 1):
+                        starts, depth, feature, threshold, left, value, kind = table
+                        for start in starts[done:n]:
+                            node = np.full(len(own), start)
+                            for _ in range(depth):
                                 f = feature[node]
-                                node = np.where(f >= 0, 2 * node + 1 + ~(z[at, np.maximum(f, 0)] <= threshold[node]), node)
+                                node = np.where(f >= 0, left[node] + ~(z[at, np.maximum(f, 0)] <= threshold[node]), node)
                             margin += value[node]
                         done = n
-                        p = 1.0 / (1.0 + np.exp(np.clip(-2.0 * margin, -700, 700)))
+                        p = margin / n if kind == "mean" else 1.0 / (1.0 + np.exp(np.clip(-2.0 * margin, -700, 700)))
                     columns = [taken.column(k) for k in range(len(keep))] + [
                         pa.array(np.full(len(own), fold, np.int32)), pa.array(np.full(len(own), c, np.int32)), pa.array(p)]
                     yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fold", "combination", "prob_up"])
 
-    return read.mapInArrow(run, ", ".join([*kept, "fold int", "combination int", "prob_up double"]))
+    return read.repartition(context.defaultParallelism).mapInArrow(run, ", ".join([*kept, "fold int", "combination int", "prob_up double"]))
 
 
 def spark_model(spark: SparkSession, ensemble: Ensemble):

@@ -1,29 +1,27 @@
 """Model zoo: specs, time-series tuning, fixed-parameter fits, predictions.
 
 Features are assembled into a vector once. All logistic models of a search (grid points, folds and the final fits) move
-together, one job an iteration (`logistic`), and so do all boosted ensembles, one job a tree level (`boosting`). Forests are
-Spark ML's; a small thread pool keeps several fits in flight. One fit of the largest ensemble serves every smaller
-number of trees of the grid, since its first n trees are an ensemble of n.
+together, one job an iteration (`logistic`), and so do all boosted ensembles and forests, one job a tree level (`boosting`,
+`forests`). One fit of the largest ensemble serves every smaller number of trees of the grid, since its first n trees are an ensemble of n.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.operators import boosting, logistic
+from barloom.operators import boosting, forests, logistic
 from barloom.operators.baseline import class_weights
 from barloom.operators.metrics import clipped, roc_auc
 from barloom.operators.panel import feature_columns
@@ -34,27 +32,21 @@ MAX_BINS = 128
 SNAP = 1e-12
 # The boosting grid names with a counterpart.
 BOOSTING_NAMES = ("learning_rate", "max_depth", "n_estimators", "subsample", "colsample_bytree")
-FOREST_NAMES = {
-    "n_estimators": "numTrees", "max_depth": "maxDepth",
-    "min_samples_leaf": "minInstancesPerNode", "max_features": "featureSubsetStrategy",
-}
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """An unfitted model: `make(params, n_rows)` gives the estimator; logistic ones have a penalty and `most` iterations,
-    boosted ones a seed and a number of bins."""
+    """An unfitted model; logistic ones have a penalty and `most` iterations, an `ensemble` ("boosting" or "forest") a seed and a number of bins."""
 
     name: str
     family: str
-    make: Callable[[Mapping[str, Any], int], Any] | None = None
     grid: Mapping[str, list] = field(default_factory=dict)
     balanced: bool = False
     note: str = ""
     estimator: str = ""
     penalty: str = ""
     most: int = 100
-    boosted: bool = False
+    ensemble: str = ""
     seed: int = 42
     max_bins: int = MAX_BINS
 
@@ -84,17 +76,6 @@ class Tuned:
     results: DataFrame | None = None
 
 
-def _forest(seed: int, max_bins: int):
-    def make(params, n_rows):
-        values = {FOREST_NAMES[k]: str(v) if k == "max_features" else v for k, v in params.items()}
-        return RandomForestClassifier(
-            featuresCol="features", labelCol="target", weightCol="weight", seed=seed,
-            maxBins=max_bins, **values,
-        )
-
-    return make
-
-
 def model_specs(params: ResearchParams | None = None) -> dict[str, ModelSpec]:
     """The enabled models in declaration order."""
     params = params or ResearchParams()
@@ -109,17 +90,17 @@ def model_specs(params: ResearchParams | None = None) -> dict[str, ModelSpec]:
             c = config.get(name, {})
             grid = {} if kind == "none" else {"C": list(c.get("grid", {}).get("C", []))}
             specs[name] = ModelSpec(
-                name, "logistic", None, {k: v for k, v in grid.items() if v},
+                name, "logistic", {k: v for k, v in grid.items() if v},
                 c.get("class_weight", "balanced") is not None, estimator="LogisticRegression",
                 penalty=kind, most=int(c.get("max_iter", 2000)),
             )
     if on("random_forest"):
         c = config.get("random_forest", {})
         specs["random_forest"] = ModelSpec(
-            "random_forest", "tree", _forest(seed, int(c.get("max_bins", MAX_BINS))), dict(c.get("grid", {})),
+            "random_forest", "tree", dict(c.get("grid", {})),
             c.get("class_weight", "balanced_subsample") is not None,
             "class weights are balanced over all training rows, not per bootstrap sample",
-            "RandomForestClassifier",
+            "RandomForestClassifier", ensemble="forest", seed=seed, max_bins=int(c.get("max_bins", MAX_BINS)),
         )
     c = config.get("xgboost", {})
     if on("xgboost") and c.get("allow_fallback", c.get("allow_sklearn_fallback", True)):
@@ -129,8 +110,8 @@ def model_specs(params: ResearchParams | None = None) -> dict[str, ModelSpec]:
         if dropped:
             note += f"; without counterpart: {', '.join(dropped)}"
         specs["gbt[mllib]"] = ModelSpec(
-            "gbt[mllib]", "tree", None, {k: v for k, v in grid.items() if k in BOOSTING_NAMES}, False, note, "GBTClassifier",
-            boosted=True, seed=seed, max_bins=int(c.get("max_bins", MAX_BINS)),
+            "gbt[mllib]", "tree", {k: v for k, v in grid.items() if k in BOOSTING_NAMES}, False, note, "GBTClassifier",
+            ensemble="boosting", seed=seed, max_bins=int(c.get("max_bins", MAX_BINS)),
         )
     if not specs:
         raise ValueError("no model is enabled")
@@ -145,42 +126,32 @@ def assemble(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
     return vectors.select("date", "ticker", "features", "target", "fwd_ret", *extra)
 
 
-def class_counts(rows: DataFrame) -> dict[int, Any]:
-    """Rows and balanced weight of each class: two rows at most."""
-    return {r["target"]: r for r in class_weights(rows).collect()}
-
-
-#: Rows a task of a tree fit gets at least: every iteration is a job, so small tables should not be cut up.
-ROWS_A_TASK = 50_000
-
-
 def _solved(spark, solution: logistic.Solution) -> Fitted:
     model = None if solution.coefficients is None else PipelineModel([logistic.spark_model(spark, solution)])
     return Fitted(model, solution.prior, solution.rows)
 
 
-def _boosted(spark, ensemble: boosting.Ensemble) -> Fitted:
-    model = PipelineModel([boosting.spark_model(spark, ensemble)]) if ensemble.trees else None
-    return Fitted(model, ensemble.prior, ensemble.rows)
+def _grow(spec: ModelSpec, rows: DataFrame, points: list[tuple[Mapping[str, Any], tuple[int, int]]]) -> list:
+    """Ensembles of all (parameters, span), grown side by side."""
+    if spec.ensemble == "boosting":
+        return boosting.fit_many(rows, [boosting.job(params, span) for params, span in points], spec.seed, spec.max_bins)
+    return forests.fit_many(rows, [forests.job(params, span) for params, span in points], spec.balanced, spec.seed, spec.max_bins)
 
 
-def fit(spec: ModelSpec, params: Mapping[str, Any], rows: DataFrame, counts: dict[int, Any] | None = None) -> Fitted:
-    """Fit on `rows` with fixed parameters; `counts` are their class counts if known already."""
+def _grown(spark, ensemble: boosting.Ensemble | forests.Forest) -> Fitted:
+    make = boosting.spark_model if isinstance(ensemble, boosting.Ensemble) else forests.spark_model
+    return Fitted(PipelineModel([make(spark, ensemble)]) if ensemble.trees else None, ensemble.prior, ensemble.rows)
+
+
+def fit(spec: ModelSpec, params: Mapping[str, Any], rows: DataFrame) -> Fitted:
+    """Fit on `rows` with fixed parameters."""
     if spec.penalty:
         return _solved(rows.sparkSession, logistic.fit_many(rows, [spec.job(params)], spec.most)[0])
-    if spec.boosted:
-        return _boosted(rows.sparkSession, boosting.fit_many(rows, [boosting.job(params)], spec.seed, spec.max_bins)[0])
-    counts = class_counts(rows) if counts is None else counts
-    n = sum(r["n_class"] for r in counts.values())
-    prior = counts[1]["n_class"] / n if 1 in counts else 0.0
-    if spec.make is None or len(counts) < 2:
-        return Fitted(None, prior, n)
-    weight = F.lit(1.0)
-    if spec.balanced:
-        weight = F.when(F.col("target") == 1, counts[1]["weight"]).otherwise(counts[0]["weight"])
-    estimator = spec.make(params, n)
-    model = Pipeline(stages=[estimator]).fit(rows.withColumn("weight", weight.cast("double")).coalesce(max(1, n // ROWS_A_TASK)))
-    return Fitted(model, prior, n)
+    if spec.ensemble:
+        return _grown(rows.sparkSession, _grow(spec, rows, [(params, logistic.EVERYTHING)])[0])
+    counts = {r["target"]: r["n_class"] for r in class_weights(rows).collect()}  # two rows at most
+    n = sum(counts.values())
+    return Fitted(None, counts.get(1, 0) / n if n else 0.0, n)
 
 
 def first_trees(fitted: Fitted, n: int) -> Fitted:
@@ -282,24 +253,9 @@ def cv_scores(
     """(combination, fold, score) of every grid point; rows need an `ordinal`."""
     if spec.penalty:
         return _logistic_search(spec, rows, folds, tuning)[0]
-    if spec.boosted:
-        return _boosting_search(spec, rows, folds, tuning, False)[0]
-    i = F.col("ordinal")
-
-    def part(fold, role):
-        return rows.where((i >= fold[f"{role}_from"]) & (i < fold[f"{role}_to"]))
-
-    def one(job):
-        (largest, sizes), (fold, counts) = job
-        fitted = fit(spec, largest, part(fold, "train"), counts)
-        test = part(fold, "test").select("features", "target")
-        scored = [with_probability(first_trees(fitted, n) if n else fitted, test).select(F.lit(c).alias("combination"), "target", "prob_up") for c, n in sizes.items()]
-        together = reduce(DataFrame.unionByName, scored)  # all sizes of one fit in one aggregate
-        return [(r["combination"], fold["fold"], r["score"]) for r in grouped_scores(together, tuning.scoring, ("combination",)).collect()]
-
-    with ThreadPoolExecutor(max(1, tuning.parallelism)) as pool:
-        counted = list(zip(folds, pool.map(lambda fold: class_counts(part(fold, "train")), folds), strict=True))
-        return [s for found in pool.map(one, itertools.product(_ensembles(spec.combinations()), counted)) for s in found]
+    if spec.ensemble:
+        return _ensemble_search(spec, rows, folds, tuning, False)[0]
+    raise ValueError(f"{spec.name} has no grid to search")
 
 
 def _logistic_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams) -> tuple[list, list[Fitted]]:
@@ -313,12 +269,12 @@ def _logistic_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: Tuni
     return scores, [_solved(rows.sparkSession, s) for s in solved[len(points):]]
 
 
-def _boosting_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams, refit: bool = True) -> tuple[list, dict[int, boosting.Ensemble]]:
+def _ensemble_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams, refit: bool = True) -> tuple[list, dict[int, Any]]:
     """(scores as in cv_scores, the ensembles of all grid points on all rows), grown side by side."""
     shapes = _ensembles(spec.combinations())
     points = [(largest, sizes, fold) for largest, sizes in shapes for fold in folds]
-    jobs = [boosting.job(largest, (fold["train_from"], fold["train_to"])) for largest, _, fold in points]
-    grown = boosting.fit_many(rows, jobs + [boosting.job(largest) for largest, _ in shapes if refit], spec.seed, spec.max_bins)
+    wanted = [(largest, (fold["train_from"], fold["train_to"])) for largest, _, fold in points]
+    grown = _grow(spec, rows, wanted + [(largest, logistic.EVERYTHING) for largest, _ in shapes if refit])
     whole = lambda sizes, e: {c: n or len(e.trees) for c, n in sizes.items()}
     scored = boosting.score_many(
         rows, [((fold["test_from"], fold["test_to"]), fold["fold"], e, whole(sizes, e)) for (_, sizes, fold), e in zip(points, grown)], ["target"])
@@ -349,19 +305,14 @@ def tune(spec: ModelSpec, train: DataFrame, folds: list, tuning: TuningParams) -
     final: list[Fitted] = []
     if spec.penalty:
         scores, final = _logistic_search(spec, train, folds, tuning)
-    elif spec.boosted:
-        scores, grown = _boosting_search(spec, train, folds, tuning)
     else:
-        scores = cv_scores(spec, train, folds, tuning)
+        scores, grown = _ensemble_search(spec, train, folds, tuning)
     means: dict[int, list[float]] = {}
     for c, _, s in scores:
         means.setdefault(c, []).append(s)
     best = max(sorted(means), key=lambda c: sum(means[c]) / len(means[c]))
     params = spec.combinations()[best]
-    if spec.boosted:
-        fitted = _boosted(train.sparkSession, grown[best])
-    else:
-        fitted = final[best] if final else fit(spec, params, train)
+    fitted = final[best] if final else _grown(train.sparkSession, grown[best])
     return Tuned(
         spec, fitted, params, sum(means[best]) / len(means[best]),
         tuning_table(train.sparkSession, spec, scores),
@@ -370,21 +321,20 @@ def tune(spec: ModelSpec, train: DataFrame, folds: list, tuning: TuningParams) -
 
 def walk_forward_predictions(
     specs: list[tuple[ModelSpec, Mapping[str, Any]]], rows: DataFrame, folds: list,
-    parallelism: int = 4, threshold: float = 0.5,
+    threshold: float = 0.5,
 ) -> DataFrame:
     """Refit each model with frozen parameters before every block and predict the block.
 
-    The logistic refits of all blocks move together, and their models (and priors) score all blocks in one pass; so do
-    the boosted ones. Only forests are fitted and applied one by one.
+    The refits of all blocks move together, and their models (and priors) score all blocks in one pass.
     """
     i = F.col("ordinal")
     spans = {fold["fold"]: (-(1 << 31), fold["train_to"]) for fold in folds}
-    boosted = [(spec, params) for spec, params in specs if spec.boosted]
-    trees = [(spec, params) for spec, params in specs if spec.make is not None]
-    plain = [(spec, params) for spec, params in specs if not spec.boosted and spec.make is None]
+    plain = [(spec, params) for spec, params in specs if not spec.ensemble]
     parts = []
-    for spec, params in boosted:
-        grown = boosting.fit_many(rows, [boosting.job(params, span) for span in spans.values()], spec.seed, spec.max_bins)
+    for spec, params in specs:
+        if not spec.ensemble:
+            continue
+        grown = _grow(spec, rows, [(params, span) for span in spans.values()])
         scored = boosting.score_many(rows, [((fold["test_from"], fold["test_to"]), fold["fold"], e, {0: len(e.trees)}) for fold, e in zip(folds, grown)],
                                      ["date", "ticker", "target", "fwd_ret"])
         p = F.col("prob_up")
@@ -414,17 +364,6 @@ def walk_forward_predictions(
             "date", "ticker", F.lit("walk_forward").alias("split"), "model",
             F.when(F.col("_b").isNull(), F.col("_p")).otherwise(snapped).alias("prob_up"), "target", "fwd_ret", "fold"))
 
-    def one(job):
-        (spec, params), fold = job
-        fitted = fit(spec, params, rows.where(i < fold["train_to"]), counted[fold["fold"]])
-        block = rows.where((i >= fold["test_from"]) & (i < fold["test_to"]))
-        return predictions(spec, fitted, block, "walk_forward", threshold).withColumn("fold", F.lit(fold["fold"]))
-
-    if trees:
-        with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            counts = pool.map(lambda fold: class_counts(rows.where(i < fold["train_to"])), folds)
-            counted = {fold["fold"]: c for fold, c in zip(folds, counts, strict=True)}
-            parts += list(pool.map(one, itertools.product(trees, folds)))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -97,7 +97,7 @@ def train(spark: SparkSession, params: ResearchParams, out: str) -> Training:
         frozen = [(t.spec, t.best_params) for t in tuned.values()]
         numbered = splits.tag_rows(scope, scope_axis, "ordinal")
         forward = models.walk_forward_predictions(
-            frozen, numbered, wf_folds.collect(), params.tuning.parallelism, params.backtest.threshold  # one row per block
+            frozen, numbered, wf_folds.collect(), params.backtest.threshold  # one row per block
         )
         tables_out = tables_out.unionByName(forward)
     tables.save_predictions(tables_out, f"{out}/predictions")

@@ -63,10 +63,10 @@ def test_splits_are_the_best_by_variance(rows):
 
 
 def test_spark_model_scores_as_the_trees_do(spark, rows):
-    from barloom.operators.models import _boosted, with_probability
+    from barloom.operators.models import _grown, with_probability
 
     ensemble, empty = B.fit_many(rows, [B.Job(trees=7, depth=3), B.Job((-5, 0), 7)])
     assert empty.trees == [] and empty.rows == 0
     own = B.score_many(rows, [((0, 300), 0, ensemble, {0: 3, 1: 7})], ["date", "ticker"]).where("combination = 1")
-    both = own.join(with_probability(_boosted(spark, ensemble), rows).select("date", "ticker", F.col("prob_up").alias("p")), ["date", "ticker"])
+    both = own.join(with_probability(_grown(spark, ensemble), rows).select("date", "ticker", F.col("prob_up").alias("p")), ["date", "ticker"])
     assert both.count() == 900 and both.where("abs(p - prob_up) > 1e-12").isEmpty()
