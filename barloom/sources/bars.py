@@ -54,7 +54,7 @@ def _read_csv(spark: SparkSession, paths: str | list[str], ordered: bool = False
         if ordered:
             # Line numbers are counted within a file block; blocks of a file follow each other.
             rows = rows.withColumn("_path", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start"))
-            rows = rows.withColumn("_line", F.monotonically_increasing_id()).join(numbers, "_path")
+            rows = rows.withColumn("_line", F.monotonically_increasing_id()).join(F.broadcast(numbers), "_path")  # one row per file
             digits = F.concat(F.lpad(F.col("_file").cast("string"), 7, "0"), F.lpad(F.col("_block").cast("string"), 12, "0"), F.lpad(F.col("_line").cast("string"), 19, "0"))
             rows = rows.withColumn("_seq", digits.cast("decimal(38,0)")).drop("_path", "_block", "_line", "_file")
         parts.append(rows)

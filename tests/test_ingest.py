@@ -119,3 +119,24 @@ def test_no_files_yet(spark, tmp_path):
     assert actions(done) == {"A": "absent"} and done.files_read == 0
     with pytest.raises(Exception):
         ingest.update(spark, f"{tmp_path}/nowhere", out, P, False)
+
+
+def test_vendor_files_are_written_by_many_tasks_and_keep_days_whole(spark, small, monkeypatch):
+    from barloom.plans import catalog
+    from barloom.sources import tpch
+
+    def days(path):
+        rows = spark.read.option("header", True).csv(path)
+        return rows.select("ticker", "Date", F.col("_metadata.file_path").alias("file"))
+
+    rows, path = tpch.vendor_rows(spark, small), shared_folder(spark)
+    monkeypatch.setattr(catalog, "TASK_BYTES", 20_000)
+    catalog._write_vendor(spark, small, rows, path)
+    found = days(path)
+    files = found.groupBy("ticker").agg(F.count_distinct("file").alias("files"), F.count("*").alias("n")).collect()
+    assert min(r.files for r in files) > 3 and sum(r.n for r in files) == rows.count()
+    assert found.where("Date <> 'n/a'").groupBy("ticker", "Date").agg(F.count_distinct("file").alias("files")).where("files > 1").isEmpty()
+    assert found.where("Date = 'n/a'").select("file").distinct().count() > 10
+    clean = catalog.QUERIES["vendor_csv_clean"](spark, small)
+    monkeypatch.undo()
+    assert clean.exceptAll(catalog.QUERIES["vendor_csv_clean"](spark, small)).isEmpty()
