@@ -58,3 +58,19 @@ def test_spark_model_scores_as_the_trees_do(spark, rows):
     assert both.where("(p > 0.5) = (target = 1)").count() > 780
     values = fitted.model.stages[-1].featureImportances.toArray()
     assert values.argmax() == 0 and values.sum() == pytest.approx(1.0)
+
+
+def test_walk_forward_trees_are_refitted_together(spark, rows):
+    from barloom.operators import models as M
+    from barloom.params import ResearchParams
+
+    specs = M.model_specs(ResearchParams(models={n: {"enabled": False} for n in ("majority", "logreg_none", "logreg_l1", "logreg_l2")}))
+    frozen = [(specs["random_forest"], {"n_estimators": 4, "max_depth": 3}), (specs["gbt[mllib]"], {"n_estimators": 4, "max_depth": 2})]
+    folds = [{"fold": k, "train_to": 99 + 50 * k, "test_from": 100 + 50 * k, "test_to": 150 + 50 * k} for k in range(4)]
+    panel = rows.withColumn("fwd_ret", F.lit(0.01))
+    got, jobs = jobs_of(spark, "walk", lambda: M.walk_forward_predictions(frozen, panel, folds))
+    assert got.count() == 2 * 600 and jobs <= 4 * 2 + 3 + 16
+    for spec, params in frozen:
+        alone = M.predictions(spec, M.fit(spec, params, panel.where("ordinal < 149")), panel.where("ordinal >= 150 and ordinal < 200"), "x")
+        both = got.where((F.col("model") == spec.name) & (F.col("fold") == 1)).join(alone.select("date", "ticker", F.col("prob_up").alias("p")), ["date", "ticker"])
+        assert both.count() == 150 and both.where("abs(p - prob_up) > 1e-12").isEmpty()
