@@ -1,10 +1,12 @@
 """Many boosted tree ensembles in one pass over the rows.
 
-All ensembles of a search (grid points, folds and the final fits) grow together: one Spark job grows one tree level of all
-of them, so the number of jobs is trees times depth and not that times folds times grid. Features are cut once per training
+All ensembles of a search (grid points, folds and the final fits) grow together. Features are cut once per training
 range at quantiles of its own rows. Rows lie in blocks of bounded size; a task holds one block of one training range and a few
 of the ensembles on it, adds up count, sum and square sum of the residuals per node, feature and bin, and where a
 range has several blocks these sums are added by key. The best split of a node is found where its sums are; the driver gets splits only.
+Ensembles on ranges of several blocks take one Spark job a tree level, all of them together, so the number of jobs is trees times
+depth and not that times folds times grid. A range of one block needs nothing from other tasks: its ensembles grow to the end in the
+tasks that hold it, all in one job.
 
 What is fitted is what Spark ML's gradient boosting fits: loss 2 log(1 + exp(-2 y F)) with labels -1 and 1, regression trees
 by variance on its negative gradient, the first tree on the labels with weight 1, the others with weight `rate`; a row is in a
@@ -143,11 +145,31 @@ def walking():
     return places
 
 
+def splitting():
+    """Functions for tasks and the driver: (feature, cut, gain, stats) of a tree in heap order, and the splits of a level put into it."""
+    def blank(depth):
+        size = (2 << depth) - 1
+        return np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros((size, 3))
+
+    def split(features, cuts, gains, stats, found):
+        """Whether there are any splits."""
+        any_ = False
+        for node, feature, cut, gain, whole, left in found:
+            stats[node] = whole
+            if feature >= 0:
+                any_ = True
+                features[node], cuts[node], gains[node] = feature, cut, gain
+                stats[2 * node + 1], stats[2 * node + 2] = left, whole - left
+        return any_
+
+    return blank, split
+
+
 def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
     """The functions that run in tasks, which hold all they need: executors have no copy of this package."""
     counts = {s: np.array([len(c) for c in own]) for s, own in cuts.items()}
     most = {s: int(c.max(initial=0)) + 1 for s, c in counts.items()}
-    mixed, places = hashing(seed), walking()
+    mixed, places, (blank, split) = hashing(seed), walking(), splitting()
 
     def unpacked(record):
         span, block, numbers, bins, y, key, margins = record
@@ -167,30 +189,64 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
             return span, block, numbers, raw, y, key, margins
         return run
 
+    def drawn(number, share, y, key, margin):
+        """Rows that the tree sees (None: all), their residuals and squares."""
+        at = None if share >= 1.0 else np.flatnonzero(mixed(key, 1, number) < share)
+        y, margin = (y, margin) if at is None else (y[at], margin[at])
+        residual = y if number == 0 else 4.0 * y / (1.0 + np.exp(np.clip(2.0 * y * margin, -700, 700)))
+        r = np.round(residual * (1 << 28)) / (1 << 28)
+        return at, r, np.round(r * r * (1 << 28)) / (1 << 28)
+
+    def histogram(level, size, node, columns, r, square):
+        """Sums by feature, node and bin of rows in `node` of the level (below zero: in none); `columns` has the bins by feature."""
+        if level and node.min(initial=0) < 0:
+            used = np.flatnonzero(node >= 0)
+            node, columns, r, square = node[used], columns[:, used], r[used], square[used]
+        at, total = node * size, np.empty((3, width, (1 << level) * size))
+        for j in range(width):
+            place = at + columns[j]
+            total[0, j] = np.bincount(place, minlength=total.shape[2])
+            total[1, j] = np.bincount(place, r, total.shape[2])
+            total[2, j] = np.bincount(place, square, total.shape[2])
+        return total
+
     def sums(level, number, trees):
         """((ensemble), (span, sums by node, feature, bin)) of one block; `trees` has (feature, cut, share of rows) by ensemble."""
         def run(record):
             span, numbers = record[0], record[2]
             bins, y, key, margins = unpacked(record)
-            size, first = most[span], (1 << level) - 1
             for k, m in enumerate(numbers):
                 if m not in trees:
                     continue
                 feature, cut, share, _ = trees[m]
-                node = places(bins, feature, cut, level) - first
-                used = node >= 0
-                if share < 1.0:
-                    used &= mixed(key, 1, number) < share
-                residual = y if number == 0 else 4.0 * y / (1.0 + np.exp(np.clip(2.0 * y * margins[k], -700, 700)))
-                r = np.round(residual[used] * (1 << 28)) / (1 << 28)
-                at, b, square = node[used] * size, bins[used], np.round(r * r * (1 << 28)) / (1 << 28)
-                total = np.empty((3, width, (1 << level) * size))
-                for j in range(width):
-                    place = at + b[:, j]
-                    total[0, j] = np.bincount(place, minlength=total.shape[2])
-                    total[1, j] = np.bincount(place, r, total.shape[2])
-                    total[2, j] = np.bincount(place, square, total.shape[2])
-                yield m, (span, total)
+                at, r, square = drawn(number, share, y, key, margins[k])
+                b = bins if at is None else bins[at]
+                node = places(b, feature, cut, level) - ((1 << level) - 1)
+                yield m, (span, histogram(level, most[span], node, b.T, r, square))
+        return run
+
+    def whole(wanted):
+        """(ensemble, [(feature, cut, gain, stats) of each tree]) of a block that is a training range; `wanted` has (trees, depth, rate, rows, columns)."""
+        def run(record):
+            span, numbers = record[0], record[2]
+            bins, y, key, _ = unpacked(record)
+            columns = np.ascontiguousarray(bins.T)
+            for m in numbers:
+                trees, depth, rate, share, seen = wanted[m]
+                margin, made = np.zeros(len(y)), []
+                for number in range(trees):
+                    tree = blank(depth)
+                    at, r, square = drawn(number, share, y, key, margin)
+                    b, c = (bins, columns) if at is None else (bins[at], columns[:, at])
+                    for level in range(depth):
+                        node = places(b, tree[0], tree[1], level) - ((1 << level) - 1)
+                        asked = {m: (None, None, share, seen)}
+                        _, found = best(level, number, asked)((m, (span, histogram(level, most[span], node, c, r, square))))
+                        if not split(*tree, found):
+                            break
+                    made.append(tree)
+                    margin += (tree[3][:, 1] / np.maximum(tree[3][:, 0], 1.0) * (rate if number else 1.0))[places(bins, tree[0], tree[1], depth)]
+                yield m, made
         return run
 
     def added(a, b):
@@ -226,7 +282,7 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
             return m, found
         return run
 
-    return grown, sums, added, best
+    return grown, sums, added, best, whole
 
 
 def fit_many(rows: DataFrame, jobs: list[Job], seed: int = 42, max_bins: int = 128, block_rows: int = BLOCK_ROWS) -> list[Ensemble]:
@@ -248,11 +304,12 @@ def fit_many(rows: DataFrame, jobs: list[Job], seed: int = 42, max_bins: int = 1
     used = {spans.index(jobs[m].span) for m in moving}
     blocks = {s: -(-facts[s][0] // block_rows) for s in sorted(used)}
     cuts = {s: facts[s][2] for s in used}
-    # Ensembles of one span share its binned rows; they are dealt out so that there is about one task a core.
-    size = max(1, -(-len(moving) * sum(blocks.values()) // (len(blocks) * max(context.defaultParallelism, 1))))
+    # Ensembles of one span share its binned rows; they are dealt out so that there is about one task a core, three of those that grow in one job.
     dealt: dict[int, list[list[int]]] = {}
     for s in blocks:
         own = [m for m in moving if jobs[m].span == spans[s]]
+        tasks = max(context.defaultParallelism, 1) * (1 if blocks[s] > 1 else 3)
+        size = max(1, -(-len(moving) * sum(blocks.values()) // (len(blocks) * tasks)))
         dealt[s] = [own[k:k + size] for k in range(0, len(own), size)]
     order = {key: k for k, key in enumerate((s, b, g) for s in sorted(blocks, key=lambda s: -facts[s][0]) for b in range(blocks[s]) for g in range(len(dealt[s])))}
 
@@ -261,14 +318,20 @@ def fit_many(rows: DataFrame, jobs: list[Job], seed: int = 42, max_bins: int = 1
         for g, numbers in enumerate(dealt[r["span"]]):
             yield order[r["span"], r["block"], g], (r["span"], r["block"], numbers, bytes(r["bins"]), bytes(r["y"]), bytes(r["key"]), np.zeros((len(numbers), n)))
 
-    grown, sums, added, best = _tasks(seed, width, cuts)
+    grown, sums, added, best, whole = _tasks(seed, width, cuts)
     state = binned_blocks(placed, cuts, blocks).rdd.flatMap(spread).partitionBy(len(order), lambda k: k).values().persist(StorageLevel.MEMORY_AND_DISK)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    at = {m: spans.index(jobs[m].span) for m in moving}
+    wanted = {m: (j.trees, j.depth, j.rate, j.rows, j.columns) for m in moving if blocks[at[m]] == 1 for j in [jobs[m]]}
+    if wanted:
+        for m, made in state.filter(lambda record: blocks[record[0]] == 1).flatMap(whole(wanted)).collect():  # trees
+            out[m].trees += [_tree(t, cuts[at[m]]) for t in made]
+    moving = [m for m in moving if m not in wanted]
+    if moving and not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(spark))
-    combined = max(blocks.values()) > 1
-    for number in range(max(jobs[m].trees for m in moving)):
+    blank, split = splitting()
+    for number in range(max((jobs[m].trees for m in moving), default=0)):
         active = [m for m in moving if jobs[m].trees > number]
-        trees = {m: _blank(jobs[m].depth) for m in active}
+        trees = {m: blank(jobs[m].depth) for m in active}
         previous = state
         if number:
             finished = {m: (t.feature, t.cut, t.value * (1.0 if number == 1 else jobs[m].rate), jobs[m].depth)
@@ -278,39 +341,27 @@ def fit_many(rows: DataFrame, jobs: list[Job], seed: int = 42, max_bins: int = 1
                 state.checkpoint()
         open_ = set(active)
         for level in range(max(jobs[m].depth for m in active)):
-            asked = {m: (trees[m].feature, trees[m].cut, jobs[m].rows, jobs[m].columns) for m in open_ if jobs[m].depth > level}
+            asked = {m: (*trees[m][:2], jobs[m].rows, jobs[m].columns) for m in open_ if jobs[m].depth > level}
             if not asked:
                 break
-            part = state.flatMap(sums(level, number, asked))
-            if combined:
-                part = part.reduceByKey(added, len(order))
+            part = state.flatMap(sums(level, number, asked)).reduceByKey(added, len(order))
             for m, found in part.map(best(level, number, asked)).collect():  # splits: ensembles x nodes of the level
-                if not _split(trees[m], found, cuts[spans.index(jobs[m].span)]):
+                if not split(*trees[m], found):
                     open_.discard(m)
         if number:
             previous.unpersist()
         for m in active:
-            out[m].trees.append(trees[m])
+            out[m].trees.append(_tree(trees[m], cuts[at[m]]))
     state.unpersist()
     return out
 
 
-def _blank(depth: int) -> Tree:
-    size = (2 << depth) - 1
-    return Tree(np.full(size, -1), np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size), np.zeros((size, 3)))
-
-
-def _split(tree: Tree, found: list[tuple], cuts: list[np.ndarray]) -> bool:
-    """Put the splits of one level into the tree; whether there are any."""
-    any_ = False
-    for node, feature, cut, gain, whole, left in found:
-        tree.stats[node] = whole
-        if feature < 0:
-            continue
-        any_ = True
-        tree.feature[node], tree.cut[node], tree.gain[node], tree.threshold[node] = feature, cut, gain, cuts[feature][cut]
-        tree.stats[2 * node + 1], tree.stats[2 * node + 2] = left, whole - left
-    return any_
+def _tree(grown: tuple[np.ndarray, ...], cuts: list[np.ndarray]) -> Tree:
+    feature, cut, gain, stats = grown
+    threshold = np.full(len(feature), np.inf)
+    for k in np.flatnonzero(feature >= 0):
+        threshold[k] = cuts[feature[k]][cut[k]]
+    return Tree(feature, cut, threshold, gain, stats)
 
 
 def score_many(rows: DataFrame, models: Iterable[tuple[tuple[int, int], int, Any, Mapping[int, int]]], keep: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Many random forests in one pass over the rows.
 
-All forests of a search (grid points, folds and the final fits) grow together, a batch of trees at a time: one Spark job grows one
-level of the batch's trees of all of them. As in `boosting`, features are cut once per training range, rows lie in blocks of
-bounded size, and a task holds one block and adds up counts per node, feature and bin for its share of the trees; where a range has
-several blocks the counts are added by tree. The best split of a node is found where its counts are; the driver gets splits only.
+All forests of a search (grid points, folds and the final fits) grow together. Forests that differ in depth and number of trees only
+grow once, to the largest of both: no draw depends on them, so a shallower tree is the upper levels of a deeper one. As in `boosting`, features
+are cut once per training range, rows lie in blocks of bounded size, and a task holds one block and adds up counts per node, feature and bin for
+its share of the trees; where a range has several blocks the counts are added by tree. The best split of a node is found where its counts are;
+the driver gets splits only. On ranges of several blocks one Spark job grows one level of a batch of trees of all forests; where a range is one
+block, its trees grow to the end in the tasks that hold it, all in one job.
 
 What is fitted is what Spark ML's forest fits, without merging leaves that vote alike: Gini impurity over class-weighted counts,
 rows drawn with replacement (Poisson), a node sees some of the features. Draws are hashes of the row's date and ticker, or of the node, with the
@@ -96,6 +98,25 @@ class Forest:
                 np.concatenate([t.left + s for t, s in zip(self.trees, starts)]), weighted[:, 1] / weighted.sum(axis=1), "mean")
 
 
+def splitting():
+    """Functions for tasks and the driver: (feature, bin, gain, class counts) of trees in heap order, and the splits of a level put into one."""
+    def blank(trees, depth):
+        shape = (trees, (2 << depth) - 1)
+        return np.full(shape, -1, np.int32), np.zeros(shape, np.uint16), np.zeros(shape), np.zeros((*shape, 2), np.int64)
+
+    def put(grown, t, nodes, feature, cut, gain, whole, left):
+        """Whether there are any splits."""
+        features, bins, gains, counts = (values[t] for values in grown)
+        counts[nodes] = whole
+        inner = feature >= 0
+        k = nodes[inner]
+        features[k], bins[k], gains[k] = feature[inner], cut[inner], gain[inner]
+        counts[2 * k + 1], counts[2 * k + 2] = left[inner], whole[inner] - left[inner]
+        return bool(inner.any())
+
+    return blank, put
+
+
 def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]], forests: Mapping[int, tuple], shares: int):
     """The functions that run in tasks, which hold all they need: executors have no copy of this package.
 
@@ -103,44 +124,79 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]], forests:
     """
     points = {s: np.array([len(c) for c in own]) for s, own in cuts.items()}
     most = {s: int(c.max(initial=0)) + 1 for s, c in points.items()}
-    mixed, places = hashing(seed), walking()
+    mixed, places, (blank, put) = hashing(seed), walking(), splitting()
     chances = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 20.0)])))
 
+    def unpacked(record):
+        span, share, bins, y, key = record
+        y = np.frombuffer(y).astype(np.int64)
+        return np.frombuffer(bins, np.uint16).reshape(len(y), width), y, np.frombuffer(key, np.int64)
+
+    def drawn(number, bins, y, key):
+        """(bins, labels, times drawn) of the rows of a tree."""
+        times = np.searchsorted(chances, mixed(key, 1, number), side="right")
+        used = np.flatnonzero(times)
+        return bins[used], y[used], times[used].astype(float)
+
+    def counted(level, number, m, feature, cut, rows, b, label, times):
+        """(nodes, features seen, counts by feature, node, bin, class) of a level of tree `number`; None without nodes.
+
+        A node with fewer rows than two smallest children stays a leaf; its parent's split gave its counts. `rows` has those of each node.
+        """
+        size, seen = most[forests[m][0]], forests[m][3]
+        nodes = np.zeros(1, np.int64)
+        if level:
+            parents = np.arange((1 << (level - 1)) - 1, (1 << level) - 1)
+            parents = parents[feature[parents] >= 0]
+            nodes = np.sort(np.concatenate([2 * parents + 1, 2 * parents + 2]))
+            nodes = nodes[rows[nodes] >= 2 * max(forests[m][2], 1)]
+        if not len(nodes):
+            return None
+        chance = mixed((nodes[:, None] * width + np.arange(width)[None, :]).ravel(), 2, number).reshape(len(nodes), width)
+        subset = np.sort(np.argsort(chance, axis=1)[:, :seen], axis=1)
+        compact = np.full((2 << level) - 1, -1)
+        compact[nodes] = np.arange(len(nodes))
+        place = compact[places(b, feature, cut, level)]
+        inside = np.flatnonzero(place >= 0)
+        place, w, c = place[inside], times[inside], label[inside]
+        total = np.empty((seen, len(nodes), size, 2), np.int64)
+        for j in range(seen):
+            at = (place * size + b[inside, subset[place, j]]) * 2 + c
+            total[j] = np.bincount(at, w, len(nodes) * size * 2).reshape(len(nodes), size, 2)
+        return nodes, subset, total
+
     def sums(level, start, trees):
-        """((forest, tree), (nodes, features seen, counts by feature, node, bin, class)) of one block; `trees` has (feature, cut) by forest."""
+        """((forest, tree), counts) of one block; `trees` has (feature, cut, rows of each node) by forest."""
         def run(record):
-            span, share, bins, y, key = record
-            y, key = np.frombuffer(y).astype(np.int64), np.frombuffer(key, np.int64)
-            bins, size = np.frombuffer(bins, np.uint16).reshape(len(y), width), most[span]
-            own = [m for m in trees if forests[m][0] == span]
-            for t in range(share, max((len(trees[m][0]) for m in own), default=0), shares):
-                drawn = np.searchsorted(chances, mixed(key, 1, start + t), side="right")
-                used = np.flatnonzero(drawn)
-                b, label, times = bins[used], y[used], drawn[used].astype(float)
+            rows = unpacked(record)
+            own = [m for m in trees if forests[m][0] == record[0]]
+            for t in range(record[1], max((len(trees[m][0]) for m in own), default=0), shares):
+                sample = drawn(start + t, *rows)
                 for m in own:
-                    if t >= len(trees[m][0]):
-                        continue
-                    feature, cut = trees[m][0][t], trees[m][1][t]
-                    nodes = np.zeros(1, np.int64)
-                    if level:
-                        parents = np.arange((1 << (level - 1)) - 1, (1 << level) - 1)
-                        parents = parents[feature[parents] >= 0]
-                        nodes = np.sort(np.concatenate([2 * parents + 1, 2 * parents + 2]))
-                    if not len(nodes):
+                    found = counted(level, start + t, m, *(values[t] for values in trees[m]), *sample) if t < len(trees[m][0]) else None
+                    if found is not None:
+                        yield (m, t), found
+        return run
+
+    def whole(sizes):
+        """(forest, tree, splits of each level as in `best`) of a block that is a training range; `sizes` has the number of trees by forest."""
+        def run(record):
+            rows = unpacked(record)
+            own = [m for m in sizes if forests[m][0] == record[0]]
+            for t in range(record[1], max((sizes[m] for m in own), default=0), shares):
+                sample = drawn(t, *rows)
+                for m in own:
+                    if t >= sizes[m]:
                         continue
-                    seen = forests[m][3]
-                    chance = mixed((nodes[:, None] * width + np.arange(width)[None, :]).ravel(), 2, start + t).reshape(len(nodes), width)
-                    subset = np.sort(np.argsort(chance, axis=1)[:, :seen], axis=1)
-                    compact = np.full((2 << level) - 1, -1)
-                    compact[nodes] = np.arange(len(nodes))
-                    place = compact[places(b, feature, cut, level)]
-                    inside = np.flatnonzero(place >= 0)
-                    place, w, c = place[inside], times[inside], label[inside]
-                    total = np.empty((seen, len(nodes), size, 2), np.int64)
-                    for j in range(seen):
-                        at = (place * size + b[inside, subset[place, j]]) * 2 + c
-                        total[j] = np.bincount(at, w, len(nodes) * size * 2).reshape(len(nodes), size, 2)
-                    yield (m, t), (nodes, subset, total)
+                    made, grown = [], blank(1, forests[m][1])
+                    tree = [values[0] for values in grown]
+                    for level in range(forests[m][1]):
+                        found = counted(level, t, m, tree[0], tree[1], tree[3].sum(axis=1), *sample)
+                        if found is None:
+                            break
+                        made.append(best(((m, t), found))[2:])
+                        put(grown, 0, *made[-1])
+                    yield m, t, made
         return run
 
     def added(a, b):
@@ -154,11 +210,13 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]], forests:
         whole = left[0, :, -1]
         left = left[:, :, :-1]
         right = whole[None, :, None] - left
-        a, b, w = left * weights, right * weights, whole * weights
+        # Sums over two classes are written out: numpy reduces an axis of two slowly.
+        (a0, a1), (b0, b1), (w0, w1) = ((v[..., 0] * weights[0], v[..., 1] * weights[1]) for v in (left, right, whole))
+        a, b, w = a0 + a1, b0 + b1, w0 + w1
         with np.errstate(divide="ignore", invalid="ignore"):
-            pure = (a * a).sum(axis=-1) / a.sum(axis=-1) + (b * b).sum(axis=-1) / b.sum(axis=-1)
-            gain = (pure - ((w * w).sum(axis=-1) / w.sum(axis=-1))[None, :, None]) / w.sum(axis=-1)[None, :, None]
-        ok = (left.sum(axis=-1) >= max(least, 1)) & (right.sum(axis=-1) >= max(least, 1))
+            pure = (a0 * a0 + a1 * a1) / a + (b0 * b0 + b1 * b1) / b
+            gain = (pure - ((w0 * w0 + w1 * w1) / w)[None, :, None]) / w[None, :, None]
+        ok = (left[..., 0] + left[..., 1] >= max(least, 1)) & (right[..., 0] + right[..., 1] >= max(least, 1))
         ok &= np.arange(left.shape[2])[None, None, :] < points[span][subset.T][:, :, None]
         gain = np.where(ok, gain, -1.0).transpose(1, 0, 2).reshape(len(nodes), -1)
         every = np.arange(len(nodes))
@@ -169,7 +227,7 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]], forests:
         most_ = gain[every, at]
         return m, t, nodes, np.where(most_ > 1e-12, subset[every, slot], -1), cut, most_, whole, left[slot, every, cut]
 
-    return sums, added, best
+    return sums, added, best, whole
 
 
 def fit_many(rows: DataFrame, jobs: list[Job], balanced: bool = True, seed: int = 42, max_bins: int = 128, block_rows: int = BLOCK_ROWS) -> list[Forest]:
@@ -201,41 +259,53 @@ def fit_many(rows: DataFrame, jobs: list[Job], balanced: bool = True, seed: int
         for g in range(shares):
             yield order[r["span"], r["block"], g], (r["span"], g, bytes(r["bins"]), bytes(r["y"]), bytes(r["key"]))
 
-    forests = {m: (at[m], jobs[m].depth, jobs[m].least, jobs[m].seen(width), np.array(out[m].weights)) for m in moving}
-    sums, added, best = _tasks(seed, width, cuts, forests, shares)
+    # Of forests that differ in depth and number of trees only, one grows for all.
+    alike: dict[tuple, list[int]] = {}
+    for m in moving:
+        alike.setdefault((at[m], jobs[m].least, jobs[m].seen(width)), []).append(m)
+    largest = {own[0]: (max(jobs[m].trees for m in own), max(jobs[m].depth for m in own)) for own in alike.values()}
+    forests = {m: (at[m], depth, jobs[m].least, jobs[m].seen(width), np.array(out[m].weights)) for m, (_, depth) in largest.items()}
+    blank, put = splitting()
+    sums, added, best, whole = _tasks(seed, width, cuts, forests, shares)
     state = binned_blocks(placed, cuts, blocks).rdd.flatMap(spread).partitionBy(len(order), lambda k: k).values().persist(StorageLevel.MEMORY_AND_DISK)
-    for start in range(0, max(jobs[m].trees for m in moving), batch):
-        growing = {m: _blank(min(batch, jobs[m].trees - start), jobs[m].depth) for m in moving if jobs[m].trees > start}
+
+    def taken(first, growing):
+        """Trees of the batch that starts at `first`, cut to what each forest wants of them."""
+        for m, grown in growing.items():
+            for other in next(own for own in alike.values() if own[0] == m):
+                size = (2 << jobs[other].depth) - 1
+                for t in range(min(len(grown[0]), jobs[other].trees - first)):
+                    feature, *rest = (values[t][:size] for values in grown)
+                    feature = np.where(np.arange(size) < size // 2, feature, -1)
+                    out[other].trees.append(_packed(feature, *rest, cuts[at[other]]))
+
+    alone = {m: trees for m, (trees, _) in largest.items() if blocks[at[m]] == 1}
+    if alone:
+        found: dict[int, list] = {m: [None] * trees for m, trees in alone.items()}
+        for m, t, made in state.filter(lambda record: blocks[record[0]] == 1).flatMap(whole(alone)).collect():  # splits of all trees
+            found[m][t] = made
+        for m, trees in found.items():
+            for start in range(0, len(trees), BATCH):
+                grown = blank(len(trees[start:start + BATCH]), largest[m][1])
+                for t, levels in enumerate(trees[start:start + BATCH]):
+                    for level in levels:
+                        put(grown, t, *level)
+                taken(start, {m: grown})
+    moving = [m for m in largest if m not in alone]
+    for start in range(0, max((largest[m][0] for m in moving), default=0), batch):
+        growing = {m: blank(min(batch, largest[m][0] - start), largest[m][1]) for m in moving if largest[m][0] > start}
         open_ = set(growing)
-        for level in range(max(jobs[m].depth for m in growing)):
-            asked = {m: growing[m][:2] for m in open_ if jobs[m].depth > level}
+        for level in range(max(largest[m][1] for m in growing)):
+            asked = {m: (*growing[m][:2], growing[m][3].sum(axis=2, dtype=np.int32)) for m in open_ if largest[m][1] > level}
             if not asked:
                 break
-            part = state.flatMap(sums(level, start, asked))
-            if max(blocks.values()) > 1:
-                part = part.reduceByKey(added, len(order))
-            open_ = set()
-            for m, t, nodes, feature, cut, gain, whole, left in part.map(best).collect():  # splits: trees of a batch x nodes of the level
-                features, bins, gains, counts = (values[t] for values in growing[m])
-                counts[nodes] = whole
-                inner = feature >= 0
-                if inner.any():
-                    open_.add(m)
-                    k = nodes[inner]
-                    features[k], bins[k], gains[k] = feature[inner], cut[inner], gain[inner]
-                    counts[2 * k + 1], counts[2 * k + 2] = left[inner], whole[inner] - left[inner]
-        for m, grown in growing.items():
-            out[m].trees += [_packed(*(values[t] for values in grown), cuts[at[m]]) for t in range(len(grown[0]))]
+            part = state.flatMap(sums(level, start, asked)).reduceByKey(added, len(order))
+            open_ = {m for m, t, *splits in part.map(best).collect() if put(growing[m], t, *splits)}  # splits: trees of a batch x nodes of the level
+        taken(start, growing)
     state.unpersist()
     return out
 
 
-def _blank(trees: int, depth: int) -> tuple[np.ndarray, ...]:
-    """(feature, bin, gain, class counts) of trees in heap order."""
-    shape = (trees, (2 << depth) - 1)
-    return np.full(shape, -1, np.int32), np.zeros(shape, np.uint16), np.zeros(shape), np.zeros((*shape, 2), np.int64)
-
-
 def _packed(feature, cut, gain, counts, cuts) -> Tree:
     """The nodes that exist, numbered without gaps."""
     there = counts.sum(axis=1) > 0

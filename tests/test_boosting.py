@@ -41,6 +41,16 @@ def test_blocks_and_tasks_do_not_change_a_bit(rows):
             assert (s.feature == t.feature).all() and (s.threshold == t.threshold).all() and (s.stats == t.stats).all()
 
 
+def test_ranges_of_one_block_take_one_job_for_all_trees(spark, rows):
+    jobs = [B.Job((0, to), trees, depth, 0.3, share, 0.5) for to in (100, 300) for trees, depth, share in ((30, 2, 1.0), (20, 4, 0.6))]
+    grown, n = jobs_of(spark, "one block", lambda: B.fit_many(rows, jobs))
+    assert [len(e.trees) for e in grown] == [30, 20] * 2 and n <= 8
+    # Ranges of one block beside ranges of several: both ways to grow in one call.
+    mixed = B.fit_many(rows, jobs, block_rows=300)
+    for a, b in zip(grown, mixed, strict=True):
+        assert all((s.feature == t.feature).all() and (s.threshold == t.threshold).all() and (s.stats == t.stats).all() for s, t in zip(a.trees, b.trees, strict=True))
+
+
 def test_splits_are_the_best_by_variance(rows):
     tree = B.fit_many(rows, [B.Job(trees=1, depth=2)], max_bins=2000)[0].trees[0]
     found = rows.collect()

@@ -40,6 +40,15 @@ def test_blocks_batches_and_tasks_do_not_change_a_tree(rows):
         assert leaves.min() >= 3 and leaves.sum() == tree.counts[0].sum() and (tree.counts >= 0).all()
 
 
+def test_ranges_of_one_block_take_one_job_for_all_trees(spark, rows):
+    jobs = [R.Job((0, to), trees, depth, 5) for to in (100, 300) for trees, depth in ((60, 6), (9, 3))]
+    grown, n = jobs_of(spark, "one block", lambda: R.fit_many(rows, jobs))
+    assert [len(f.trees) for f in grown] == [60, 9] * 2 and n <= 12
+    # A shallower forest alone, and ranges of one block beside ranges of several.
+    assert equal(grown[1], R.fit_many(rows, [jobs[1]])[0])
+    assert all(equal(a, b) for a, b in zip(grown, R.fit_many(rows, jobs, block_rows=300), strict=True))
+
+
 def test_trees_see_rows_drawn_with_replacement(rows):
     sizes = [t.counts[0].sum() for t in R.fit_many(rows, [R.Job(trees=40, depth=1)])[0].trees]
     assert np.mean(sizes) == pytest.approx(900, abs=25) and len(set(sizes)) > 20
