@@ -297,6 +297,35 @@ def test_phrases_do_not_depend_on_batches_or_hashes(monkeypatch):
         assert got == +want
 
 
+def test_words_are_hashed_in_bulk_as_alone(monkeypatch):
+    """A word's hash depends on its bytes alone; scans hash many texts without making a value of any word."""
+    words = [w.encode() for w in ("a", "b", "ab", "ba", "\x00", "\x00\x00", "\u00e9t\u00e9", "x" * 5000, "\x1c", "zz")] * 3
+    buffer = np.frombuffer(b" \t".join(words) + b"\xff\xff ", np.uint8)
+    got, start, end = phrases.word_hashes(buffer)
+    assert [bytes(buffer[a:b]) for a, b in zip(start, end, strict=True)] == words
+    assert got.tolist() == [int(phrases.word_hashes(np.frombuffer(w, np.uint8))[0][0]) for w in words] and len(set(got.tolist())) == 10
+    monkeypatch.setattr(phrases, "_SPAN", 7)
+    assert (phrases.word_hashes(buffer)[0] == got).all() and len(phrases.word_hashes(buffer[:0])[0]) == 0
+
+
+@pytest.mark.parametrize("span", [1, 50, 2_000_000])
+def test_hashed_counts_do_not_depend_on_spans(monkeypatch, span):
+    """Pairs and triples of one scan within pieces only, each text of its own, all words confirmed before."""
+    monkeypatch.setattr(phrases, "_SPAN", span)
+    rules = phrases.PhraseRules(shards=1)
+    counts, want = phrases.Counter(rules, 1, np.zeros(rules.slots, np.uint8)), Counter()
+    monkeypatch.setattr(counts, "add", None)  # no word goes through the table of words
+    for t, lang in _phrase_rows(40):
+        counts.put((t or "").encode() + b"\xff", lang or "und")
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())):
+            w = re.findall(rb"[^\x20\x09]+", piece)
+            want.update((size, lang or "und", tuple(w[k:k + size])) for size in (2, 3) for k in range(len(w) - size + 1))
+    counts.count()
+    rows = [r for b in counts.hashes() for r in b.to_pylist()]
+    assert sorted((r["key"] >> 8 & 255, r["n"]) for r in rows) == sorted((size, n) for (size, _, _), n in want.items())
+    assert {r["key"] & 255 for r in rows} == {1}
+
+
 def test_phrases_of_no_rows_and_the_query(spark, tmp_path):
     rules = phrases.PhraseRules()
     none = _phrase_table(spark, []).where("false")
