@@ -99,12 +99,21 @@ def placed_rows(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
 
 def span_facts(placed: DataFrame, width: int, max_bins: int) -> dict[int, tuple[int, int, list[np.ndarray]]]:
     """Per span: rows, positive rows and the cut points of each feature (at most max_bins - 1)."""
-    shares = [k / max_bins for k in range(1, max_bins)]
+    shares = F.lit([k / max_bins for k in range(1, max_bins)])  # one literal: each takes some calls into the JVM for every share
     cuts = [F.percentile_approx(F.get("x", F.lit(j)), shares, 10000).alias(f"c{j}") for j in range(width)]
     found = placed.groupBy("span").agg(F.count("*").alias("n"), F.sum("y").alias("ups"), *cuts).collect()  # spans x features x bins
     return {r["span"]: (r["n"], int(r["ups"]), [np.unique(np.array(r[f"c{j}"], float)) for j in range(width)]) for r in found}
 
 
+def range_facts(rows: DataFrame, spans: Iterable[tuple[int, int]], max_bins: int) -> tuple[int, dict[tuple[int, int], tuple]]:
+    """(features, `span_facts` by range): what forests and boosting both start from."""
+    spans = list(dict.fromkeys(spans))
+    head = rows.select(F.size(vector_to_array("features")).alias("n")).first()
+    width = head["n"] if head else 0
+    found = span_facts(placed_rows(rows, spans), width, max_bins)
+    return width, {span: found[k] for k, span in enumerate(spans) if k in found}
+
+
 def binned_blocks(placed: DataFrame, cuts: Mapping[int, list[np.ndarray]], blocks: Mapping[int, int]) -> DataFrame:
     """(span, block, bins, y, key): one row a block, features as bin numbers."""
     def run(key, table):
@@ -135,9 +144,9 @@ def hashing(seed: int):
 
 
 def walking():
-    """A function for tasks: heap node of each row after some levels."""
-    def places(bins, feature, cut, levels):
-        node, at = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    """A function for tasks: heap node of each row after some levels, from the root or from the nodes of a level above."""
+    def places(bins, feature, cut, levels, node=None):
+        node, at = np.zeros(len(bins), np.int64) if node is None else node, np.arange(len(bins))
         for _ in range(levels):
             f = feature[node]
             node = np.where(f >= 0, 2 * node + 1 + (bins[at, np.maximum(f, 0)] > cut[node]), node)
@@ -197,19 +206,36 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
         r = np.round(residual * (1 << 28)) / (1 << 28)
         return at, r, np.round(r * r * (1 << 28)) / (1 << 28)
 
-    def histogram(level, size, node, columns, r, square):
-        """Sums by feature, node and bin of rows in `node` of the level (below zero: in none); `columns` has the bins by feature."""
+    def histogram(level, size, node, columns, *values):
+        """Counts and sums of values by feature, node and bin of rows in `node` of the level (below zero: in none); `columns` has the bins by feature."""
         if level and node.min(initial=0) < 0:
             used = np.flatnonzero(node >= 0)
-            node, columns, r, square = node[used], columns[:, used], r[used], square[used]
-        at, total = node * size, np.empty((3, width, (1 << level) * size))
+            node, columns, values = node[used], columns[:, used], [v[used] for v in values]
+        at, total = node * size, np.empty((1 + len(values), width, (1 << level) * size))
         for j in range(width):
             place = at + columns[j]
             total[0, j] = np.bincount(place, minlength=total.shape[2])
-            total[1, j] = np.bincount(place, r, total.shape[2])
-            total[2, j] = np.bincount(place, square, total.shape[2])
+            for k, v in enumerate(values):
+                total[1 + k, j] = np.bincount(place, v, total.shape[2])
         return total
 
+    def halved(level, size, node, columns, r, above, feature):
+        """`histogram` where the level above is known: the smaller child of a node is added up, the other is the rest. Sums are exact, so this is too."""
+        parents = 1 << (level - 1)
+        sizes = np.bincount(node[node >= 0], minlength=2 * parents).reshape(parents, 2)
+        small = (sizes[:, 1] < sizes[:, 0]).astype(np.int64)
+        inner = feature[parents - 1:2 * parents - 1] >= 0
+        used = np.flatnonzero((node >= 0) & (node - 2 * (node >> 1) == small[node >> 1]))
+        part = histogram(level - 1, size, node[used] >> 1, columns[:, used], r[used]).reshape(2, width, parents, size)
+        total, every = np.zeros((2, width, parents, 2, size)), np.flatnonzero(inner)
+        total[:, :, every, small[every]] = part[:, :, every]
+        total[:, :, every, 1 - small[every]] = above.reshape(2, width, parents, size)[:, :, every] - part[:, :, every]
+        return total.reshape(2, width, 2 * parents * size)
+
+    def filled(found):
+        """Splits found without square sums, as `split` takes them."""
+        return [(node, *rest, np.append(whole, 0.0), None if left is None else np.append(left, 0.0)) for node, *rest, whole, left in found]
+
     def sums(level, number, trees):
         """((ensemble), (span, sums by node, feature, bin)) of one block; `trees` has (feature, cut, share of rows) by ensemble."""
         def run(record):
@@ -238,14 +264,22 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
                     tree = blank(depth)
                     at, r, square = drawn(number, share, y, key, margin)
                     b, c = (bins, columns) if at is None else (bins[at], columns[:, at])
+                    node = np.zeros(len(b), np.int64)
                     for level in range(depth):
-                        node = places(b, tree[0], tree[1], level) - ((1 << level) - 1)
-                        asked = {m: (None, None, share, seen)}
-                        _, found = best(level, number, asked)((m, (span, histogram(level, most[span], node, c, r, square))))
-                        if not split(*tree, found):
+                        local = node - ((1 << level) - 1)
+                        total = halved(level, most[span], local, c, r, total, tree[0]) if level else histogram(0, most[span], local, c, r)
+                        _, found = best(level, number, {m: (None, None, share, seen)})((m, (span, total)))
+                        if not split(*tree, filled(found)):
                             break
+                        node = places(b, tree[0], tree[1], 1, node)
+                    # No split asks for square sums: those of leaves are added up once and handed up.
+                    squares = np.bincount(node, square, len(tree[0]))
+                    for k in np.flatnonzero(tree[0] >= 0)[::-1]:
+                        squares[k] = squares[2 * k + 1] + squares[2 * k + 2]
+                    tree[3][:, 2] = squares
                     made.append(tree)
-                    margin += (tree[3][:, 1] / np.maximum(tree[3][:, 0], 1.0) * (rate if number else 1.0))[places(bins, tree[0], tree[1], depth)]
+                    node = node if at is None else places(bins, tree[0], tree[1], depth)
+                    margin += (tree[3][:, 1] / np.maximum(tree[3][:, 0], 1.0) * (rate if number else 1.0))[node]
                 yield m, made
         return run
 
@@ -285,15 +319,14 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]]):
     return grown, sums, added, best, whole
 
 
-def fit_many(rows: DataFrame, jobs: list[Job], seed: int = 42, max_bins: int = 128, block_rows: int = BLOCK_ROWS) -> list[Ensemble]:
-    """Fit all jobs on rows with date, ticker, features, target and (if spans are used) ordinal."""
+def fit_many(rows: DataFrame, jobs: list[Job], seed: int = 42, max_bins: int = 128, block_rows: int = BLOCK_ROWS, facts: tuple | None = None) -> list[Ensemble]:
+    """Fit all jobs on rows with date, ticker, features, target and (if spans are used) ordinal; `facts` are known `range_facts` of them."""
     spark = rows.sparkSession
     context = spark.sparkContext
     spans = list(dict.fromkeys(j.span for j in jobs))
-    head = rows.select(F.size(vector_to_array("features")).alias("n")).first()
-    width = head["n"] if head else 0
     placed = placed_rows(rows, spans)
-    facts = span_facts(placed, width, max_bins)
+    width, known = facts or range_facts(rows, spans, max_bins)
+    facts = {k: known[span] for k, span in enumerate(spans) if span in known}
     out = []
     for job in jobs:
         n, ups, _ = facts.get(spans.index(job.span), (0, 0, []))

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators.boosting import BLOCK_ROWS, binned_blocks, hashing, placed_rows, span_facts, walking
+from barloom.operators.boosting import BLOCK_ROWS, binned_blocks, hashing, placed_rows, range_facts, walking
 from barloom.operators.logistic import EVERYTHING
 from barloom.sources.session import shared_folder
 
@@ -88,14 +88,12 @@ class Forest:
         sizes = np.array([len(t.feature) for t in self.trees])
         starts = np.cumsum(sizes) - sizes
         weighted = np.concatenate([t.counts for t in self.trees]) * self.weights
-        depth = 0
-        for t in self.trees:
-            level, deep = np.zeros(len(t.feature), int), np.flatnonzero(t.feature >= 0)
-            for k in deep:
-                level[t.left[k]] = level[t.left[k] + 1] = level[k] + 1
-            depth = max(depth, int(level.max()))
-        return (starts, depth, np.concatenate([t.feature for t in self.trees]), np.concatenate([t.threshold for t in self.trees]),
-                np.concatenate([t.left + s for t, s in zip(self.trees, starts)]), weighted[:, 1] / weighted.sum(axis=1), "mean")
+        feature, left = np.concatenate([t.feature for t in self.trees]), np.concatenate([t.left + s for t, s in zip(self.trees, starts)])
+        depth, inner = 0, starts[feature[starts] >= 0]
+        while len(inner):
+            depth, below = depth + 1, np.concatenate([left[inner], left[inner] + 1])
+            inner = below[feature[below] >= 0]
+        return (starts, depth, feature, np.concatenate([t.threshold for t in self.trees]), left, weighted[:, 1] / weighted.sum(axis=1), "mean")
 
 
 def splitting():
@@ -138,8 +136,8 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]], forests:
         used = np.flatnonzero(times)
         return bins[used], y[used], times[used].astype(float)
 
-    def counted(level, number, m, feature, cut, rows, b, label, times):
-        """(nodes, features seen, counts by feature, node, bin, class) of a level of tree `number`; None without nodes.
+    def counted(level, number, m, feature, cut, rows, b, label, times, node=None):
+        """(nodes, features seen, counts by class, node, feature, bin) of a level of tree `number`; None without nodes. `node` has those of rows.
 
         A node with fewer rows than two smallest children stays a leaf; its parent's split gave its counts. `rows` has those of each node.
         """
@@ -156,13 +154,13 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]], forests:
         subset = np.sort(np.argsort(chance, axis=1)[:, :seen], axis=1)
         compact = np.full((2 << level) - 1, -1)
         compact[nodes] = np.arange(len(nodes))
-        place = compact[places(b, feature, cut, level)]
+        place = compact[places(b, feature, cut, level) if node is None else node]
         inside = np.flatnonzero(place >= 0)
         place, w, c = place[inside], times[inside], label[inside]
-        total = np.empty((seen, len(nodes), size, 2), np.int64)
-        for j in range(seen):
-            at = (place * size + b[inside, subset[place, j]]) * 2 + c
-            total[j] = np.bincount(at, w, len(nodes) * size * 2).reshape(len(nodes), size, 2)
+        total = np.empty((2, len(nodes), seen, size))
+        flat, row, first = b.ravel(), inside * width, (c * len(nodes) + place) * size
+        for j, own in enumerate(np.ascontiguousarray(subset.T)):
+            total[:, :, j] = np.bincount(first + flat[row + own[place]], w, total.size // seen).reshape(2, len(nodes), size)
         return nodes, subset, total
 
     def sums(level, start, trees):
@@ -189,13 +187,15 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]], forests:
                     if t >= sizes[m]:
                         continue
                     made, grown = [], blank(1, forests[m][1])
-                    tree = [values[0] for values in grown]
+                    tree, node = [values[0] for values in grown], np.zeros(len(sample[0]), np.int64)
                     for level in range(forests[m][1]):
-                        found = counted(level, t, m, tree[0], tree[1], tree[3].sum(axis=1), *sample)
+                        found = counted(level, t, m, tree[0], tree[1], tree[3].sum(axis=1), *sample, node)
                         if found is None:
                             break
                         made.append(best(((m, t), found))[2:])
-                        put(grown, 0, *made[-1])
+                        if not put(grown, 0, *made[-1]):
+                            break
+                        node = places(sample[0], tree[0], tree[1], 1, node)
                     yield m, t, made
         return run
 
@@ -206,38 +206,41 @@ def _tasks(seed: int, width: int, cuts: Mapping[int, list[np.ndarray]], forests:
         """(forest, tree, nodes, feature or -1, bin, gain, counts of the node, counts of its left child)"""
         (m, t), (nodes, subset, total) = item
         span, _, least, _, weights = forests[m]
-        left = np.cumsum(total, axis=2)
-        whole = left[0, :, -1]
-        left = left[:, :, :-1]
-        right = whole[None, :, None] - left
-        # Sums over two classes are written out: numpy reduces an axis of two slowly.
-        (a0, a1), (b0, b1), (w0, w1) = ((v[..., 0] * weights[0], v[..., 1] * weights[1]) for v in (left, right, whole))
-        a, b, w = a0 + a1, b0 + b1, w0 + w1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pure = (a0 * a0 + a1 * a1) / a + (b0 * b0 + b1 * b1) / b
-            gain = (pure - ((w0 * w0 + w1 * w1) / w)[None, :, None]) / w[None, :, None]
-        ok = (left[..., 0] + left[..., 1] >= max(least, 1)) & (right[..., 0] + right[..., 1] >= max(least, 1))
-        ok &= np.arange(left.shape[2])[None, None, :] < points[span][subset.T][:, :, None]
-        gain = np.where(ok, gain, -1.0).transpose(1, 0, 2).reshape(len(nodes), -1)
-        every = np.arange(len(nodes))
-        if not gain.shape[1]:
-            return m, t, nodes, np.full(len(nodes), -1), every * 0, every * 0.0, whole, whole
+        left = np.cumsum(total, axis=3)
+        whole, size = left[:, :, 0, -1], left.shape[3]
+        rows = left[0] + left[1]
+        ok = (rows >= max(least, 1)) & (rows <= (whole[0] + whole[1] - max(least, 1))[:, None, None])
+        ok &= np.arange(size)[None, None, :] < points[span][subset][:, :, None]
+        # Gains only where a split is allowed, which is nowhere in the last bin.
+        k = np.flatnonzero(ok)
+        own = k // (rows.shape[1] * size)
+        l0, l1 = left[0].ravel()[k], left[1].ravel()[k]
+        a0, a1, b0, b1 = l0 * weights[0], l1 * weights[1], (whole[0][own] - l0) * weights[0], (whole[1][own] - l1) * weights[1]
+        w0, w1 = whole[0] * weights[0], whole[1] * weights[1]
+        w = w0 + w1
+        pure = (a0 * a0 + a1 * a1) / (a0 + a1) + (b0 * b0 + b1 * b1) / (b0 + b1)
+        gain = np.full(rows.size, -1.0)
+        gain[k] = (pure - ((w0 * w0 + w1 * w1) / w)[own]) / w[own]
+        gain, every = gain.reshape(len(nodes), -1), np.arange(len(nodes))
         at = gain.argmax(axis=1)
-        slot, cut = np.divmod(at, left.shape[2])
+        slot, cut = np.divmod(at, size)
         most_ = gain[every, at]
-        return m, t, nodes, np.where(most_ > 1e-12, subset[every, slot], -1), cut, most_, whole, left[slot, every, cut]
+        return m, t, nodes, np.where(most_ > 1e-12, subset[every, slot], -1), cut, most_, whole.T, left[:, every, slot, cut].T
 
     return sums, added, best, whole
 
 
-def fit_many(rows: DataFrame, jobs: list[Job], balanced: bool = True, seed: int = 42, max_bins: int = 128, block_rows: int = BLOCK_ROWS) -> list[Forest]:
-    """Fit all jobs on rows with date, ticker, features, target and (if spans are used) ordinal; `balanced` weights classes alike."""
+def fit_many(rows: DataFrame, jobs: list[Job], balanced: bool = True, seed: int = 42, max_bins: int = 128, block_rows: int = BLOCK_ROWS,
+             facts: tuple | None = None) -> list[Forest]:
+    """Fit all jobs on rows with date, ticker, features, target and (if spans are used) ordinal; `balanced` weights classes alike.
+
+    `facts` are known `range_facts` of the rows.
+    """
     context = rows.sparkSession.sparkContext
     spans = list(dict.fromkeys(j.span for j in jobs))
-    head = rows.select(F.size(vector_to_array("features")).alias("n")).first()
-    width = head["n"] if head else 0
     placed = placed_rows(rows, spans)
-    facts = span_facts(placed, width, max_bins)
+    width, known = facts or range_facts(rows, spans, max_bins)
+    facts = {k: known[span] for k, span in enumerate(spans) if span in known}
     out = []
     for job in jobs:
         n, ups, _ = facts.get(spans.index(job.span), (0, 0, []))

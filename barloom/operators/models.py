@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
+from threading import Lock
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
@@ -126,16 +129,39 @@ def assemble(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
     return vectors.select("date", "ticker", "features", "target", "fwd_ret", *extra)
 
 
+def side_by_side(spark: SparkSession, work: list[Callable[[], Any]]) -> list[Any]:
+    """Results of fits whose Spark jobs run at the same time."""
+    with ThreadPoolExecutor(max(1, len(work))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]]
+
+
+def _tree_facts(specs: list[ModelSpec], rows: DataFrame, spans: list[tuple[int, int]]) -> dict[int, Callable[[], tuple]]:
+    """What the trees of all families start from, by number of bins; found once, by the family that asks first."""
+    def once(bins):
+        lock, found = Lock(), []
+
+        def result():
+            with lock:
+                if not found:
+                    found.append(boosting.range_facts(rows, spans, bins))
+            return found[0]
+        return result
+
+    return {bins: once(bins) for bins in {s.max_bins for s in specs if s.ensemble}}
+
+
 def _solved(spark, solution: logistic.Solution) -> Fitted:
     model = None if solution.coefficients is None else PipelineModel([logistic.spark_model(spark, solution)])
     return Fitted(model, solution.prior, solution.rows)
 
 
-def _grow(spec: ModelSpec, rows: DataFrame, points: list[tuple[Mapping[str, Any], tuple[int, int]]]) -> list:
-    """Ensembles of all (parameters, span), grown side by side."""
+def _grow(spec: ModelSpec, rows: DataFrame, points: list[tuple[Mapping[str, Any], tuple[int, int]]],
+          facts: Mapping[int, Callable[[], tuple]] | None = None) -> list:
+    """Ensembles of all (parameters, span), grown side by side; `facts` as in `_tree_facts`."""
+    known = facts[spec.max_bins]() if facts else None
     if spec.ensemble == "boosting":
-        return boosting.fit_many(rows, [boosting.job(params, span) for params, span in points], spec.seed, spec.max_bins)
-    return forests.fit_many(rows, [forests.job(params, span) for params, span in points], spec.balanced, spec.seed, spec.max_bins)
+        return boosting.fit_many(rows, [boosting.job(params, span) for params, span in points], spec.seed, spec.max_bins, facts=known)
+    return forests.fit_many(rows, [forests.job(params, span) for params, span in points], spec.balanced, spec.seed, spec.max_bins, facts=known)
 
 
 def _grown(spark, ensemble: boosting.Ensemble | forests.Forest) -> Fitted:
@@ -248,33 +274,35 @@ def _ensembles(combos: list[dict[str, Any]]) -> list[tuple[dict[str, Any], dict[
 
 
 def cv_scores(
-    spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams
+    spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams, facts: Mapping[int, Callable[[], tuple]] | None = None
 ) -> list[tuple[int, int, float]]:
     """(combination, fold, score) of every grid point; rows need an `ordinal`."""
     if spec.penalty:
         return _logistic_search(spec, rows, folds, tuning)[0]
     if spec.ensemble:
-        return _ensemble_search(spec, rows, folds, tuning, False)[0]
+        return _ensemble_search(spec, rows, folds, tuning, False, facts)[0]
     raise ValueError(f"{spec.name} has no grid to search")
 
 
-def _logistic_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams) -> tuple[list, list[Fitted]]:
-    """(scores as in cv_scores, the models of all grid points on all rows), fitted side by side."""
+def _logistic_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams) -> tuple[list, list[logistic.Solution]]:
+    """(scores as in cv_scores, the solutions of all grid points on all rows), fitted side by side."""
     combos = spec.combinations() or [{}]
     points = [(c, fold) for c in range(len(combos)) for fold in folds]
     jobs = [spec.job(combos[c], (fold["train_from"], fold["train_to"])) for c, fold in points] + [spec.job(p) for p in combos]
     solved = logistic.fit_many(rows, jobs, spec.most)
     scored = logistic.score_many(rows, {(c, fold["fold"]): (fold, s) for (c, fold), s in zip(points, solved)})
     scores = [(r["combination"], r["fold"], r["score"]) for r in grouped_scores(scored, tuning.scoring, ("combination", "fold")).collect()]
-    return scores, [_solved(rows.sparkSession, s) for s in solved[len(points):]]
+    return scores, solved[len(points):]
 
 
-def _ensemble_search(spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams, refit: bool = True) -> tuple[list, dict[int, Any]]:
+def _ensemble_search(
+    spec: ModelSpec, rows: DataFrame, folds: list, tuning: TuningParams, refit: bool = True, facts: Mapping[int, Callable[[], tuple]] | None = None,
+) -> tuple[list, dict[int, Any]]:
     """(scores as in cv_scores, the ensembles of all grid points on all rows), grown side by side."""
     shapes = _ensembles(spec.combinations())
     points = [(largest, sizes, fold) for largest, sizes in shapes for fold in folds]
     wanted = [(largest, (fold["train_from"], fold["train_to"])) for largest, _, fold in points]
-    grown = _grow(spec, rows, wanted + [(largest, logistic.EVERYTHING) for largest, _ in shapes if refit])
+    grown = _grow(spec, rows, wanted + [(largest, logistic.EVERYTHING) for largest, _ in shapes if refit], facts)
     whole = lambda sizes, e: {c: n or len(e.trees) for c, n in sizes.items()}
     scored = boosting.score_many(
         rows, [((fold["test_from"], fold["test_to"]), fold["fold"], e, whole(sizes, e)) for (_, sizes, fold), e in zip(points, grown)], ["target"])
@@ -302,21 +330,34 @@ def tune(spec: ModelSpec, train: DataFrame, folds: list, tuning: TuningParams) -
     """Grid search over past-only folds, then a refit on all training rows."""
     if not spec.grid:
         return Tuned(spec, fit(spec, {}, train), {})
-    final: list[Fitted] = []
-    if spec.penalty:
-        scores, final = _logistic_search(spec, train, folds, tuning)
-    else:
-        scores, grown = _ensemble_search(spec, train, folds, tuning)
+    search, made = (_logistic_search, _solved) if spec.penalty else (_ensemble_search, _grown)
+    scores, final = search(spec, train, folds, tuning)
+    best, score = _best_point(scores)
+    return Tuned(
+        spec, made(train.sparkSession, final[best]), spec.combinations()[best], score,
+        tuning_table(train.sparkSession, spec, scores),
+    )
+
+
+def _best_point(scores: list) -> tuple[int, float]:
+    """(combination with the highest mean score over the folds, that mean); ties to the first."""
     means: dict[int, list[float]] = {}
     for c, _, s in scores:
         means.setdefault(c, []).append(s)
     best = max(sorted(means), key=lambda c: sum(means[c]) / len(means[c]))
-    params = spec.combinations()[best]
-    fitted = final[best] if final else _grown(train.sparkSession, grown[best])
-    return Tuned(
-        spec, fitted, params, sum(means[best]) / len(means[best]),
-        tuning_table(train.sparkSession, spec, scores),
-    )
+    return best, sum(means[best]) / len(means[best])
+
+
+def best_params(specs: list[ModelSpec], train: DataFrame, folds: list, tuning: TuningParams) -> list[dict[str, Any]]:
+    """The parameters that `tune` picks for each model, for those who refit anyway: no tree is grown on all training rows.
+
+    The searches of all models run at the same time.
+    """
+    searched = [s for s in specs if s.grid]
+    facts = _tree_facts(searched, train, [(fold["train_from"], fold["train_to"]) for fold in folds])
+    found = side_by_side(train.sparkSession, [partial(cv_scores, s, train, folds, tuning, facts) for s in searched])
+    scores = dict(zip((s.name for s in searched), found, strict=True))
+    return [s.combinations()[_best_point(scores[s.name])[0]] if s.grid else {} for s in specs]
 
 
 def walk_forward_predictions(
@@ -325,16 +366,24 @@ def walk_forward_predictions(
 ) -> DataFrame:
     """Refit each model with frozen parameters before every block and predict the block.
 
-    The refits of all blocks move together, and their models (and priors) score all blocks in one pass.
+    The refits of all blocks move together, those of different families at the same time, and their models (and priors) score
+    all blocks in one pass.
     """
     i = F.col("ordinal")
     spans = {fold["fold"]: (-(1 << 31), fold["train_to"]) for fold in folds}
     plain = [(spec, params) for spec, params in specs if not spec.ensemble]
+    ensembles = [(spec, params) for spec, params in specs if spec.ensemble]
+    points = [(spec, params, fold["fold"]) for spec, params in plain for fold in folds]
+    fitted = [(spec, params, f) for spec, params, f in points if spec.penalty]
+    facts = _tree_facts([spec for spec, _ in ensembles], rows, list(spans.values()))
+    work = [partial(_grow, spec, rows, [(params, span) for span in spans.values()], facts) for spec, params in ensembles]
+    if fitted:
+        work.append(partial(logistic.fit_many, rows, [spec.job(p, spans[f]) for spec, p, f in fitted], max(s.most for s, _, _ in fitted)))
+    if plain:
+        work.append(partial(logistic.scalings, rows, list(spans.values())))
+    results = side_by_side(rows.sparkSession, work)
     parts = []
-    for spec, params in specs:
-        if not spec.ensemble:
-            continue
-        grown = _grow(spec, rows, [(params, span) for span in spans.values()])
+    for (spec, _), grown in zip(ensembles, results):
         scored = boosting.score_many(rows, [((fold["test_from"], fold["test_to"]), fold["fold"], e, {0: len(e.trees)}) for fold, e in zip(folds, grown)],
                                      ["date", "ticker", "target", "fwd_ret"])
         p = F.col("prob_up")
@@ -342,11 +391,8 @@ def walk_forward_predictions(
             "date", "ticker", F.lit("walk_forward").alias("split"), F.lit(spec.name).alias("model"),
             F.when(F.abs(p - threshold) <= SNAP, F.lit(threshold)).otherwise(p).alias("prob_up"), "target", "fwd_ret", "fold"))
     if plain:
-        points = [(spec, params, fold["fold"]) for spec, params in plain for fold in folds]
-        fitted = [(spec, params, f) for spec, params, f in points if spec.penalty]
-        solved = {(spec.name, f): s for (spec, _, f), s in zip(
-            fitted, logistic.fit_many(rows, [spec.job(p, spans[f]) for spec, p, f in fitted], max(s.most for s, _, _ in fitted)), strict=True)} if fitted else {}
-        facts = dict(zip(spans, logistic.scalings(rows, list(spans.values())), strict=True))
+        solved = {(spec.name, f): s for (spec, _, f), s in zip(fitted, results[len(ensembles)] if fitted else [], strict=True)}
+        facts = dict(zip(spans, results[-1], strict=True))
         table = []
         for spec, _, f in points:
             s = solved.get((spec.name, f))

@@ -2,7 +2,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from barloom.params import DEFAULT_MODELS
+from barloom.operators import boosting, models
+from barloom.params import DEFAULT_MODELS, ResearchParams
 from barloom.plans import catalog, inputs
 from tools.check import TABLES, rows_of
 
@@ -45,3 +46,23 @@ def test_walk_forward_refits_every_block_of_test_days(spark, small, monkeypatch)
     got = catalog._coverage(rows)
     assert rows_of(got.columns, got.collect()) == rows_of([d[0] for d in relation.description], relation.fetchall())
     rows.unpersist()
+
+
+def test_walk_forward_searches_without_final_fits(spark, small, monkeypatch):
+    """It needs the parameters that tuning picks, not the tuned models; forests and boosting start from the same cut points."""
+    grids = {name: {"enabled": False} for name in ("majority", "logreg_none", "logreg_l2")} | {
+        "logreg_l1": {"grid": {"C": [0.01, 1.0]}}, "random_forest": {"grid": {"n_estimators": [3], "max_depth": [1, 3]}},
+        "xgboost": {"grid": {"learning_rate": [0.1, 0.3], "max_depth": [2], "n_estimators": [2, 4]}}}
+    monkeypatch.setattr(catalog, "SPECS", models.model_specs(ResearchParams(models=grids)))
+    monkeypatch.setattr(catalog, "_tuned_once", {})
+    monkeypatch.setattr(catalog, "_best_once", {})
+    want = {name: catalog._search(spark, small, name).best_params for name in catalog.SPECS}
+    cut, found = boosting.span_facts, []
+    monkeypatch.setattr(boosting, "span_facts", lambda *args: found.append(1) or cut(*args))
+    for step in ("_grown", "_solved"):
+        monkeypatch.setattr(models, step, lambda *_: pytest.fail("a final fit"))
+    rows = catalog._forward(spark, small)
+    assert {spec.name: params for spec, params in catalog._best(spark, small, list(catalog.SPECS))} == want
+    assert len(found) == 2  # of the folds, of the refits
+    counts = {r["model"]: r["count"] for r in rows.groupBy("model").count().collect()}
+    assert set(counts) == set(want) and len(set(counts.values())) == 1
